@@ -103,7 +103,29 @@ def block_keys(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np
     return np.concatenate(keys), np.concatenate(docs)
 
 
-SKETCH = "shard int, ids binary, sizes binary, reps binary, keys binary"
+SKETCH = "shard int, ids binary, sizes binary, reps binary, keys binary, bits binary, fresh binary"
+
+
+def sketch_bits(size: np.ndarray) -> np.ndarray:
+    """Bits of the dense parity sketch of sets: a power of two, at least their size."""
+    return 1 << np.maximum(8, np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+
+
+def dense(h: np.ndarray, first: np.ndarray) -> bytes:
+    """The dense parity sketches of sets, one after the other: each token flips a bit."""
+    size = np.diff(first)
+    bits = sketch_bits(size)
+    at = np.append(0, np.cumsum(bits))
+    pos = (mix(h + U64(5)) & np.repeat(bits - 1, size).astype(U64)).astype(np.int64) + np.repeat(at[:-1], size)
+    return np.packbits((np.bincount(pos, minlength=at[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(x: np.ndarray, words: int) -> np.ndarray:
+    """A sketch (rows of 64-bit words) as if it had fewer bits."""
+    while x.shape[-1] > words:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return x
 
 
 def _sketches(n: int, num: int, den: int, shards: int):  # noqa: ANN202
@@ -133,7 +155,9 @@ def _sketches(n: int, num: int, den: int, shards: int):  # noqa: ANN202
                         reps[i], fresh[i] = was, False
                 pick = np.flatnonzero(fresh)
                 tok = np.repeat(fresh, size)
-                keys, doc = block_keys(h[tok], np.append(0, np.cumsum(size[pick])), num, den)
+                own = np.append(0, np.cumsum(size[pick]))
+                keys, doc = block_keys(h[tok], own, num, den)
+                bits = dense(h[tok], own)
                 # The scheme of a doc is fixed by its size; a key's top bits choose the shard.
                 shard = ((keys >> U64(40)) * U64(shards) >> U64(24)).astype(np.int32)
                 order = np.argsort(shard, kind="stable")
@@ -147,6 +171,8 @@ def _sketches(n: int, num: int, den: int, shards: int):  # noqa: ANN202
                         "sizes": pa.array([size.astype(np.int64).tobytes(), *[None] * len(full)], pa.binary()),
                         "reps": pa.array([reps.tobytes(), *[None] * len(full)], pa.binary()),
                         "keys": pa.array([None, *(keys[cut[s] : cut[s + 1]].tobytes() for s in full)], pa.binary()),
+                        "bits": pa.array([bits, *[None] * len(full)], pa.binary()),
+                        "fresh": pa.array([fresh.tobytes(), *[None] * len(full)], pa.binary()),
                     }
                 )
 
@@ -154,10 +180,16 @@ def _sketches(n: int, num: int, den: int, shards: int):  # noqa: ANN202
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Back from blobs to a row per document."""
+    """Back from blobs to a row per document; representatives have their sketch."""
     for b in batches:
         for i in range(b.num_rows):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b.column(c)[i].as_buffer(), np.int64)) for c in ("ids", "sizes", "reps")], ["doc_id", "n_shingles", "rep"])
+            ids, size, reps = (np.frombuffer(b.column(c)[i].as_buffer(), np.int64) for c in ("ids", "sizes", "reps"))
+            own = np.zeros(len(ids), np.int64)
+            fresh = np.flatnonzero((size > 0) & (np.frombuffer(b.column("fresh")[i].as_buffer(), np.bool_)))
+            own[fresh] = sketch_bits(size[fresh]) // 8
+            ends = np.append(0, np.cumsum(own)).astype(np.int32)
+            bits = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends), b.column("bits")[i].as_buffer()])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), pa.array(reps), bits], ["doc_id", "n_shingles", "rep", "bits"])
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,57 +255,68 @@ def _verify(num: int, den: int):  # noqa: ANN202
     return run
 
 
-def _cross(num: int, den: int):  # noqa: ANN202
-    """All links between different components within each group of a partition,
-    through an inverted index of the group; links that join components which
-    the group has already joined are left out."""
-
-    def links(doc: list[int], comp: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        parent = {c: c for c in comp}
-
-        def root(c: int) -> int:
-            while parent[c] != c:
-                parent[c] = c = parent[parent[c]]
-            return c
-
-        size = np.array([len(s) for s in sets])
-        tok = np.concatenate(sets)
-        own = np.repeat(np.arange(len(sets)), size)
-        order = np.argsort(tok, kind="stable")
-        tok, own = tok[order], own[order]
-        ends = np.searchsorted(tok, tok, "right")
-        ends = dict(zip(tok.tolist(), ends.tolist(), strict=True)) if len(tok) < 5_000_000 else None
-        common, _ = np.unique(comp, return_counts=True)
-        count = {c: comp.count(c) for c in common.tolist()}
-        for x in sorted(range(len(doc)), key=lambda i: count[comp[i]]):  # the largest component comes last and is then done
-            if all(root(c) == root(comp[x]) for c in parent):
-                return
-            lo = np.searchsorted(tok, sets[x], "left")
-            hi = np.searchsorted(tok, sets[x], "right") if ends is None else np.array([ends[t] for t in sets[x].tolist()])
-            hits = np.concatenate([own[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
-            both = np.bincount(hits, minlength=len(sets))
-            for y in np.flatnonzero(den * both >= num * (size + size[x] - both)).tolist():
-                if root(comp[y]) != root(comp[x]):
-                    parent[root(comp[y])] = root(comp[x])
-                    yield doc[x], doc[y]
+def _limit(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The largest symmetric difference of similar sets of these sizes; -1 if sizes rule that out."""
+    fits = num * np.maximum(a, b) <= den * np.minimum(a, b)
+    return np.where(fits, (den - num) * (a + b) // (den + num), -1)
+
+
+def _near(num: int, den: int):  # noqa: ANN202
+    """Pairs whose sketches' Hamming distance, a lower bound, does not rule them out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            limit = _limit(b.column("n").to_numpy(), b.column("center_n").to_numpy(), num, den)
+            ok = limit >= 0
+            for i in np.flatnonzero(ok).tolist():
+                x, y = (np.frombuffer(b.column(c)[i].as_buffer(), U64) for c in ("bits", "center_bits"))
+                words = min(len(x), len(y))
+                ok[i] = np.bitwise_count(fold(x, words) ^ fold(y, words)).sum() <= limit[i]
+            yield b.select(["doc", "center"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def _cross(num: int, den: int, best: bool):  # noqa: ANN202
+    """Pairs of different components within each group of a partition that their
+    sketches do not rule out: for each document all of them, or (best) the
+    nearest one of each other component."""
+
+    def pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        words = min(len(x) for x in bits)
+        sk = np.stack([fold(x, words) for x in bits])
+        step = max(1, 4_000_000 // (len(doc) * words))
+        for lo in range(0, len(doc), step):
+            hi = min(len(doc), lo + step)
+            far = np.bitwise_count(sk[lo:hi, None, :] ^ sk[None, :, :]).sum(axis=2, dtype=np.int64)
+            ok = (far <= _limit(n[lo:hi, None], n[None, :], num, den)) & (comp[lo:hi, None] != comp[None, :])
+            x, y = np.nonzero(ok if best else ok & (doc[lo:hi, None] < doc[None, :]))
+            if best and len(x):
+                order = np.lexsort((far[x, y], comp[y], x))
+                x, y = x[order], y[order]
+                first = np.append(True, (x[1:] != x[:-1]) | (comp[y][1:] != comp[y][:-1]))
+                x, y = x[first], y[first]
+            if len(x):
+                a, c = doc[lo + x], doc[y]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, c)), pa.array(np.minimum(a, c))], ["doc", "center"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, doc, comp, sets = None, [], [], []
+        now, held = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
+            doc, comp, n, bits = zip(*held, strict=True)
             if len(set(comp)) > 1:
-                found = list(links(doc, comp, sets))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["doc", "center"])
+                yield from pairs(np.array(doc), np.array(comp), np.array(n), list(bits))
 
         for b in batches:
-            for g, i, j, d, c, s in zip(*(b.column(k).to_pylist() for k in ("gid", "i", "j", "doc", "comp")), b.column("set"), strict=True):
+            for g, i, j, d, c, n, s in zip(*(b.column(k).to_pylist() for k in ("gid", "i", "j", "doc", "comp", "n")), b.column("bits"), strict=True):
                 if (g, i, j) != now:
-                    yield from flush()
-                    now, doc, comp, sets = (g, i, j), [], [], []
-                doc.append(d)
-                comp.append(c)
-                sets.append(np.frombuffer(s.as_buffer(), U64).copy())
-        yield from flush()
+                    if held:
+                        yield from flush()
+                    now, held = (g, i, j), []
+                held.append((d, c, n, np.frombuffer(s.as_py(), U64)))
+        if held:
+            yield from flush()
 
     return run
 
@@ -302,26 +345,43 @@ def similar_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = store.width(spark, size / 12, SHARD_KEYS)
     sketch = store.save(keyed.mapInArrow(_sketches(n, num, den, shards), SKETCH), "sketch")
-    members = sketch.where("shard = -1").select("ids", "sizes", "reps").mapInArrow(_members, "doc_id long, n_shingles long, rep long")
+    members = sketch.where("shard = -1").select("ids", "sizes", "reps", "bits", "fresh").mapInArrow(_members, "doc_id long, n_shingles long, rep long, bits binary")
+    reps = members.where("length(bits) > 0").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "bits").dropDuplicates(["doc"])
     blocks = sketch.where("shard >= 0").select("shard", "keys", "ids").repartitionById(shards, "shard")
     found = store.save(blocks.mapInArrow(_stars, "gid long, doc long, center long"), "stars")
+    link = "doc long, center long"
+    other = reps.select(*[F.col(c).alias(f"center_{c}" if c != "doc" else "center") for c in reps.columns])
 
-    pairs = store.save(found.where("gid is null").select("doc", "center").distinct(), "pairs")
-    need = pairs.select("doc").union(pairs.select("center")).distinct()
-    sets = store.save(keyed.join(need, keyed["doc_id"] == need["doc"], "left_semi").mapInArrow(_sets(n), "doc long, set binary"), "sets").dropDuplicates(["doc"])
-    both = pairs.join(sets, "doc").join(sets.select(F.col("doc").alias("center"), F.col("set").alias("center_set")), "center")
-    edges = store.save(both.select("doc", "center", "set", "center_set").mapInArrow(_verify(num, den), "doc long, center long"), "edges")
-    comp = components(edges, "doc", "center")
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        both = pairs.join(sets, "doc").join(sets.select(F.col("doc").alias("center"), F.col("set").alias("center_set")), "center")
+        return store.save(both.select("doc", "center", "set", "center_set").mapInArrow(_verify(num, den), link), "edges")
 
-    group = found.where("gid is not null").select("gid", "doc").distinct().join(comp.withColumnRenamed("node", "doc"), "doc", "left")
-    group = store.save(group.select("gid", "doc", F.coalesce("component", "doc").alias("comp")), "groups")
-    several = group.groupBy("gid").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m")).where("a < b")
-    cut = F.ceil(F.col("m") / BLOCK).cast("int")
-    open_ = group.join(several, "gid").withColumn("c", cut).withColumn("k", F.pmod(F.xxhash64("doc"), F.col("c")).cast("int"))
-    open_ = open_.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select("gid", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "doc", "comp")
-    open_ = open_.join(sets, "doc").repartition(store.width(spark), "gid", "i", "j").sortWithinPartitions("gid", "i", "j")
-    more = store.save(open_.select("gid", "i", "j", "doc", "comp", "set").mapInArrow(_cross(num, den), "doc long, center long").distinct(), "edges")
-    comp = store.save(components(edges.union(more), "doc", "center"), "components")
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        need = pairs.select("doc").union(pairs.select("center")).distinct()
+        return store.save(keyed.join(need, keyed["doc_id"] == need["doc"], "left_semi").mapInArrow(_sets(n), "doc long, set binary").dropDuplicates(["doc"]), "sets")
+
+    pairs = found.where("gid is null").select("doc", "center").distinct().join(reps, "doc").join(other, "center")
+    pairs = store.save(pairs.select("doc", "center", "n", "center_n", "bits", "center_bits").mapInArrow(_near(num, den), link), "pairs")
+    edges = verified(pairs, sets_of(pairs))
+    comp = components(edges, "doc", "center")
+    group = store.save(found.where("gid is not null").select("gid", "doc").distinct(), "groups")
+
+    def across(best: bool) -> DataFrame:
+        """Pairs across components in the groups that still have several."""
+        g = group.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("gid", "doc", F.coalesce("component", "doc").alias("comp"))
+        several = g.groupBy("gid").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m")).where("a < b").select("gid", F.ceil(F.col("m") / BLOCK).cast("int").alias("c"))
+        g = g.join(several, "gid").withColumn("k", F.pmod(F.xxhash64("doc"), F.col("c")).cast("int"))
+        g = g.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select("gid", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "doc", "comp")
+        g = g.join(reps, "doc").repartition(store.width(spark), "gid", "i", "j").sortWithinPartitions("gid", "i", "j")
+        return store.save(g.select("gid", "i", "j", "doc", "comp", "n", "bits").mapInArrow(_cross(num, den, best), link).distinct(), "pairs")
+
+    nearest = across(best=True)
+    if not nearest.isEmpty():
+        sets = sets_of(nearest)
+        edges = edges.union(verified(nearest, sets))
+        comp = components(edges, "doc", "center")
+        rest = across(best=False).join(nearest, ["doc", "center"], "left_anti")
+        comp = components(edges.union(verified(rest, sets)), "doc", "center")
 
     out = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     label = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

@@ -45,24 +45,41 @@ def _pow(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base, U64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n <= SLICE_BYTES + 1:
+        if n <= 4 * SLICE_BYTES:
             _powers[base] = have
     return have[:n]
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets) for runs of rows of at most SLICE_BYTES of text, or one row."""
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets) for runs of rows of at most size bytes of text (or one
+    row) and at most 65,536 rows, which a run's index of 16 bits can tell apart."""
     i = batch.schema.get_field_index(column)
     col = batch.column(i).fill_null("").cast(pa.large_string())
     off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
     data = np.frombuffer(col.buffers()[2], np.uint8) if len(col) and col.buffers()[2] is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(col):
-        to = max(at + 1, int(np.searchsorted(off, off[at] + SLICE_BYTES, "right")) - 1)
+        to = min(at + (1 << 16), max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1))
         yield batch.slice(at, to - at), data[off[at] : off[to]], off[at : to + 1] - off[at]
         at = to
 
 
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, lower-casing A-Z."""
+    total = np.zeros(len(data) + 1, U64)
+    np.cumsum(_BYTE[LOWER[data]] * _pow(_M, len(data)), out=total[1:], dtype=U64)
+    return mix((total[ends] - total[starts]) * _pow(_M_INV, len(data) + 1)[starts])
+
+
+def hash_windows(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n values from each position on, as if zeros followed the last."""
+    h = np.concatenate([h, np.zeros(n, U64)])
+    total = np.zeros(len(h) + 1, U64)
+    np.cumsum(h * _pow(_M, len(h)), out=total[1:], dtype=U64)
+    at = np.arange(len(h) - n)
+    return mix((total[at + n] - total[at]) * _pow(_M_INV, len(h))[at] + U64(n))
+
+
 class Words:
     """The words of consecutive documents.
 
@@ -83,9 +100,7 @@ class Words:
         self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.starts, off)
         if hashes:
-            total = np.zeros(len(data) + 1, U64)
-            np.cumsum(_BYTE[LOWER[data]] * _pow(_M, len(data)), out=total[1:], dtype=U64)
-            self.h = mix((total[self.ends] - total[self.starts]) * _pow(_M_INV, len(data) + 1)[self.starts])
+            self.h = hash_spans(data, self.starts, self.ends)
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -96,13 +111,8 @@ class Words:
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the n words from each word on, and whether they end in its document."""
-        h = np.zeros(len(self) + n, U64)
-        h[: len(self)] = self.h
-        total = np.zeros(len(h) + 1, U64)
-        np.cumsum(h * _pow(_M, len(h)), out=total[1:], dtype=U64)
         at = np.arange(len(self))
-        out = mix((total[at + n] - total[at]) * _pow(_M_INV, len(h))[at] + U64(n))
-        return out, at + n <= np.repeat(self.first[1:], np.diff(self.first))
+        return hash_windows(self.h, n), at + n <= np.repeat(self.first[1:], np.diff(self.first))
 
 
 def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
