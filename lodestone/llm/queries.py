@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join
+from . import decontaminate, exact_dedup, jaccard_join, lm_trie
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,16 +16,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(modulus: int) -> Column:
+    """crc32(doc_id as text) mod modulus is 1."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == 1, F.lit(False))
+
+
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_trie.score(table(spark, sf_dir, "documents"), fold(5))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_jaccard_join, op6_exact_dedup)}
+    return {f.__name__: f for f in (op1_jaccard_join, op3_decontaminate, op6_exact_dedup, op10_lm_trie)}
 
 
 OP6 = """
