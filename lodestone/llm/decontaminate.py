@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
-from .text import U64, Words, hash_spans, hash_windows, mix, slices
+from .text import U64, Words, cores, hash_spans, hash_windows, mix, slices
 
 WINDOW = 10  #: template tokens; a shorter item is one window of its own length
 LEAST_LITERAL = 0.5  #: of a window's tokens must be words, not placeholders
@@ -35,8 +35,6 @@ dollar dollars cent cents euro euros usd eur gbp kb mb gb tb
 """.split()
 NUMBER, UNIT, NAME = 1, 2, 3
 
-_PUNCT = np.zeros(256, bool)
-_PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:"]] = True
 
@@ -60,19 +58,12 @@ class Template:
 
     def __init__(self, data: np.ndarray, off: np.ndarray) -> None:
         w = Words(data, off, hashes=False)
-        at = np.arange(len(data))
-        punct = _PUNCT[data]
-        after = np.minimum.accumulate(np.where(punct, len(data), at)[::-1])[::-1]
-        before = np.maximum.accumulate(np.where(punct, -1, at))
-        starts = after[w.starts] if len(w) else w.starts
-        some = np.flatnonzero(starts < w.ends)
-        starts, ends = starts[some], before[w.ends[some] - 1] + 1
+        some, starts, ends, self.first = cores(w)
         lines = np.append(0, np.cumsum(data == 10))
         opens = np.ones(len(w), bool)  # the first word of a sentence or line
         opens[1:] = _STOP[data[w.ends[:-1] - 1]] | (lines[w.starts[1:]] > lines[w.ends[:-1]])
         opens[w.first[:-1][np.diff(w.first) > 0]] = True
         opens = opens[some]
-        self.first = np.searchsorted(some, w.first)
         self.h = hash_spans(data, starts, ends)
         lead, second = data[starts], data[np.minimum(starts + 1, len(data) - 1)]
         two = ends - starts > 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, lm_trie
+from . import decontaminate, exact_dedup, html_text, jaccard_join, lm_trie, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,20 +25,32 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(3))
+
+
 def op10_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_trie.score(table(spark, sf_dir, "documents"), fold(5))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_jaccard_join, op3_decontaminate, op6_exact_dedup, op10_lm_trie)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_html_text, op3_decontaminate, op5_url_filter, op6_exact_dedup, op9_toxicity, op10_lm_trie)}
 
 
 OP6 = """

@@ -143,3 +143,19 @@ def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     h, doc = h[keep], doc[keep]
     return h, np.searchsorted(doc, np.arange(len(count) + 1))
+
+
+_PUNCT = np.zeros(256, bool)
+_PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+
+
+def cores(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words without the ASCII punctuation around them: (which words have something
+    left, starts, ends, first), first as in Words."""
+    at = np.arange(len(words.data))
+    punct = _PUNCT[words.data]
+    after = np.minimum.accumulate(np.where(punct, len(at), at)[::-1])[::-1]
+    before = np.maximum.accumulate(np.where(punct, -1, at))
+    starts = after[words.starts] if len(words) else words.starts
+    some = np.flatnonzero(starts < words.ends)
+    return some, starts[some], before[words.ends[some] - 1] + 1, np.searchsorted(some, words.first)
