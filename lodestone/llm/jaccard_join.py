@@ -279,26 +279,33 @@ def _near(num: int, den: int):  # noqa: ANN202
 
 def _cross(num: int, den: int, best: bool):  # noqa: ANN202
     """Pairs of different components within each group of a partition that their
-    sketches do not rule out: for each document all of them, or (best) the
-    nearest one of each other component."""
+    sketches do not rule out: all of them, or (best) the nearest one of any two
+    components."""
 
     def pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         words = min(len(x) for x in bits)
         sk = np.stack([fold(x, words) for x in bits])
         step = max(1, 4_000_000 // (len(doc) * words))
+        near: dict[tuple[int, int], tuple[int, int, int]] = {}
         for lo in range(0, len(doc), step):
             hi = min(len(doc), lo + step)
             far = np.bitwise_count(sk[lo:hi, None, :] ^ sk[None, :, :]).sum(axis=2, dtype=np.int64)
-            ok = (far <= _limit(n[lo:hi, None], n[None, :], num, den)) & (comp[lo:hi, None] != comp[None, :])
-            x, y = np.nonzero(ok if best else ok & (doc[lo:hi, None] < doc[None, :]))
+            x, y = np.nonzero((far <= _limit(n[lo:hi, None], n[None, :], num, den)) & (comp[lo:hi, None] < comp[None, :]))
             if best and len(x):
-                order = np.lexsort((far[x, y], comp[y], x))
-                x, y = x[order], y[order]
-                first = np.append(True, (x[1:] != x[:-1]) | (comp[y][1:] != comp[y][:-1]))
-                x, y = x[first], y[first]
-            if len(x):
-                a, c = doc[lo + x], doc[y]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, c)), pa.array(np.minimum(a, c))], ["doc", "center"])
+                far = far[x, y]
+                order = np.lexsort((far, comp[y], comp[lo + x]))
+                x, y, far = x[order], y[order], far[order]
+                first = np.append(True, (comp[lo + x][1:] != comp[lo + x][:-1]) | (comp[y][1:] != comp[y][:-1]))
+                for a, c, f in zip((lo + x[first]).tolist(), y[first].tolist(), far[first].tolist(), strict=True):
+                    key = (comp[a], comp[c])
+                    near[key] = min(near.get(key, (f, a, c)), (f, a, c))
+            elif len(x):
+                yield rows(doc[lo + x], doc[y])
+        if near:
+            yield rows(doc[[a for _, a, _ in near.values()]], doc[[c for _, _, c in near.values()]])
+
+    def rows(a: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, c)), pa.array(np.minimum(a, c))], ["doc", "center"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -375,13 +382,12 @@ def similar_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
         g = g.join(reps, "doc").repartition(store.width(spark), "gid", "i", "j").sortWithinPartitions("gid", "i", "j")
         return store.save(g.select("gid", "i", "j", "doc", "comp", "n", "bits").mapInArrow(_cross(num, den, best), link).distinct(), "pairs")
 
-    nearest = across(best=True)
-    if not nearest.isEmpty():
-        sets = sets_of(nearest)
-        edges = edges.union(verified(nearest, sets))
+    for best in (True, False):
+        more = across(best)
+        if more.isEmpty():
+            break
+        edges = edges.union(verified(more, sets_of(more)))
         comp = components(edges, "doc", "center")
-        rest = across(best=False).join(nearest, ["doc", "center"], "left_anti")
-        comp = components(edges.union(verified(rest, sets)), "doc", "center")
 
     out = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     label = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
