@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, jaccard_join, lm_trie, toxicity, url_filter
+from . import decontaminate, exact_dedup, html_text, jaccard_join, lm_trie, suffix_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -50,7 +54,7 @@ def op10_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_html_text, op3_decontaminate, op5_url_filter, op6_exact_dedup, op9_toxicity, op10_lm_trie)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_html_text, op3_decontaminate, op4_suffix_dedup, op5_url_filter, op6_exact_dedup, op9_toxicity, op10_lm_trie)}
 
 
 OP6 = """
