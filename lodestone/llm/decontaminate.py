@@ -156,8 +156,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_cover: float = LEA
     hit = store.save(hit, "hits")
     slot = hit.select("doc_id", "item_id", "off", F.explode_outer("slots").alias("s"))
     slot = slot.groupBy("doc_id", "item_id", "off", F.col("s")["i"].alias("i")).agg(F.min(F.col("s")["d"]).alias("lo"), F.max(F.col("s")["d"]).alias("hi"))
-    same = slot.groupBy("doc_id", "item_id", "off").agg(F.max(F.coalesce(F.col("lo") != F.col("hi"), F.lit(False))).alias("clash"), F.max(F.coalesce(F.col("lo") != F.col("i"), F.lit(False))).alias("changed"))
-    good = hit.select("doc_id", "item_id", "off", "item_at").join(same.where("not clash"), ["doc_id", "item_id", "off"])
+    none = [F.lit(None).cast("boolean").alias(c) for c in ("clash", "changed")]
+    facts = slot.select("doc_id", "item_id", "off", (F.col("lo") != F.col("hi")).alias("clash"), (F.col("lo") != F.col("i")).alias("changed"), F.lit(None).cast("int").alias("item_at"))
+    facts = facts.union(hit.select("doc_id", "item_id", "off", *none, "item_at"))
+    whole = facts.groupBy("doc_id", "item_id", "off").agg(F.max("clash").alias("clash"), F.max("changed").alias("changed"), F.collect_set("item_at").alias("places"))  # an item's places: bounded by its length
+    good = whole.where(~F.coalesce("clash", F.lit(False))).select("doc_id", "item_id", F.coalesce("changed", F.lit(False)).alias("changed"), F.explode("places").alias("item_at"))
     place = good.groupBy("doc_id", "item_id", "item_at").agg(F.min("changed").alias("changed"))
     total = item.groupBy(F.col("item_id").alias("__item")).agg(F.countDistinct("item_at").alias("item_windows"))
     out = place.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"), F.max("changed").alias("reparameterised"))
