@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, jaccard_join, lm_trie, quality, suffix_dedup, toxicity, url_filter
+from . import decontaminate, exact_dedup, html_text, jaccard_join, lm_trie, mixing, quality, suffix_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(3))
 
@@ -58,7 +62,10 @@ def op10_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_html_text, op3_decontaminate, op4_suffix_dedup, op5_url_filter, op6_exact_dedup, op7_quality, op9_toxicity, op10_lm_trie)}
+    from corpus_pipeline import run as pipeline
+
+    own = {f.__name__: f for f in (op1_jaccard_join, op2_html_text, op3_decontaminate, op4_suffix_dedup, op5_url_filter, op6_exact_dedup, op7_quality, op8_mixing, op9_toxicity, op10_lm_trie)}
+    return own | {"pipeline": pipeline}
 
 
 OP6 = """
