@@ -97,8 +97,25 @@ def _suffixes(shards: int, least: int, window: int, seed: int):  # noqa: ANN202
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorts a shard's entries; those equal to a neighbour, as (document, places)."""
+def _arrays(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray]:
+    parts = [(np.frombuffer(d.as_buffer(), np.int64), np.frombuffer(p.as_buffer(), np.int32)) for b in batches for d, p in zip(b.column(names[0]), b.column(names[1]), strict=True)]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)] or [np.zeros(0, np.int64), np.zeros(0, np.int32)]
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document: its places, in order."""
+    doc, place = _arrays(batches, "docs", "places")
+    order = np.lexsort((place, doc))
+    doc, place = doc[order], place[order]
+    start = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+    ends = np.append(start[1:], len(doc))
+    for lo in range(0, len(start), 20_000):
+        s, e = start[lo : lo + 20_000], ends[lo : lo + 20_000]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array([place[a:b].tobytes() for a, b in zip(s.tolist(), e.tolist(), strict=True)], pa.binary())], ["row", "places"])
+
+
+def _repeated(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """Sorts a shard's entries; those equal to a neighbour, packed by the shard of their document."""
     keys, docs, places, known, known_at = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [], []
     for b in batches:
         for k, d, p in zip(b.column("keys"), b.column("docs"), b.column("places"), strict=True):
@@ -112,13 +129,12 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     same = key[order][1:] == key[order][:-1]
     twice = order[(np.append(False, same) | np.append(same, False))[: len(key)]]
     doc, place = np.concatenate([doc[twice], *known]), np.concatenate([place[twice], *known_at])
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    start = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-    ends = np.append(start[1:], len(doc))
-    for lo in range(0, len(start), 20_000):
-        s, e = start[lo : lo + 20_000], ends[lo : lo + 20_000]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array([place[a:b].tobytes() for a, b in zip(s.tolist(), e.tolist(), strict=True)], pa.binary())], ["row", "places"])
+    shard = mix(doc.astype(U64)) % U64(shards)
+    by = np.argsort(shard, kind="stable")
+    cut = np.searchsorted(shard[by], np.arange(shards + 1).astype(U64))
+    full = np.flatnonzero(np.diff(cut)).tolist()
+    part = lambda x: pa.array([x[by[cut[s] : cut[s + 1]]].tobytes() for s in full], pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), part(doc), part(place)], ["shard", "docs", "places"])
 
 
 def _windows(shards: int, least: int, window: int):  # noqa: ANN202
@@ -132,8 +148,8 @@ def _windows(shards: int, least: int, window: int):  # noqa: ANN202
                 w = Words(data, off)
                 key, whole = w.windows(least)
                 mark = np.zeros(len(w) + 1, np.int64)
-                for i, lists in enumerate(rows.column("places").to_pylist()):
-                    at = np.concatenate([np.frombuffer(x, np.int32) for x in lists]) + w.first[i]
+                for i, x in enumerate(rows.column("places")):
+                    at = np.frombuffer(x.as_buffer(), np.int32) + w.first[i]
                     at = at[at < w.first[i + 1]]
                     np.add.at(mark, np.maximum(at - window + 1, w.first[i]), 1)
                     np.add.at(mark, at + 1, -1)
@@ -152,8 +168,8 @@ def _spans(least: int):  # noqa: ANN202
             for rows, data, off in slices(batch, "text"):
                 w = Words(data, off, hashes=False)
                 out: list[tuple] = []
-                for i, (doc, lists) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("places").to_pylist(), strict=True)):
-                    at = np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in lists]))
+                for i, (doc, x) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("places"), strict=True)):
+                    at = np.unique(np.frombuffer(x.as_buffer(), np.int32))
                     at = at[at + least <= w.first[i + 1] - w.first[i]]
                     new = np.flatnonzero(np.append(True, at[1:] > at[:-1] + least))
                     for s, e in zip(at[new].tolist(), at[np.append(new[1:], len(at)) - 1].tolist(), strict=True):
@@ -181,15 +197,16 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, window: int = WIN
     bytes_ = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = store.width(spark, bytes_ / 6 * 2 / (window + 1), SHARD_SUFFIXES)
     kept = d.mapInArrow(_suffixes(shards, least, window, seed), PACKED).repartitionById(shards, "shard")
-    places = store.save(kept.mapInArrow(_repeated, "row long, places binary"), "suffixes")
 
-    lists = places.groupBy("row").agg(F.collect_list("places").alias("places"))  # a document's own places: bounded by its length
-    near = store.save(d.join(lists, "row"), "regions")
+    def places(packed: DataFrame) -> DataFrame:
+        n = shards
+        found = packed.mapInArrow(lambda batches: _repeated(batches, n), "shard int, docs binary, places binary")
+        return found.repartitionById(n, "shard").select("docs", "places").mapInArrow(_by_document, "row long, places binary")
+
+    near = store.save(d.join(places(kept), "row"), "regions")
     n = near.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = store.width(spark, n / 6, SHARD_SUFFIXES)
     again = near.mapInArrow(_windows(shards, least, window), PACKED).repartitionById(shards, "shard")
-    hits = store.save(again.mapInArrow(_repeated, "row long, places binary"), "windows")
-    lists = hits.groupBy("row").agg(F.collect_list("places").alias("places"))
-    own = near.select(F.col("row").alias("doc_id"), "text").join(lists, F.col("doc_id") == F.col("row"))
+    own = near.select(F.col("row").alias("doc_id"), "text").join(places(again), F.col("doc_id") == F.col("row"))
     spans = own.select("doc_id", "text", "places").mapInArrow(_spans(least), "doc_id long, start_word int, end_word int, passage string")
     return spans.withColumn("n_words", F.col("end_word") - F.col("start_word")).select("doc_id", "start_word", "end_word", "n_words", "passage")
