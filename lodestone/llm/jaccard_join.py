@@ -389,8 +389,11 @@ def similar_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
         edges = edges.union(verified(more, sets_of(more)))
         comp = components(edges, "doc", "center")
 
-    out = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    label = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    # A representative need not be the smallest of its copies, so labels are the least ids of all members.
+    own = members.groupBy("rep").agg(F.min("doc_id").alias("least")).join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    own = own.select("rep", "least", F.coalesce("component", "rep").alias("c"))
+    label = own.join(own.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("rep", "component_id")
+    label = members.join(label, "rep").select("doc_id", "n_shingles", "component_id")
     lost = d.where("doc_id is null").mapInArrow(_sets(n), "doc long, set binary").select(F.col("doc").alias("doc_id"), (F.length("set") / 8).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return label.union(lost)
 
