@@ -34,6 +34,7 @@ from .graph import components
 from .text import U64, Words, mix, shingle_sets, slices
 
 SEEDS = 6
+KEY_BYTES = 5  #: kept of a key within its shard; a chance likeness only adds a candidate
 SHARD_KEYS = 1_500_000  #: block keys that one task sorts, on average
 BLOCK = 4096  #: members of a hot group that are compared in one task
 
@@ -50,8 +51,11 @@ def bands(num: int, den: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         a = low[j + 1] - 1
         b = min(low[j + 2] - 1, den * a // num)
         k.append((den - num) * (a + b) // (den + num))
-        weak.append(2 if k[-1] >= 8 else 1)
         e.append(0 if not k[-1] else 1 + k[-1] // 10)
+        # Blocks of one token are weak, too, if a typical set then has at most e weak blocks.
+        many, load = k[-1] + 1 + e[-1], 1.1 * low[j] / (k[-1] + 1 + e[-1])
+        few = many * np.exp(-load) * (1 + load)
+        weak.append(2 if few + 2 * np.sqrt(few) <= e[-1] else 1)
     return np.array(low), np.array(k) + 1 + np.array(e), np.array(e), np.array(weak)
 
 
@@ -128,6 +132,20 @@ def fold(x: np.ndarray, words: int) -> np.ndarray:
     return x
 
 
+def _pack_ids(table: np.ndarray, at: np.ndarray) -> bytes:
+    """table[at], as 16-bit places in the table where that is shorter."""
+    if 8 * len(table) + 2 * len(at) < 8 * len(at):
+        return len(table).to_bytes(4, "little") + table.tobytes() + at.astype(np.uint16).tobytes()
+    return bytes(4) + table[at].tobytes()
+
+
+def _unpack_ids(body: bytes) -> np.ndarray:
+    n = int.from_bytes(body[:4], "little")
+    if not n:
+        return np.frombuffer(body, np.int64, offset=4)
+    return np.frombuffer(body, np.int64, n, 4)[np.frombuffer(body, np.uint16, offset=4 + 8 * n)]
+
+
 def _sketches(n: int, num: int, den: int, shards: int):  # noqa: ANN202
     """Rows of whole slices of a partition: shard -1 has each document's id, set
     size and representative; shards from 0 on have (key, document) of the blocks.
@@ -161,13 +179,13 @@ def _sketches(n: int, num: int, den: int, shards: int):  # noqa: ANN202
                 # The scheme of a doc is fixed by its size; a key's top bits choose the shard.
                 shard = ((keys >> U64(40)) * U64(shards) >> U64(24)).astype(np.int32)
                 order = np.argsort(shard, kind="stable")
-                keys, doc, shard = keys[order], ids[pick][doc[order]], shard[order]
+                keys, doc, shard = keys[order].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES], doc[order], shard[order]
                 cut = np.searchsorted(shard, np.arange(shards + 1))
                 full = np.flatnonzero(np.diff(cut))
                 yield pa.RecordBatch.from_pydict(
                     {
                         "shard": pa.array(np.append(-1, full), pa.int32()),
-                        "ids": pa.array([ids.tobytes(), *(doc[cut[s] : cut[s + 1]].tobytes() for s in full)], pa.binary()),
+                        "ids": pa.array([ids.tobytes(), *(_pack_ids(ids[pick], doc[cut[s] : cut[s + 1]]) for s in full)], pa.binary()),
                         "sizes": pa.array([size.astype(np.int64).tobytes(), *[None] * len(full)], pa.binary()),
                         "reps": pa.array([reps.tobytes(), *[None] * len(full)], pa.binary()),
                         "keys": pa.array([None, *(keys[cut[s] : cut[s + 1]].tobytes() for s in full)], pa.binary()),
@@ -198,11 +216,12 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, ids = [], []
     for b in batches:
         for k, d in zip(b.column("keys"), b.column("ids"), strict=True):
-            keys.append(np.frombuffer(k.as_buffer(), U64))
-            ids.append(np.frombuffer(d.as_buffer(), np.int64))
+            ids.append(_unpack_ids(d.as_py()))
+            keys.append(np.zeros((len(ids[-1]), 8), np.uint8))
+            keys[-1][:, :KEY_BYTES] = np.frombuffer(k.as_buffer(), np.uint8).reshape(-1, KEY_BYTES)
     if not keys:
         return
-    key, doc = np.concatenate(keys), np.concatenate(ids)
+    key, doc = np.concatenate(keys).view(U64).ravel(), np.concatenate(ids)
     del keys, ids
     order = np.argsort(key)
     key, doc = key[order], doc[order]
@@ -400,5 +419,4 @@ def similar_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs without those that belong to another document's group."""
-    gone = similar_groups(docs, n, num, den).where("doc_id != component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    return store.without(docs, similar_groups(docs, n, num, den).where("doc_id != component_id").select("doc_id"))
