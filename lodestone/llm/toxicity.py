@@ -96,6 +96,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(n, pa.int64())], ["name", "n"])
 
 
+def _count_known(featurize: Featurizer):  # noqa: ANN202
+    """Per batch, in how many rows each of the featurizer's features occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, off in slices(batch, "text"):
+                at, n = np.unique(featurize(data, off)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n, pa.int64())], ["i", "n"])
+
+    return run
+
+
 def _index(featurize: Featurizer, swaps: dict[bytes, bytes]):  # noqa: ANN202
     """A row per labelled row: its label, features, and those of its counterfactual (null: none)."""
     import re
@@ -115,31 +127,36 @@ def _index(featurize: Featurizer, swaps: dict[bytes, bytes]):  # noqa: ANN202
                     if new != text:
                         d = np.frombuffer(new, np.uint8)
                         other[i] = featurize(d, np.array([0, len(d)]))[1].tolist()
-                yield pa.RecordBatch.from_arrays([rows.column("label").cast(pa.int32()), pa.array([at[cut[i] : cut[i + 1]].tolist() for i in range(n)], pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], ["label", "has", "swapped"])
+                has = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(at, pa.int32()))
+                yield pa.RecordBatch.from_arrays([rows.column("label").cast(pa.int32()), has, pa.array(other, pa.list_(pa.int32()))], ["label", "has", "swapped"])
 
     return run
 
 
-class _Rows:
-    """A sparse 0/1 matrix."""
+class Rows:
+    """A sparse 0/1 matrix: the columns of row i are col[first[i]:first[i+1]]."""
 
-    def __init__(self, lists: list[list[int]]) -> None:
-        self.n = np.array([len(x) for x in lists], np.int64)
-        self.col = np.array([c for x in lists for c in x], np.int64)
-        self.row = np.repeat(np.arange(len(lists)), self.n)
+    def __init__(self, col: np.ndarray, first: np.ndarray) -> None:
+        self.col, self.n = col, len(first) - 1
+        self.row = np.repeat(np.arange(self.n), np.diff(first))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.col], minlength=len(self.n))
+        return np.bincount(self.row, weights=w[self.col], minlength=self.n)
 
     def t_dot(self, r: np.ndarray, width: int) -> np.ndarray:
         return np.bincount(self.col, weights=r[self.row], minlength=width)
 
 
-def fit(label: np.ndarray, has: list[list[int]], swapped: list[list[int] | None], width: int) -> tuple[np.ndarray, float]:
-    """Weights and bias by proximal Adam; both classes weigh the same."""
-    x = _Rows(has)
-    cf = [i for i, s in enumerate(swapped) if s is not None]
-    a, b = _Rows([has[i] for i in cf]), _Rows([swapped[i] for i in cf])
+def _rows(lists: pa.ChunkedArray) -> Rows:
+    x = lists.combine_chunks() if lists.num_chunks else pa.array([], lists.type)
+    x = pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x
+    first = x.offsets.to_numpy() - (x.offsets[0].as_py() if len(x) else 0)
+    return Rows(x.flatten().to_numpy(zero_copy_only=False).astype(np.int64), first if len(x) else np.zeros(1, np.int64))
+
+
+def fit(label: np.ndarray, x: Rows, a: Rows, b: Rows, width: int) -> tuple[np.ndarray, float]:
+    """Weights and bias by proximal Adam; both classes weigh the same. a and b
+    are the rows that name identity terms, as they are and with terms swapped."""
     share = max(1, int(label.sum())), max(1, int((1 - label).sum()))
     c = np.where(label == 1, 0.5 / share[0], 0.5 / share[1])
     w, bias = np.zeros(width), 0.0
@@ -148,8 +165,8 @@ def fit(label: np.ndarray, has: list[list[int]], swapped: list[list[int] | None]
         p = 1 / (1 + np.exp(-np.clip(x.dot(w) + bias, -40, 40)))
         r = c * (p - label)
         g = x.t_dot(r, width)
-        if cf:
-            change = CF_WEIGHT * (a.dot(w) - b.dot(w)) / len(cf)
+        if a.n:
+            change = CF_WEIGHT * (a.dot(w) - b.dot(w)) / a.n
             g += a.t_dot(change, width) - b.t_dot(change, width)
         g = np.append(g, r.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -186,21 +203,23 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     n = own.agg(F.sum("label"), F.count("*")).first()
     least = max(LEAST_ROWS, int(LEAST_SHARE * (n[0] or 0)))
     count = own.where("label = 1").select("text").mapInArrow(_count, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    names = np.array([r["name"] for r in count.orderBy(F.desc("n"), "name").limit(MAX_FEATURES).collect()], np.int64).view(U64)
-    extra = {f for g in IDENTITY for w in g for f in _of(w)}
-    names = np.unique(np.concatenate([names, np.array(sorted(extra), U64)]))
+    found = count.orderBy(F.desc("n"), "name").limit(MAX_FEATURES).toArrow()
+    seen = dict(zip(found.column("name").to_numpy().view(U64).tolist(), found.column("n").to_pylist(), strict=True))
+    extra = np.array(sorted({f for g in IDENTITY for w in g for f in _of(w)}), U64)
+    names = np.unique(np.concatenate([np.array(list(seen), U64), extra]))
+    toxic = np.array([seen.get(x, 0) for x in names.tolist()], float)
+    other = np.zeros(len(names))
+    known = own.where("label = 0").select("text").mapInArrow(_count_known(Featurizer(names)), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    other[known.column("i").to_numpy()] = known.column("n").to_numpy()
+    n_toxic, n_other = (n[0] or 0), n[1] - (n[0] or 0)
+    lift = ((toxic + 0.5) / (n_toxic + 1)) / ((other + 0.5) / (n_other + 1))
+    names = names[(lift >= LEAST_LIFT) | np.isin(names, extra)]
     swaps = {w.encode(): g[(i + 1) % len(g)].encode() for g in IDENTITY for i, w in enumerate(g)}
     data = own.mapInArrow(_index(Featurizer(names), swaps), "label int, has array<int>, swapped array<int>").toArrow()
     label = data.column("label").to_numpy().astype(np.float64)
-    has, swapped = data.column("has").to_pylist(), data.column("swapped").to_pylist()
-    x = _Rows(has)
-    toxic, other = x.t_dot(label, len(names)), x.t_dot(1 - label, len(names))
-    lift = ((toxic + 0.5) / (label.sum() + 1)) / ((other + 0.5) / (len(label) - label.sum() + 1))
-    keep = (lift >= LEAST_LIFT) | np.isin(names, np.array(sorted(extra), U64))
-    to = np.where(keep, np.cumsum(keep) - 1, -1)
-    shrink = lambda xs: [to[c] for c in xs if to[c] >= 0]
-    w, bias = fit(label, [shrink(h) for h in has], [None if s is None else shrink(s) for s in swapped], int(keep.sum()))
-    return Model(names[keep][w != 0], w[w != 0], bias)
+    named = data.filter(data.column("swapped").is_valid())
+    w, bias = fit(label, _rows(data.column("has")), _rows(named.column("has")), _rows(named.column("swapped")), len(names))
+    return Model(names[w != 0], w[w != 0], bias)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
