@@ -112,7 +112,7 @@ def _windows(sizes: list[int], keep: np.ndarray | None):  # noqa: ANN202
                     if keep is not None:
                         ok &= (keep[(h >> U64(6)) & U64(len(keep) - 1)] >> (h & U64(63)) & U64(1)).astype(bool)
                     elif n < WINDOW:
-                        ok = (count == n)[doc]
+                        ok &= (count == n)[doc]
                     at = np.flatnonzero(ok)
                     for lo in range(0, len(at), 50_000):
                         p = at[lo : lo + 50_000]
@@ -132,7 +132,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_cover: float = LEA
     A document holds an item if at least least_cover of the item's windows
     occur in it on consistent alignments; reparameterised says that some slot
     has another value there. Null and empty texts hold nothing and are held by
-    nothing; an item without a word is never found. Rows without an id are
+    nothing; an item too short of words for LEAST_LITERAL is never found. Rows without an id are
     left out; rows that repeat an id count as one document. Other columns are
     ignored.
 
@@ -170,5 +170,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_cover: float = LEA
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["__bad"], "left_anti")
+    return store.without(docs, contaminated(docs, benchmark).select("doc_id").distinct())

@@ -141,8 +141,9 @@ def exact_groups(docs: DataFrame, largest: bool = True) -> DataFrame:
 
 def deduplicate(docs: DataFrame, largest: bool = True) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    keep = exact_groups(docs, largest).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    own = docs.withColumns({"__own": F.sha2(normalised(F.col("text")), 256), "__doc": F.col("doc_id").cast("long")})
-    hit = own.join(keep, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")))
-    first = F.row_number().over(Window.partitionBy("__doc", "__own").orderBy(F.lit(0)))
-    return hit.withColumn("__n", first).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    id_, sha, own, doc, n = store.unused(docs, "id", "sha", "own", "doc", "n")
+    keep = exact_groups(docs, largest).where("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha))
+    mine = docs.withColumns({own: F.sha2(normalised(F.col("text")), 256), doc: F.col("doc_id").cast("long")})
+    hit = mine.join(keep, F.col(doc).eqNullSafe(F.col(id_)) & (F.col(own) == F.col(sha)))
+    first = F.row_number().over(Window.partitionBy(doc, own).orderBy(F.lit(0)))
+    return hit.withColumn(n, first).where(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -158,7 +158,7 @@ def features(page: list[Block]) -> list[list[str]]:
             seen[b.path] = base
         f = list(base)
         words = len(b.text.split())
-        f.append(f"words={min(8, words.bit_length())}")
+        f.append(f"words={min(7, words.bit_length())}")
         share = b.linked / max(1, b.total)
         f.append("links=" + ("none" if not share else "some" if share < 0.5 else "most" if share < 0.95 else "all"))
         last = b.text[-1]
@@ -244,7 +244,7 @@ def labelled_pages(n: int, seed: int = 11) -> list[tuple[str, set[int]]]:
         return wrap("footer", ["footer", "site-footer", "bottom", "copyright", "colophon"], text)
 
     def para() -> str:
-        body = mark + " ".join(_sentence(r, r.choice([1, 2, 4, 8, 14, 25])) + "." for _ in range(r.choice([1, 1, 2, 3, 5])))
+        body = mark + " ".join(_sentence(r, r.choice([1, 2, 4, 8, 14, 25])) + "." for _ in range(r.choice([1, 1, 2, 3, 5, 12])))
         if r.random() < 0.2:
             body = body[:-1]
         if r.random() < 0.2:
@@ -293,6 +293,8 @@ def labelled_pages(n: int, seed: int = 11) -> list[tuple[str, set[int]]]:
         before = "".join(boiler(k) for k in r.sample(kinds, r.randint(0, 4)))
         after = "".join(boiler(k) for k in r.sample(["ad", "aside", "notice", "form", "comments", "share", "nav"], r.randint(0, 4)))
         foot = boiler("footer") if r.random() < 0.9 else ""
+        if r.random() < 0.12:
+            before = after = foot = ""
         middle = article()
         if r.random() < 0.3:
             middle = f"<main>{middle}{boiler('aside') if r.random() < 0.4 else ''}{boiler('comments') if r.random() < 0.3 else ''}</main>"

@@ -178,6 +178,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     """The rows of docs, each as often as its copies say, with its rate and the
     number of the copy. The budget covers all domains, so every document with an
     expectation of one copy or more stays."""
-    r = rates(docs, labels, targets, domain, cover=True).groupBy(F.col("doc_id").alias("__id")).agg(F.max("rate").alias("rate"), F.max("copies").alias("copies"))
-    out = docs.join(r, docs["doc_id"].cast("long").eqNullSafe(r["__id"]))
-    return out.where("copies > 0").select(*[docs[c] for c in docs.columns], "rate", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"))
+    id_, rate, copies, copy_no = store.unused(docs, "id", "rate", "copies", "copy_no")
+    r = rates(docs, labels, targets, domain, cover=True).groupBy(F.col("doc_id").alias(id_)).agg(F.max("rate").alias(rate), F.max("copies").alias(copies))
+    out = docs.join(r, docs["doc_id"].cast("long").eqNullSafe(r[id_])).where(F.col(copies) > 0)
+    return out.select(*[docs[c] for c in docs.columns], r[rate], F.explode(F.sequence(F.lit(1), r[copies])).alias(copy_no))

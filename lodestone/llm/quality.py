@@ -233,5 +233,4 @@ def score(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that are not rejected."""
-    bad = score(docs).where("not keep").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["__bad"], "left_anti")
+    return store.without(docs, score(docs).where("not keep").select("doc_id").distinct())

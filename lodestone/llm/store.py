@@ -35,6 +35,24 @@ def save(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of df has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def without(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of df whose doc_id is not in the one column of ids; rows without an id stay."""
+    (name,) = unused(df, "gone")
+    gone = ids.toDF(name)
+    return df.join(gone, df["doc_id"].cast("long") == gone[name], "left_anti")
+
+
 def width(spark: SparkSession, rows: float = 0, per_partition: float = 1) -> int:
     """Partitions for a shuffle: the session's setting, or more if the rows ask for it."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
