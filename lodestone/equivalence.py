@@ -88,14 +88,16 @@ def _mark(df: DataFrame) -> tuple[int, int]:
 
 
 def same_rows(a: DataFrame, b: DataFrame, show: int = 10) -> Verdict:
-    """Names, then counts and hashes; on a difference, up to show rows of either side only."""
+    """Names, then counts and hashes; on a difference, up to show rows with how many
+    more of them the first side has (__more)."""
     if a.columns != b.columns:
         return Verdict(False, f"columns differ: {a.columns} and {b.columns}", (-1, -1), [])
     (n, h), (m, k) = _mark(a), _mark(b)
     if (n, h) == (m, k):
         return Verdict(True, "same rows", (n, m), [])
-    only = a.exceptAll(b).limit(show).collect() + b.exceptAll(a).limit(show).collect()
-    return Verdict(not only, "row counts differ" if n != m else "rows differ" if only else "same rows", (n, m), only[:show])
+    signed = a.withColumn("__side", F.lit(1)).union(b.withColumn("__side", F.lit(-1)))
+    only = signed.groupBy(*a.columns).agg(F.sum("__side").alias("__more")).where("__more <> 0").limit(show).collect()
+    return Verdict(not only, "row counts differ" if n != m else "rows differ" if only else "same rows", (n, m), only)
 
 
 def seconds(df: DataFrame) -> float:
