@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import lodestone.plans.advice
+import lodestone.plans.blocks
 import lodestone.plans.monitor  # noqa: F401  registers its queries
 from lodestone.operators.joins import band_join, consolidated, ordered_pairs, peers_per_group
 from lodestone.operators.ranks import ntile, numbered
