@@ -155,6 +155,8 @@ def features(page: list[Block]) -> list[list[str]]:
             base += {"in=" + t for t in tags if t not in ("html", "body")}
             for _, names in b.path[-6:]:
                 base += {"name=" + x for x in _SPLIT.split(names) if x}
+            named = [names for _, names in b.path[-2:] if names]
+            base += {"own=" + x for x in _SPLIT.split(named[-1]) if x} if named else []
             seen[b.path] = base
         f = list(base)
         words = len(b.text.split())
@@ -260,31 +262,34 @@ def labelled_pages(n: int, seed: int = 11) -> list[tuple[str, set[int]]]:
             body += f"<header>{h}</header>" if r.random() < 0.15 else h
         if r.random() < 0.15:
             body += boiler("share")
-        for _ in range(r.choice([0, 1, 1, 2, 3, 5, 9])):
+        for _ in range(r.choice([0, 1, 1, 2, 3, 5, 9, 14])):
             x = r.random()
-            if x < 0.8:
+            if x < 0.72:
                 body += para()
-            elif x < 0.86:
+            elif x < 0.78:
                 body += f"<h{(k := r.randint(2, 4))}>{line(1, 8, True, 0.1)}</h{k}>"
-            elif x < 0.9:
+            elif x < 0.82:
                 body += "<ul>" + "".join(f"<li>{line(1, 20, True)}</li>" for _ in range(r.randint(1, 5))) + "</ul>"
-            elif x < 0.92:
+            elif x < 0.84:
                 body += f"<blockquote><p>{line(4, 30, True, 0.9)}</p></blockquote>"
-            elif x < 0.94:
+            elif x < 0.86:
                 body += f"<pre>{line(2, 20, True, 0.2)}</pre>"
-            elif x < 0.96:
+            elif x < 0.88:
                 body += "<table>" + "".join(f"<tr><td>{line(1, 3, True, 0)}</td><td>{line(1, 3, True, 0)}</td></tr>" for _ in range(3)) + "</table>"
-            elif x < 0.97:
+            elif x < 0.89:
                 body += f"<figure><img src=x><figcaption>{line(2, 12, True)}</figcaption></figure>"
             else:
-                body += boiler(pick(["ad", "aside", "notice", "form"]))
+                body += boiler(pick(["ad", "ad", "aside", "aside", "notice", "notice", "form", "share"]))
+                body += para() if r.random() < 0.5 else ""
         if r.random() < 0.12:
             body += boiler("comments")
         t = r.random()
-        if t < 0.6:
+        if t < 0.5:
             return f"<article>{body}</article>"
-        if t < 0.75:
+        if t < 0.63:
             return f"<main>{body}</main>"
+        if t > 0.93:
+            return body
         return f'<div {pick(["class", "id"])}="{pick(["content", "main", "post", "entry-content", "article-body", "story", "body-text"])}">{body}</div>'
 
     pages = []
@@ -292,11 +297,14 @@ def labelled_pages(n: int, seed: int = 11) -> list[tuple[str, set[int]]]:
         kinds = ["nav", "header", "ad", "aside", "notice", "form", "share"]
         before = "".join(boiler(k) for k in r.sample(kinds, r.randint(0, 4)))
         after = "".join(boiler(k) for k in r.sample(["ad", "aside", "notice", "form", "comments", "share", "nav"], r.randint(0, 4)))
+        middle = article()
         foot = boiler("footer") if r.random() < 0.9 else ""
         if r.random() < 0.12:
             before = after = foot = ""
-        middle = article()
-        if r.random() < 0.3:
+        if r.random() < 0.05:
+            before = after = foot = ""
+            middle = "".join(para() for _ in range(r.choice([1, 1, 2, 4])))
+        if r.random() < 0.3 and middle.startswith("<article"):
             middle = f"<main>{middle}{boiler('aside') if r.random() < 0.4 else ''}{boiler('comments') if r.random() < 0.3 else ''}</main>"
         page = f"<html><head><title>{line(1, 9)}</title><style>p{{}}</style></head><body>{before}{middle}{after}{foot}" + ("</body></html>" if r.random() < 0.9 else "")
         found = blocks(page)
@@ -331,7 +339,7 @@ class Field:
         return label[::-1] if page else []
 
 
-def fit(pages: list[tuple[str, set[int]]], rounds: int = 150, l2: float = 0.02) -> Field:
+def fit(pages: list[tuple[str, set[int]]], rounds: int = 200, l2: float = 0.02) -> Field:
     """Maximum likelihood with an L2 penalty; forward-backward over all pages at once."""
     names: dict[str, int] = {}
     rows: list[tuple[int, int]] = []
@@ -364,13 +372,13 @@ def fit(pages: list[tuple[str, set[int]]], rounds: int = 150, l2: float = 0.02)
         pair = np.exp(up[:, :-1, :, None] + moves + (s + down)[:, 1:, None, :] - z[:, None, None, None]) * both[:, :, None, None]
         g = np.concatenate([((expected - truth) / n + l2 * w / n * 2).ravel(), ((pair.sum(axis=(0, 1)) - truth_moves) / n).ravel()])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        step = 0.25 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, moves = w - step[:-4].reshape(-1, 2), moves - step[-4:].reshape(2, 2)
     return Field(names, w, moves)
 
 
 @lru_cache(1)
-def trained(pages: int = 500, seed: int = 11) -> Field:
+def trained(pages: int = 800, seed: int = 11) -> Field:
     """The field of production: fitted on composed pages, the same in every run."""
     return fit(labelled_pages(pages, seed))
 
