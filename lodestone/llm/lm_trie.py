@@ -34,7 +34,7 @@ from .text import U64, Words, mix, slices
 
 MU = 1000.0
 SUB_TOKENS = 2_000_000  #: tokens that a task holds at once, on average
-SLICE = 8 << 20
+SLICE = 4 << 20
 END, BEGIN = U64(0x9D3F5C1B2A7E4D61), U64(0x51C64E6D7A3B9F87)
 CODE = U64((1 << 40) - 1)
 REGISTERS = 4096

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 4 << 20  #: text that is held as arrays at once; a longer text is a slice of its own
+SLICE_BYTES = 2 << 20  #: text that is held as arrays at once; a longer text is a slice of its own
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -45,7 +45,7 @@ def _pow(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base, U64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n <= 4 * SLICE_BYTES:
+        if n <= 2 * SLICE_BYTES + 1:
             _powers[base] = have
     return have[:n]
 
@@ -152,10 +152,10 @@ _PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 def cores(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words without the ASCII punctuation around them: (which words have something
     left, starts, ends, first), first as in Words."""
-    at = np.arange(len(words.data))
+    at = np.arange(len(words.data), dtype=np.int32 if len(words.data) < 1 << 31 else np.int64)
     punct = _PUNCT[words.data]
-    after = np.minimum.accumulate(np.where(punct, len(at), at)[::-1])[::-1]
-    before = np.maximum.accumulate(np.where(punct, -1, at))
+    after = np.minimum.accumulate(np.where(punct, at.dtype.type(len(at)), at)[::-1])[::-1]
+    before = np.maximum.accumulate(np.where(punct, at.dtype.type(-1), at))
     starts = after[words.starts] if len(words) else words.starts
     some = np.flatnonzero(starts < words.ends)
-    return some, starts[some], before[words.ends[some] - 1] + 1, np.searchsorted(some, words.first)
+    return some, starts[some].astype(np.int64), before[words.ends[some] - 1].astype(np.int64) + 1, np.searchsorted(some, words.first)
