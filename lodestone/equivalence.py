@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.ranks import ensure_checkpoints
 from .sources.bank import FOREIGN_KEYS, PRIMARY_KEYS
 
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
@@ -95,6 +96,9 @@ def same_rows(a: DataFrame, b: DataFrame, show: int = 10) -> Verdict:
     (n, h), (m, k) = _mark(a), _mark(b)
     if (n, h) == (m, k):
         return Verdict(True, "same rows", (n, m), [])
+    # Both sides are cut from their plans: as one plan, statements over the same views share attributes.
+    ensure_checkpoints(a)
+    a, b = a.checkpoint(), b.checkpoint()
     signed = a.withColumn("__side", F.lit(1)).union(b.withColumn("__side", F.lit(-1)))
     only = signed.groupBy(*a.columns).agg(F.sum("__side").alias("__more")).where("__more <> 0").limit(show).collect()
     return Verdict(not only, "row counts differ" if n != m else "rows differ" if only else "same rows", (n, m), only)

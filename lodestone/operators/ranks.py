@@ -23,7 +23,7 @@ def numbered(df: DataFrame, *order: str | Column, small_bytes: int = SMALL_BYTES
     if plan_bytes(df) <= small_bytes:
         w = Window.orderBy(*order)
         return df.withColumn(name, F.row_number().over(w).cast("long")).withColumn(total, F.count("*").over(Window.partitionBy()))
-    _ensure_checkpoints(df)
+    ensure_checkpoints(df)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).checkpoint()
     size = ranged.groupBy("__part").agg(F.count("*").alias("__size"))  # a row per partition
@@ -33,7 +33,7 @@ def numbered(df: DataFrame, *order: str | Column, small_bytes: int = SMALL_BYTES
     return ranged.withColumn("__own", own).join(F.broadcast(size), "__part").withColumn(name, F.col("__own") + F.col("__before")).drop("__part", "__own", "__size", "__before")
 
 
-def _ensure_checkpoints(df: DataFrame) -> None:
+def ensure_checkpoints(df: DataFrame) -> None:
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
         import tempfile
