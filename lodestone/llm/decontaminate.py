@@ -5,7 +5,8 @@ and a copy of it with other numbers or names have the same template. Windows of
 WINDOW template tokens are hash-joined between documents and items. Windows
 that lie on one alignment of a document with an item must fill each slot value
 of the item with one value throughout: a re-parameterised copy renames
-consistently, a chance likeness does not.
+consistently, a chance likeness does not. A slot value with several values there
+discounts the windows that hold it, unless their own values are all the item's.
 """
 
 from __future__ import annotations
@@ -130,7 +131,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_cover: float = LEA
     n_windows, item_windows, coverage, reparameterised.
 
     A document holds an item if at least least_cover of the item's windows
-    occur in it on consistent alignments; reparameterised says that some slot
+    occur in it word for word or with consistent slots; reparameterised says that some slot
     has another value there. Null and empty texts hold nothing and are held by
     nothing; an item too short of words for LEAST_LITERAL is never found. Rows without an id are
     left out; rows that repeat an id count as one document. Other columns are
@@ -154,13 +155,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_cover: float = LEA
     hit = d.join(F.broadcast(item) if n <= BROADCAST_WINDOWS else item, ["window", "size"])
     hit = hit.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("off"), "item_at", F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("slots"))
     hit = store.save(hit, "hits")
-    slot = hit.select("doc_id", "item_id", "off", F.explode_outer("slots").alias("s"))
-    slot = slot.groupBy("doc_id", "item_id", "off", F.col("s")["i"].alias("i")).agg(F.min(F.col("s")["d"]).alias("lo"), F.max(F.col("s")["d"]).alias("hi"))
-    none = [F.lit(None).cast("boolean").alias(c) for c in ("clash", "changed")]
-    facts = slot.select("doc_id", "item_id", "off", (F.col("lo") != F.col("hi")).alias("clash"), (F.col("lo") != F.col("i")).alias("changed"), F.lit(None).cast("int").alias("item_at"))
-    facts = facts.union(hit.select("doc_id", "item_id", "off", *none, "item_at"))
-    whole = facts.groupBy("doc_id", "item_id", "off").agg(F.max("clash").alias("clash"), F.max("changed").alias("changed"), F.collect_set("item_at").alias("places"))  # an item's places: bounded by its length
-    good = whole.where(~F.coalesce("clash", F.lit(False))).select("doc_id", "item_id", F.coalesce("changed", F.lit(False)).alias("changed"), F.explode("places").alias("item_at"))
+    key = ["doc_id", "item_id", "off"]
+    slot = hit.select(*key, F.explode("slots").alias("s"))
+    slot = slot.groupBy(*key, F.col("s")["i"].alias("i")).agg(F.min(F.col("s")["d"]).alias("lo"), F.max(F.col("s")["d"]).alias("hi"))
+    slot = slot.groupBy(*key).agg(F.max((F.col("lo") != F.col("i")) | (F.col("hi") != F.col("i"))).alias("changed"), F.collect_set(F.when(F.col("lo") != F.col("hi"), F.col("i"))).alias("torn"))  # an item's slots: bounded by its length
+    same = F.forall("slots", lambda s: s["i"] == s["d"])
+    whole = F.forall("slots", lambda s: ~F.array_contains("torn", s["i"]))
+    good = hit.join(slot, key, "left").where(same | whole).select("doc_id", "item_id", F.coalesce("changed", F.lit(False)).alias("changed"), "item_at")
     place = good.groupBy("doc_id", "item_id", "item_at").agg(F.min("changed").alias("changed"))
     total = item.groupBy(F.col("item_id").alias("__item")).agg(F.countDistinct("item_at").alias("item_windows"))
     out = place.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"), F.max("changed").alias("reparameterised"))

@@ -218,6 +218,20 @@ def test_templates(spark):
     assert decontaminate.contaminated(table(spark, rows), b.limit(0)).count() == 0
 
 
+def test_one_clash_drops_only_its_windows(spark):
+    item = "At 9 the clerk opens the door. " + prose(30, 401) + " and at 9 the clerk shuts it."
+    short = ITEMS[0][1]
+    rows = [
+        (1, item.replace("9", "7", 1)),  # one of two equal numbers edited
+        (2, item.replace("9", "7", 1).replace("9", "8")),  # equal by chance, now different
+        (3, "Well. " + short.replace("9", "7", 1)),  # the windows of the other 9 are the item's own
+        (4, prose(60, 402)),
+    ]
+    b = spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.reparameterised for r in decontaminate.contaminated(table(spark, rows), b).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2)}
+
+
 # --- 4
 
 
