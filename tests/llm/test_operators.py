@@ -232,6 +232,21 @@ def test_one_clash_drops_only_its_windows(spark):
     assert set(got) == {(1, 1), (2, 1), (3, 2)}
 
 
+def test_verbatim_copies_of_numbers_and_names(spark):
+    items = [
+        (1, "What is 12 + 7 * 3 - 4"),
+        (2, " ".join(str(17 * i) for i in range(30))),
+        (3, "Ask Anna Smith Bob Jones Carl Brown Dora White Emil Black Fred Green"),
+        (4, prose(9, 501) + " 1 2 3 4 5 6 7 8 9 10 " + prose(9, 502)),
+    ]
+    rows = [(i, f"{prose(20, 510 + i)} {t} {prose(20, 520 + i)}") for i, t in items]
+    rows += [(11, rows[0][1].replace("12", "13")), (12, " ".join(str(19 * i + 1) for i in range(30))), (14, prose(9, 501) + " 8 8 8 8 8 8 8 8 8 8 " + prose(9, 502))]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(table(spark, rows), b).collect()}
+    assert {k for k in got if k[0] < 10} == {(i, i) for i, _ in items} and not {11, 12} & {d for d, _ in got}
+    assert all(got[i, i].n_windows >= got[i, i].item_windows - 1 and not got[i, i].reparameterised for i, _ in items)
+
+
 # --- 4
 
 
