@@ -9,6 +9,12 @@ the inverse of M = sum_i n_i p_i p_i'. In this metric a step of one is safe, and
 r_i <- max(0, r_i - p_i . M^-1 residual). All rates start at one, so a rate is a
 function of p_i and of the few step vectors so far: executors replay these, and
 a round sends one vector of domains per partition.
+
+Where no document may go (cover), rates are max(1, 1 + p_i . x): of all rates of
+one or more whose tokens are in the targets' proportions, the nearest to one. Soft
+posteriors give every domain tokens of the others' documents, so the budget is
+free. x minimises a convex function of domains by Newton steps over the rows with
+a rate above one; a round sends their M as well.
 """
 
 from __future__ import annotations
@@ -100,43 +106,66 @@ def _matrix(b: pa.RecordBatch, k: int) -> np.ndarray:
     return b.column("p").flatten().to_numpy().reshape(-1, k)
 
 
-def _replay(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+def _replay(p: np.ndarray, steps: list[np.ndarray], least: float) -> np.ndarray:
     r = np.ones(len(p))
     for s in steps:
-        r = np.maximum(0, r - p @ s)
+        r = np.maximum(least, r - p @ s)
     return r
 
 
-def _sums(k: int, steps: list[np.ndarray], square: bool):  # noqa: ANN202
-    """A partition's sums: expected tokens of each domain, and M if square."""
+def _sums(k: int, steps: list[np.ndarray], square: bool, least: float):  # noqa: ANN202
+    """A partition's sums: expected tokens of each domain, and if square M of the rows above the least rate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, m = np.zeros(k), np.zeros((k, k))
         for b in batches:
             p, n = _matrix(b, k), b.column("n_tokens").to_numpy()
-            total += (n * _replay(p, steps)) @ p
+            total += (n * _replay(p, steps, least)) @ p
             if square:
-                m += (p * n[:, None]).T @ p
+                some = _replay(p, steps, least) > least if steps else slice(None)
+                m += (p[some] * n[some, None]).T @ p[some]
         value = np.concatenate([total, m.ravel()]) if square else total
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value))), pa.array(value)], ["i", "v"])
 
     return run
 
 
-def _collect(d: DataFrame, k: int, steps: list[np.ndarray], square: bool) -> np.ndarray:
+def _collect(d: DataFrame, k: int, steps: list[np.ndarray], square: bool, least: float) -> np.ndarray:
     out = np.zeros(k + k * k if square else k)
-    for i, v in d.select("n_tokens", "p").mapInArrow(_sums(k, steps, square), "i long, v double").groupBy("i").agg(F.sum("v")).collect():
+    for i, v in d.select("n_tokens", "p").mapInArrow(_sums(k, steps, square, least), "i long, v double").groupBy("i").agg(F.sum("v")).collect():
         out[i] = v
     return out
 
 
+def _cover(d: DataFrame, want: np.ndarray, now: np.ndarray, m: np.ndarray) -> list[np.ndarray]:
+    """The step to rates of one or more that bring the tokens into proportion."""
+    k, x, least = len(want), np.zeros(len(want)), 0.0
+    ridge = 1e-9 * max(now.sum(), 1) * np.eye(k)
+    side, step = np.zeros((k + 1, k + 1)), None
+    side[:k, k] = side[k, :k] = want
+    for _ in range(ROUNDS if now.sum() else 0):
+        if np.abs(now - want * now.sum()).max() <= TOLERANCE * now.sum():
+            break
+        if step is None:
+            side[:k, :k] = m + ridge
+            step = np.linalg.solve(side, np.append(-now, 0))[:k]
+        out = _collect(d, k, [-x - step], True, 1.0)
+        new, m_new = out[:k], out[k:].reshape(k, k)
+        value = new @ (x + step) - (x + step) @ m_new @ (x + step) / 2
+        if value <= least + 1e-4 * now @ step:
+            x, least, now, m, step = x + step, value, new, m_new, None
+        else:
+            step = step / 2
+    return [-x]
+
+
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: str = "lang", cover: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, domain (most likely), p_domain,
     rate, copies.
 
     targets gives each domain's share of tokens (scaled to a sum of one). The
-    budget is the tokens of docs; with cover, the least budget at which no domain
-    has to shrink. copies is the rate rounded up or down by a hash of the id, so
+    budget is the tokens of docs; with cover, every rate is one or more and the
+    budget is as large as the targets then ask for. copies is the rate rounded up or down by a hash of the id, so
     its expectation is the rate; rows without an id round to the nearest. Null
     and empty texts have no tokens and count for nothing; rates of repeated rows
     are alike. A domain of which docs hold nothing stays empty. An empty table
@@ -149,25 +178,26 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     weights = classifier(docs, labels, domain, domains).astype(np.float32)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     d = store.save(d.mapInArrow(_posteriors(weights), "doc_id long, n_tokens long, p array<double>"), "posteriors")
-    first = _collect(d, k, [], True)
+    least = 1.0 if cover else 0.0
+    first = _collect(d, k, [], True, least)
     now, m = first[:k], first[k:].reshape(k, k)
     total = now.sum()
-    goal = want * (max(total, (now / want).max()) if cover else total)
-    steps: list[np.ndarray] = []
+    goal = want * total
+    steps = _cover(d, want, now, m) if cover else []
     inverse = np.linalg.inv(m + 1e-9 * max(total, 1) * np.eye(k))
-    for _ in range(ROUNDS if total else 0):
+    for _ in range(ROUNDS if total and not cover else 0):
         left = now - goal
         if np.abs(left).max() <= TOLERANCE * total:
             break
         steps.append(inverse @ left)
-        now = _collect(d, k, steps, False)
+        now = _collect(d, k, steps, False, least)
     names = np.array(domains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = _matrix(b, k)
             best = p.argmax(axis=1) if len(p) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), pa.array(names[best].tolist(), pa.string()), pa.array(p[np.arange(len(p)), best]), pa.array(_replay(p, steps))], ["doc_id", "n_tokens", "domain", "p_domain", "rate"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), pa.array(names[best].tolist(), pa.string()), pa.array(p[np.arange(len(p)), best]), pa.array(_replay(p, steps, least))], ["doc_id", "n_tokens", "domain", "p_domain", "rate"])
 
     out = d.mapInArrow(run, "doc_id long, n_tokens long, domain string, p_domain double, rate double")
     u = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30), F.lit(0.5))
@@ -176,8 +206,7 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: str = "lang") -> DataFrame:
     """The rows of docs, each as often as its copies say, with its rate and the
-    number of the copy. The budget covers all domains, so every document with an
-    expectation of one copy or more stays."""
+    number of the copy. Every rate is one or more, so every document stays."""
     id_, rate, copies, copy_no = store.unused(docs, "id", "rate", "copies", "copy_no")
     r = rates(docs, labels, targets, domain, cover=True).groupBy(F.col("doc_id").alias(id_)).agg(F.max("rate").alias(rate), F.max("copies").alias(copies))
     out = docs.join(r, docs["doc_id"].cast("long").eqNullSafe(r[id_])).where(F.col(copies) > 0)

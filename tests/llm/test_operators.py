@@ -370,6 +370,15 @@ def test_rates_meet_targets(spark, data):
     assert mixed.columns[: len(d.columns)] == d.columns
 
 
+def test_cover_loses_no_document(spark, data):
+    d, labels = (spark.read.parquet(f"{data}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = mixing.rates(d, labels, cover=True).collect()
+    assert len(rows) == d.count() and min(r.rate for r in rows) >= 1 and min(r.copies for r in rows) >= 1
+    total = sum(r.n_tokens * r.rate for r in rows)
+    for k, share in mixing.TARGETS.items():
+        assert abs(sum(r.n_tokens * r.rate for r in rows if r.domain == k) / total - share) < 0.03
+
+
 def test_rates_awkward_rows(spark):
     d = table(spark, AWKWARD)
     labels = spark.createDataFrame([(8, 1), (8, 1), (None, 0)], "doc_id long, quality int")
