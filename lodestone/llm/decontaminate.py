@@ -176,4 +176,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_cover: float = LEA
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item."""
-    return store.without(docs, contaminated(docs, benchmark).select("doc_id").distinct())
+    return store.without(docs, F.col("doc_id").cast("long"), contaminated(docs, benchmark).select("doc_id").distinct())

@@ -140,10 +140,23 @@ def exact_groups(docs: DataFrame, largest: bool = True) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, largest: bool = True) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    id_, sha, own, doc, n = store.unused(docs, "id", "sha", "own", "doc", "n")
-    keep = exact_groups(docs, largest).where("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha))
-    mine = docs.withColumns({own: F.sha2(normalised(F.col("text")), 256), doc: F.col("doc_id").cast("long")})
-    hit = mine.join(keep, F.col(doc).eqNullSafe(F.col(id_)) & (F.col(own) == F.col(sha)))
-    first = F.row_number().over(Window.partitionBy(doc, own).orderBy(F.lit(0)))
-    return hit.withColumn(n, first).where(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that stay, with all their columns.
+
+    Only (id, digest) of rows that go meet the texts: broadcast, if a count finds
+    them few. Of rows that repeat an id with its text and stay, one is picked.
+    """
+    id_, sha, own, doc, one, n = store.unused(docs, "id", "sha", "own", "doc", "one", "n")
+    d = digests(docs)
+    far = d.join(groups(d, largest).where("members > 1"), KEY)
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    far = far.where(~stays | (F.col("copy_no") > 1)).select(F.col("doc_id").alias(id_), F.col("digest").alias(sha), stays.alias(one)).distinct()
+    far = store.save(far, "dropped")
+    count, again = far.agg(F.count("*"), F.count_if(F.col(one))).first()
+    mine = docs.withColumns({own: F.unhex(F.sha2(normalised(F.col("text")), 256)), doc: F.col("doc_id").cast("long")})
+    hit = mine.join(F.broadcast(far) if count <= store.BROADCAST_KEYS // 4 else far, F.col(doc).eqNullSafe(F.col(id_)) & (F.col(own) == F.col(sha)), "left")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    out = hit.where(F.col(one).isNull()).select(*names)
+    if again:
+        first = F.row_number().over(Window.partitionBy(doc, own).orderBy(F.lit(0)))
+        out = out.union(hit.where(F.col(one)).withColumn(n, first).where(F.col(n) == 1).select(*names))
+    return out

@@ -16,17 +16,18 @@ part with the next seed, as would its partner, up to SEEDS times; at the last
 seed weak blocks count too. So weak blocks, which unrelated sets share, are
 never join keys and no pair is lost.
 
-Shared blocks only name candidates: links are verified on the whole sets.
+Shared blocks only name candidates: links are verified on the whole sets. Where a
+slice of text holds a block HOT times or more, one entry stands for them in the
+exchange; its members join the block's group by a number made from the key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
@@ -36,12 +37,18 @@ from .text import U64, Words, mix, shingle_sets, slices
 SEEDS = 6
 KEY_BYTES = 5  #: kept of a key within its shard; a chance likeness only adds a candidate
 SHARD_KEYS = 1_500_000  #: block keys that one task sorts, on average
-BLOCK = 4096  #: members of a hot group that are compared in one task
+HOT = 8  #: members of a block in a slice of text from which on one entry is sent for them
+BLOCK = 4096  #: members of a group on each side of a comparison in one task
+BLOCK_BYTES = 48 << 20  #: of their sets, on each side
+
+_bands: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
-@lru_cache
 def bands(num: int, den: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(least size, blocks, weak blocks allowed, weak limit) of each scheme, for sizes up to top."""
+    top = 1 << top.bit_length()
+    if (num, den, top) in _bands:
+        return _bands[num, den, top]
     low = [1, max(2, den // num + 1)]
     while low[-1] <= top * den // num + 1:
         low.append(max(low[-1] + 1, den * (low[-1] - 1) // num + 1))
@@ -56,7 +63,8 @@ def bands(num: int, den: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         many, load = k[-1] + 1 + e[-1], 1.1 * low[j] / (k[-1] + 1 + e[-1])
         few = many * np.exp(-load) * (1 + load)
         weak.append(2 if few + 2 * np.sqrt(few) <= e[-1] else 1)
-    return np.array(low), np.array(k) + 1 + np.array(e), np.array(e), np.array(weak)
+    _bands[num, den, top] = np.array(low), np.array(k) + 1 + np.array(e), np.array(e), np.array(weak)
+    return _bands[num, den, top]
 
 
 def block_keys(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +115,8 @@ def block_keys(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np
     return np.concatenate(keys), np.concatenate(docs)
 
 
-SKETCH = "shard int, ids binary, sizes binary, reps binary, keys binary, bits binary, fresh binary"
+SKETCH = "shard int, ids binary, names binary, sizes binary, reps binary, keys binary, bits binary, fresh binary"
+MEMBERS, PAIRS, GROUPS = -1, -2, -3  #: shards of rows that are not block keys
 
 
 def sketch_bits(size: np.ndarray) -> np.ndarray:
@@ -146,11 +155,25 @@ def _unpack_ids(body: bytes) -> np.ndarray:
     return np.frombuffer(body, np.int64, n, 4)[np.frombuffer(body, np.uint16, offset=4 + 8 * n)]
 
 
-def _sketches(n: int, num: int, den: int, shards: int):  # noqa: ANN202
-    """Rows of whole slices of a partition: shard -1 has each document's id, set
-    size and representative; shards from 0 on have (key, document) of the blocks.
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _group(shard: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The number of a block's group, from what a shard knows of its key."""
+    return mix(mix(shard.astype(U64)) + key).view(np.int64)
+
 
-    Of equal sets in a partition, the smallest id stands for all, so a hot copy
+def _sketches(n: int, num: int, den: int, shards: int, hot: int):  # noqa: ANN202
+    """Rows of whole slices of a partition. Shard MEMBERS has each row's number,
+    id, set size and representative; shards from 0 on have (key, row) of the
+    blocks. Blocks that a slice holds often are one entry there (with fresh), and
+    their rows are in PAIRS with the least of them and in GROUPS by the key.
+
+    Of equal sets in a partition, the smallest number stands for all, so a hot copy
     sends its blocks once from a partition.
     """
 
@@ -158,7 +181,7 @@ def _sketches(n: int, num: int, den: int, shards: int):  # noqa: ANN202
         seen: dict[tuple[int, int, int], int] = {}
         for batch in batches:
             for rows, data, off in slices(batch, "text"):
-                ids = rows.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                ids, names = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("row", "doc_id"))
                 h, first = shingle_sets(Words(data, off), n)
                 size = np.diff(first)
                 some = np.flatnonzero(size)
@@ -175,68 +198,89 @@ def _sketches(n: int, num: int, den: int, shards: int):  # noqa: ANN202
                 tok = np.repeat(fresh, size)
                 own = np.append(0, np.cumsum(size[pick]))
                 keys, doc = block_keys(h[tok], own, num, den)
-                bits = dense(h[tok], own)
-                # The scheme of a doc is fixed by its size; a key's top bits choose the shard.
+                out: list[dict] = [{"shard": MEMBERS, "ids": ids.tobytes(), "names": names.tobytes(), "sizes": size.astype(np.int64).tobytes(), "reps": reps.tobytes(), "bits": dense(h[tok], own), "fresh": fresh.tobytes()}]
+                # The scheme of a row is fixed by its size; a key's top bits choose the shard.
                 shard = ((keys >> U64(40)) * U64(shards) >> U64(24)).astype(np.int32)
-                order = np.argsort(shard, kind="stable")
-                keys, doc, shard = keys[order].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES], doc[order], shard[order]
+                keys &= U64((1 << 8 * KEY_BYTES) - 1)
+                order = np.lexsort((keys, shard))
+                keys, doc, shard = keys[order], doc[order], shard[order]
+                start = _starts(shard, keys) if len(keys) else np.zeros(0, np.int64)
+                many = np.diff(np.append(start, len(keys)))
+                often = np.repeat(many >= hot, many)
+                if often.any():
+                    at = start[many >= hot]
+                    member, runs = ids[pick][doc[often]], many[many >= hot]
+                    begin = np.cumsum(runs) - runs
+                    least = np.minimum.reduceat(member, begin)
+                    pair = np.unique(np.stack([member, np.repeat(least, runs)])[:, member != np.repeat(least, runs)], axis=1)
+                    out.append({"shard": PAIRS, "ids": pair[0].tobytes(), "reps": pair[1].tobytes()})
+                    out.append({"shard": GROUPS, "ids": member.tobytes(), "reps": np.repeat(_group(shard[at], keys[at]), runs).tobytes()})
+                    cut = np.searchsorted(shard[at], np.arange(shards + 1))
+                    raw = keys[at].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+                    out += [{"shard": int(s), "ids": _pack_ids(least, np.arange(cut[s], cut[s + 1])), "keys": raw[cut[s] : cut[s + 1]].tobytes(), "fresh": b"1"} for s in np.flatnonzero(np.diff(cut))]
+                    keys, doc, shard = keys[~often], doc[~often], shard[~often]
+                raw = keys.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
                 cut = np.searchsorted(shard, np.arange(shards + 1))
-                full = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "shard": pa.array(np.append(-1, full), pa.int32()),
-                        "ids": pa.array([ids.tobytes(), *(_pack_ids(ids[pick], doc[cut[s] : cut[s + 1]]) for s in full)], pa.binary()),
-                        "sizes": pa.array([size.astype(np.int64).tobytes(), *[None] * len(full)], pa.binary()),
-                        "reps": pa.array([reps.tobytes(), *[None] * len(full)], pa.binary()),
-                        "keys": pa.array([None, *(keys[cut[s] : cut[s + 1]].tobytes() for s in full)], pa.binary()),
-                        "bits": pa.array([bits, *[None] * len(full)], pa.binary()),
-                        "fresh": pa.array([fresh.tobytes(), *[None] * len(full)], pa.binary()),
-                    }
-                )
+                out += [{"shard": int(s), "ids": _pack_ids(ids[pick], doc[cut[s] : cut[s + 1]]), "keys": raw[cut[s] : cut[s + 1]].tobytes()} for s in np.flatnonzero(np.diff(cut))]
+                yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in out], pa.int32() if c == "shard" else pa.binary()) for c in _SKETCH_COLUMNS], _SKETCH_COLUMNS)
 
     return run
 
 
+_SKETCH_COLUMNS = [c.split()[0] for c in SKETCH.split(", ")]
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Back from blobs to a row per document; representatives have their sketch."""
     for b in batches:
         for i in range(b.num_rows):
-            ids, size, reps = (np.frombuffer(b.column(c)[i].as_buffer(), np.int64) for c in ("ids", "sizes", "reps"))
+            ids, names, size, reps = (np.frombuffer(b.column(c)[i].as_buffer(), np.int64) for c in ("ids", "names", "sizes", "reps"))
             own = np.zeros(len(ids), np.int64)
             fresh = np.flatnonzero((size > 0) & (np.frombuffer(b.column("fresh")[i].as_buffer(), np.bool_)))
             own[fresh] = sketch_bits(size[fresh]) // 8
             ends = np.append(0, np.cumsum(own)).astype(np.int32)
             bits = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends), b.column("bits")[i].as_buffer()])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), pa.array(reps), bits], ["doc_id", "n_shingles", "rep", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(names), pa.array(size), pa.array(reps), bits], ["row", "doc_id", "n_shingles", "rep", "bits"])
+
+
+def _two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Back from blobs to (row, other)."""
+    for b in batches:
+        for x, y in zip(b.column("ids"), b.column("reps"), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(c.as_buffer(), np.int64)) for c in (x, y)], ["doc", "center"])
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups of documents that share a block: (document, smallest id) pairs with
-    gid null, and the members of groups of three or more with gid."""
-    keys, ids = [], []
+    gid null, and the members of groups of three or more with gid. A group that has
+    entries for several rows goes by its key, others by their members."""
+    keys, ids, shards, heavy = [], [], [], []
     for b in batches:
-        for k, d in zip(b.column("keys"), b.column("ids"), strict=True):
+        for s, k, d, f in zip(b.column("shard").to_pylist(), b.column("keys"), b.column("ids"), b.column("fresh"), strict=True):
             ids.append(_unpack_ids(d.as_py()))
             keys.append(np.zeros((len(ids[-1]), 8), np.uint8))
             keys[-1][:, :KEY_BYTES] = np.frombuffer(k.as_buffer(), np.uint8).reshape(-1, KEY_BYTES)
+            shards.append(np.full(len(ids[-1]), s, np.int32))
+            heavy.append(np.full(len(ids[-1]), f.is_valid))
     if not keys:
         return
-    key, doc = np.concatenate(keys).view(U64).ravel(), np.concatenate(ids)
-    del keys, ids
-    order = np.argsort(key)
-    key, doc = key[order], doc[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    start = np.flatnonzero(new)
+    key, doc, shard, sent = np.concatenate(keys).view(U64).ravel(), np.concatenate(ids), np.concatenate(shards), np.concatenate(heavy)
+    del keys, ids, shards, heavy
+    order = np.argsort(key) if (shard == shard[0]).all() else np.lexsort((key, shard))
+    key, doc, shard, sent = key[order], doc[order], shard[order], sent[order]
+    start = _starts(key, shard)
     n = np.diff(np.append(start, len(key)))
     least = np.repeat(np.minimum.reduceat(doc, start), n)
     pair = np.unique(np.stack([doc, least])[:, doc != least], axis=1)
+    by_key = np.logical_or.reduceat(sent, start)
     gid = np.add.reduceat(mix(doc.astype(U64)), start)
-    gid, at = np.unique(np.where(n > 2, gid, 0), return_index=True)  # groups with the same members count once
+    gid, at = np.unique(np.where((n > 2) & ~by_key, gid, 0), return_index=True)  # groups with the same members count once
     at = at[gid != 0]
     gid = gid[gid != 0]
     member = np.concatenate([doc[start[i] : start[i] + n[i]] for i in at]) if len(at) else doc[:0]
-    gids = np.repeat(gid, n[at]).astype(np.int64)
+    own = np.flatnonzero(np.repeat(by_key, n) & ~sent)  # the others came from their slices
+    member = np.append(member, doc[own])
+    gids = np.append(np.repeat(gid, n[at]).view(np.int64), _group(shard[own], key[own]))
     for lo in range(0, max(pair.shape[1], len(member)), 100_000):
         p, m, g = pair[:, lo : lo + 100_000], member[lo : lo + 100_000], gids[lo : lo + 100_000]
         yield pa.RecordBatch.from_arrays(
@@ -251,7 +295,7 @@ def _sets(n: int):  # noqa: ANN202
             for rows, data, off in slices(batch, "text"):
                 h, first = shingle_sets(Words(data, off), n)
                 sets = [h[first[i] : first[i + 1]].tobytes() for i in range(len(off) - 1)]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary())], ["doc", "set"])
+                yield pa.RecordBatch.from_arrays([rows.column("row").cast(pa.int64()), pa.array(sets, pa.binary())], ["doc", "set"])
 
     return run
 
@@ -296,127 +340,207 @@ def _near(num: int, den: int):  # noqa: ANN202
     return run
 
 
-def _cross(num: int, den: int, best: bool):  # noqa: ANN202
-    """Pairs of different components within each group of a partition that their
-    sketches do not rule out: all of them, or (best) the nearest one of any two
-    components."""
-
-    def pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        words = min(len(x) for x in bits)
-        sk = np.stack([fold(x, words) for x in bits])
-        step = max(1, 4_000_000 // (len(doc) * words))
-        near: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for lo in range(0, len(doc), step):
-            hi = min(len(doc), lo + step)
-            far = np.bitwise_count(sk[lo:hi, None, :] ^ sk[None, :, :]).sum(axis=2, dtype=np.int64)
-            x, y = np.nonzero((far <= _limit(n[lo:hi, None], n[None, :], num, den)) & (comp[lo:hi, None] < comp[None, :]))
-            if best and len(x):
-                far = far[x, y]
-                order = np.lexsort((far, comp[y], comp[lo + x]))
-                x, y, far = x[order], y[order], far[order]
-                first = np.append(True, (comp[lo + x][1:] != comp[lo + x][:-1]) | (comp[y][1:] != comp[y][:-1]))
-                for a, c, f in zip((lo + x[first]).tolist(), y[first].tolist(), far[first].tolist(), strict=True):
-                    key = (comp[a], comp[c])
-                    near[key] = min(near.get(key, (f, a, c)), (f, a, c))
-            elif len(x):
-                yield rows(doc[lo + x], doc[y])
-        if near:
-            yield rows(doc[[a for _, a, _ in near.values()]], doc[[c for _, _, c in near.values()]])
-
-    def rows(a: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, c)), pa.array(np.minimum(a, c))], ["doc", "center"])
+def _blocks(batches: Iterator[pa.RecordBatch], body: str) -> Iterator[tuple[tuple[int, int, int], dict[str, np.ndarray], list[np.ndarray]]]:
+    """The runs of rows of one (gid, i, j) of a sorted partition: key, columns, and the arrays of body."""
+    now, held = None, []
+
+    def block() -> tuple[tuple[int, int, int], dict[str, np.ndarray], list[np.ndarray]]:
+        doc, comp, n, side, arrays = zip(*held, strict=True)
+        return now, {"doc": np.array(doc), "comp": np.array(comp), "n": np.array(n), "side": np.array(side)}, list(arrays)
+
+    for b in batches:
+        for g, i, j, d, c, n, k, s in zip(*(b.column(x).to_pylist() for x in ("gid", "i", "j", "doc", "comp", "n", "side")), b.column(body), strict=True):
+            if (g, i, j) != now:
+                if held:
+                    yield block()
+                now, held = (g, i, j), []
+            held.append((d, c, n, k, np.frombuffer(s.as_py(), U64)))
+    if held:
+        yield block()
+
+
+def _meet(at: tuple[int, int, int], x: dict[str, np.ndarray], i: object, j: object) -> np.ndarray:
+    """Which of members i and j belong to different components and sides of a block."""
+    apart = x["comp"][i] != x["comp"][j]
+    return apart & (x["side"][i] != x["side"][j]) if at[1] != at[2] else apart
+
+
+def _near_members(num: int, den: int):  # noqa: ANN202
+    """The members of each block whose sketch does not rule out some member of another
+    component: at most a row for each row read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        for at, x, bits in _blocks(batches, "bits"):
+            m = len(bits)
+            if (x["comp"] == x["comp"][0]).all():
+                continue
+            words = min(len(b) for b in bits)
+            sk = np.stack([fold(b, words) for b in bits])
+            near = np.zeros(m, bool)
+            step = max(1, 2_000_000 // (m * words))
+            for lo in range(0, m, step):
+                hi = min(m, lo + step)
+                far = np.bitwise_count(sk[lo:hi, None, :] ^ sk[None, :, :]).sum(axis=2, dtype=np.int64)
+                near[lo:hi] |= ((far <= _limit(x["n"][lo:hi, None], x["n"][None, :], num, den)) & _meet(at, x, np.arange(lo, hi)[:, None], np.arange(m)[None, :])).any(axis=1)
+            k = np.flatnonzero(near)
+            if len(k):
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(k), v), t) for v, t in zip(at, (pa.int64(), pa.int32(), pa.int32()), strict=True)), pa.array(x["doc"][k]), pa.array(x["comp"][k]), pa.array(x["side"][k], pa.int32())], ["gid", "i", "j", "doc", "comp", "side"])
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            doc, comp, n, bits = zip(*held, strict=True)
-            if len(set(comp)) > 1:
-                yield from pairs(np.array(doc), np.array(comp), np.array(n), list(bits))
+    return run
 
-        for b in batches:
-            for g, i, j, d, c, n, s in zip(*(b.column(k).to_pylist() for k in ("gid", "i", "j", "doc", "comp", "n")), b.column("bits"), strict=True):
-                if (g, i, j) != now:
-                    if held:
-                        yield from flush()
-                    now, held = (g, i, j), []
-                held.append((d, c, n, np.frombuffer(s.as_py(), U64)))
-        if held:
-            yield from flush()
+
+def spanning(num: int, den: int, at: tuple[int, int, int], x: dict[str, np.ndarray], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect all components of a block that links connect, a forest:
+    whole sets are compared, but only those whose components are still apart."""
+    n = np.array([len(s) for s in sets])
+    first = np.append(0, np.cumsum(n))
+    words = int(sketch_bits(n.min()[None])[0]) // 64
+    flat = np.concatenate(sets)
+    rows = np.frombuffer(dense(flat, first), U64)
+    ends = np.append(0, np.cumsum(sketch_bits(n) // 64))
+    sk = np.stack([fold(rows[a:b], words) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
+    token = np.unique(flat, return_inverse=True)[1]
+    mark = np.zeros(token.max() + 1, bool)
+    x = x | {"comp": x["comp"].copy()}
+    links = []
+    for i in range(len(sets) - 1):
+        j = i + 1 + np.flatnonzero(_meet(at, x, i, slice(i + 1, None)))
+        if len(j):
+            j = j[np.bitwise_count(sk[i] ^ sk[j]).sum(axis=1, dtype=np.int64) <= _limit(n[i], n[j], num, den)]
+        if not len(j):
+            continue
+        mark[token[first[i] : first[i + 1]]] = True
+        begin = np.cumsum(n[j]) - n[j]
+        common = np.add.reduceat(mark[token[np.repeat(first[j] - begin, n[j]) + np.arange(n[j].sum())]], begin, dtype=np.int64)
+        mark[token[first[i] : first[i + 1]]] = False
+        for k in j[den * common >= num * (n[i] + n[j] - common)].tolist():
+            if x["comp"][k] != x["comp"][i]:
+                links.append((i, k))
+                x["comp"][x["comp"] == x["comp"][k]] = x["comp"][i]
+    return links
+
+
+def _spanning(num: int, den: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, x, sets in _blocks(batches, "set"):
+            links = np.array(spanning(num, den, at, x, sets), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(x["doc"][links].max(axis=1)), pa.array(x["doc"][links].min(axis=1))], ["doc", "center"])
 
     return run
 
 
-def similar_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def clustered(near: DataFrame) -> DataFrame:
+    """The same members with fewer repeats: gid, i, j, doc, comp, side, n.
+
+    A member lies in many groups that differ little. What groups connect is one
+    cluster; if it has at most BLOCK members (BLOCK_BYTES), it is compared as one
+    group, in which each member occurs once. Larger clusters keep their groups,
+    those with equal members once.
+    """
+    near = near.withColumn("least", F.min("doc").over(Window.partitionBy("gid", "i", "j")))
+    near = store.save(near, "near")
+    joined = components(near.select("doc", "least").distinct(), "doc", "least")
+    own = near.select("doc", "comp", "n").distinct().join(joined.withColumnRenamed("node", "doc"), "doc")
+    small = own.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where((F.col("m") <= BLOCK) & (F.col("s") * 8 <= BLOCK_BYTES)).select("component")
+    own = store.save(own.join(small.withColumn("few", F.lit(True)), "component", "left"), "clusters")
+    whole = own.where("few").select(F.col("component").alias("gid"), F.lit(0).alias("i"), F.lit(0).alias("j"), "doc", "comp", F.lit(0).alias("side"), "n")
+    rest = near.drop("least").join(own.where("few is null").select("doc"), "doc", "left_semi")
+    key = rest.groupBy("gid", "i", "j").agg(F.sum(F.xxhash64("doc", "side").cast("decimal(38,0)")).alias("h"), F.count("*").alias("m"))
+    key = key.groupBy("h", "m").agg(F.min(F.struct("gid", "i", "j")).alias("k")).select("k.gid", "k.i", "k.j")
+    rest = rest.join(key, ["gid", "i", "j"], "left_semi")
+    return whole.unionByName(rest)
+
+
+def similar_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, hot: int = HOT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
-    Two documents link if den * |A and B| >= num * |A or B| on their sets of
+    Two rows link if den * |A and B| >= num * |A or B| on their sets of
     n-word shingles; component_id is the smallest doc_id that links reach.
     Empty and null texts have no shingles and link with nothing. Rows that
-    repeat an id must repeat its text. Rows without an id are never linked and
-    have no component. Other columns of docs are ignored.
+    repeat an id are rows of their own, also if their texts differ. Rows without
+    an id are never linked and have no component. Other columns of docs are
+    ignored.
 
     1. Sketch (one scan): each slice of text yields its blocks as packed
        arrays, dealt out by key; sets that are equal within a partition send
        one. 2. Each shard sorts its keys; groups yield star pairs to their
-       smallest id, linear in the keys. 3. Star pairs are verified on whole
+       smallest member, linear in the keys. 3. Star pairs are verified on whole
        sets and joined to components. 4. Only groups that still hold several
-       components are compared across components, in blocks of at most BLOCK
-       members a side; verified links again join components.
+       components are compared across them, in blocks of at most BLOCK members
+       and BLOCK_BYTES a side: first by sketches, then, for the members with
+       some partner left, on whole sets. A block yields a forest of links, so rows
+       grow with members, not with pairs.
     """
+    labels, _ = _labelled(docs, n, num, den, hot)
+    lost = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("row"), F.col("text").alias("text")).mapInArrow(_sets(n), "doc long, set binary")
+    return labels.select("doc_id", "n_shingles", "component_id").union(lost.select("doc", (F.length("set") / 8).cast("long"), F.lit(None).cast("long")))
+
+
+def _labelled(docs: DataFrame, n: int, num: int, den: int, hot: int) -> tuple[DataFrame, Column]:
+    """A row per row with an id: row, doc_id, n_shingles, component_id, stays (the row
+    of its group that stays); and row as an expression over docs."""
     spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = d.where("doc_id is not null")
+    text, doc = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("long")
+    keyed = docs.where("doc_id is not null").select(doc.alias("doc_id"), F.col("text").alias("text"))
+    # Rows go by their id; where an id has several texts, by a hash of both.
+    mark = keyed.groupBy("doc_id").agg(F.min(F.xxhash64(text)).alias("a"), F.max(F.xxhash64(text)).alias("b"))
+    row = doc if mark.where("a <> b").isEmpty() else F.xxhash64(doc, text)
+    keyed = keyed.select(row.alias("row"), "doc_id", "text")
     # Words a document are about n_chars / 6; keys are a third of the words.
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = store.width(spark, size / 12, SHARD_KEYS)
-    sketch = store.save(keyed.mapInArrow(_sketches(n, num, den, shards), SKETCH), "sketch")
-    members = sketch.where("shard = -1").select("ids", "sizes", "reps", "bits", "fresh").mapInArrow(_members, "doc_id long, n_shingles long, rep long, bits binary")
-    reps = members.where("length(bits) > 0").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "bits").dropDuplicates(["doc"])
-    blocks = sketch.where("shard >= 0").select("shard", "keys", "ids").repartitionById(shards, "shard")
-    found = store.save(blocks.mapInArrow(_stars, "gid long, doc long, center long"), "stars")
+    sketch = store.save(keyed.mapInArrow(_sketches(n, num, den, shards, hot), SKETCH), "sketch")
+    members = sketch.where(F.col("shard") == MEMBERS).select("ids", "names", "sizes", "reps", "bits", "fresh").mapInArrow(_members, "row long, doc_id long, n_shingles long, rep long, bits binary")
+    blocks = sketch.where("shard >= 0").select("shard", "keys", "ids", "fresh").repartitionById(shards, "shard")
     link = "doc long, center long"
+    local = lambda shard: sketch.where(F.col("shard") == shard).select("ids", "reps").mapInArrow(_two, link)
+    found = store.save(blocks.mapInArrow(_stars, "gid long, doc long, center long"), "stars")
+    found = found.union(local(PAIRS).select(F.lit(None).cast("long"), "doc", "center")).union(local(GROUPS).select("center", "doc", F.lit(None).cast("long")))
+    star = store.save(found.where("gid is null").select("doc", "center").distinct(), "pairs")
+    group = store.save(found.where("gid is not null").select("gid", "doc").distinct(), "groups")
+    need = star.select("doc").union(star.select("center")).distinct()
+    reps = members.where("length(bits) > 0").select(F.col("row").alias("doc"), F.col("n_shingles").alias("n"), "bits")
+    # Each representative once, before any join: a hot one may then be split.
+    reps = store.save(store.only(reps, "doc", need).groupBy("doc").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "reps")
     other = reps.select(*[F.col(c).alias(f"center_{c}" if c != "doc" else "center") for c in reps.columns])
 
-    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        both = pairs.join(sets, "doc").join(sets.select(F.col("doc").alias("center"), F.col("set").alias("center_set")), "center")
-        return store.save(both.select("doc", "center", "set", "center_set").mapInArrow(_verify(num, den), link), "edges")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        need = pairs.select("doc").union(pairs.select("center")).distinct()
-        return store.save(keyed.join(need, keyed["doc_id"] == need["doc"], "left_semi").mapInArrow(_sets(n), "doc long, set binary").dropDuplicates(["doc"]), "sets")
+    def sets_of(need: DataFrame) -> DataFrame:
+        """The shingle sets of some rows, each once."""
+        sets = store.only(keyed, "row", need.distinct()).mapInArrow(_sets(n), "doc long, set binary")
+        return store.save(sets.groupBy("doc").agg(F.first("set").alias("set")), "sets")
 
-    pairs = found.where("gid is null").select("doc", "center").distinct().join(reps, "doc").join(other, "center")
-    pairs = store.save(pairs.select("doc", "center", "n", "center_n", "bits", "center_bits").mapInArrow(_near(num, den), link), "pairs")
-    edges = verified(pairs, sets_of(pairs))
+    pairs = star.join(reps, "doc").join(other, "center").select("doc", "center", "n", "center_n", "bits", "center_bits")
+    pairs = store.save(pairs.mapInArrow(_near(num, den), link), "pairs")
+    sets = sets_of(pairs.select("doc").union(pairs.select("center")))
+    both = pairs.join(sets, "doc").join(sets.select(F.col("doc").alias("center"), F.col("set").alias("center_set")), "center")
+    edges = store.save(both.select("doc", "center", "set", "center_set").mapInArrow(_verify(num, den), link), "edges")
     comp = components(edges, "doc", "center")
-    group = store.save(found.where("gid is not null").select("gid", "doc").distinct(), "groups")
 
-    def across(best: bool) -> DataFrame:
-        """Pairs across components in the groups that still have several."""
-        g = group.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("gid", "doc", F.coalesce("component", "doc").alias("comp"))
-        several = g.groupBy("gid").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m")).where("a < b").select("gid", F.ceil(F.col("m") / BLOCK).cast("int").alias("c"))
-        g = g.join(several, "gid").withColumn("k", F.pmod(F.xxhash64("doc"), F.col("c")).cast("int"))
-        g = g.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select("gid", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "doc", "comp")
-        g = g.join(reps, "doc").repartition(store.width(spark), "gid", "i", "j").sortWithinPartitions("gid", "i", "j")
-        return store.save(g.select("gid", "i", "j", "doc", "comp", "n", "bits").mapInArrow(_cross(num, den, best), link).distinct(), "pairs")
-
-    for best in (True, False):
-        more = across(best)
-        if more.isEmpty():
-            break
-        edges = edges.union(verified(more, sets_of(more)))
+    g = group.join(comp.withColumnRenamed("node", "doc"), "doc", "left").join(reps.select("doc", "n"), "doc")
+    g = g.select("gid", "doc", F.coalesce("component", "doc").alias("comp"), "n")
+    several = g.groupBy("gid").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m"), F.sum("n").alias("s")).where("a < b")
+    several = several.select("gid", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("s") * 8 / BLOCK_BYTES)).cast("int").alias("c"))
+    g = store.save(g.join(several, "gid").withColumn("k", F.pmod(F.xxhash64("doc"), F.col("c")).cast("int")), "several")
+    if not g.isEmpty():
+        g = g.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+        g = g.select("gid", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "doc", "comp", "n", (F.col("k") > F.col("o")).cast("int").alias("side"))
+        dealt = lambda x: x.repartition(store.width(spark), "gid", "i", "j").sortWithinPartitions("gid", "i", "j")
+        near = dealt(g.join(reps.select("doc", "bits"), "doc")).mapInArrow(_near_members(num, den), "gid long, i int, j int, doc long, comp long, side int")
+        near = clustered(store.save(near, "near").join(reps.select("doc", "n"), "doc"))
+        near = dealt(near.drop("n").join(sets_of(near.select("doc")), "doc").withColumn("n", F.length("set") / 8))
+        edges = edges.union(store.save(near.mapInArrow(_spanning(num, den), link), "edges"))
         comp = components(edges, "doc", "center")
 
-    # A representative need not be the smallest of its copies, so labels are the least ids of all members.
-    own = members.groupBy("rep").agg(F.min("doc_id").alias("least")).join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    # A representative need not be the smallest of its copies, so labels are the least of all members.
+    own = members.groupBy("rep").agg(F.min(F.struct("doc_id", "row")).alias("least")).join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     own = own.select("rep", "least", F.coalesce("component", "rep").alias("c"))
-    label = own.join(own.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("rep", "component_id")
-    label = members.join(label, "rep").select("doc_id", "n_shingles", "component_id")
-    lost = d.where("doc_id is null").mapInArrow(_sets(n), "doc long, set binary").select(F.col("doc").alias("doc_id"), (F.length("set") / 8).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return label.union(lost)
+    label = own.join(own.groupBy("c").agg(F.min("least").alias("first")), "c").select("rep", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("stays"))
+    return members.join(label, "rep").select("row", "doc_id", "n_shingles", "component_id", "stays"), row
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs without those that belong to another document's group."""
-    return store.without(docs, similar_groups(docs, n, num, den).where("doc_id != component_id").select("doc_id"))
+    """One row of each group of docs: the one with the smallest id (of several texts
+    with that id, one). Rows that repeat an id and its text go or stay together; rows
+    without an id stay."""
+    labels, row = _labelled(docs, n, num, den, HOT)
+    return store.without(docs, row, labels.where("row != stays").select("row"))

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
@@ -87,15 +87,20 @@ def classifier(docs: DataFrame, labels: DataFrame, domain: str, domains: list[st
     return fit(y, [np.frombuffer(b.as_buffer(), np.int16) for b in rows.column("f")], [np.frombuffer(b.as_buffer(), np.float32) for b in rows.column("x")], len(domains))
 
 
+def posteriors(weights: np.ndarray, w: Words) -> np.ndarray:
+    """A row of probabilities of the domains per document."""
+    d, f, x = _features(w)
+    z = np.stack([np.bincount(d, weights=weights[f, k] * x, minlength=len(w.first) - 1) for k in range(weights.shape[1])], axis=1) + weights[-1]
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
 def _posteriors(weights: np.ndarray):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, off in slices(batch, "text"):
                 w = Words(data, off)
-                d, f, x = _features(w)
-                z = np.stack([np.bincount(d, weights=weights[f, k] * x, minlength=len(off) - 1) for k in range(weights.shape[1])], axis=1) + weights[-1]
-                p = np.exp(z - z.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
+                p = posteriors(weights, w)
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(w.first), pa.int64()), flat], ["doc_id", "n_tokens", "p"])
 
@@ -159,18 +164,8 @@ def _cover(d: DataFrame, want: np.ndarray, now: np.ndarray, m: np.ndarray) -> li
     return [-x]
 
 
-def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: str = "lang", cover: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, domain (most likely), p_domain,
-    rate, copies.
-
-    targets gives each domain's share of tokens (scaled to a sum of one). The
-    budget is the tokens of docs; with cover, every rate is one or more and the
-    budget is as large as the targets then ask for. copies is the rate rounded up or down by a hash of the id, so
-    its expectation is the rate; rows without an id round to the nearest. Null
-    and empty texts have no tokens and count for nothing; rates of repeated rows
-    are alike. A domain of which docs hold nothing stays empty. An empty table
-    gives an empty result. Other columns are ignored.
-    """
+def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str, cover: bool) -> tuple[list[str], np.ndarray, list[np.ndarray], DataFrame]:
+    """(domains, the classifier's weights, the steps of the rates, the table of posteriors)."""
     domains = sorted(targets)
     k = len(domains)
     want = np.array([targets[d] for d in domains], float)
@@ -178,8 +173,7 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     weights = classifier(docs, labels, domain, domains).astype(np.float32)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     d = store.save(d.mapInArrow(_posteriors(weights), "doc_id long, n_tokens long, p array<double>"), "posteriors")
-    least = 1.0 if cover else 0.0
-    first = _collect(d, k, [], True, least)
+    first = _collect(d, k, [], True, float(cover))
     now, m = first[:k], first[k:].reshape(k, k)
     total = now.sum()
     goal = want * total
@@ -190,8 +184,30 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
         if np.abs(left).max() <= TOLERANCE * total:
             break
         steps.append(inverse @ left)
-        now = _collect(d, k, steps, False, least)
-    names = np.array(domains)
+        now = _collect(d, k, steps, False, 0.0)
+    return domains, weights, steps, d
+
+
+def _copies(rate: Column, doc: Column) -> Column:
+    """The rate rounded up or down by a hash of the id; to the nearest without an id."""
+    u = F.coalesce(F.pmod(F.xxhash64(doc), F.lit(1 << 30)) / float(1 << 30), F.lit(0.5))
+    return F.when(doc.isNull(), F.round(rate)).otherwise(F.floor(rate + u)).cast("int")
+
+
+def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: str = "lang", cover: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens, domain (most likely), p_domain,
+    rate, copies.
+
+    targets gives each domain's share of tokens (scaled to a sum of one). The
+    budget is the tokens of docs; with cover, every rate is one or more and the
+    budget is as large as the targets then ask for. copies is the rate rounded up or down by a hash of the id, so
+    its expectation is the rate; rows without an id round to the nearest. Null
+    and empty texts have no tokens and count for nothing; rates of repeated rows
+    are alike. A domain of which docs hold nothing stays empty. An empty table
+    gives an empty result. Other columns are ignored.
+    """
+    domains, _, steps, d = _fitted(docs, labels, targets, domain, cover)
+    k, least, names = len(domains), float(cover), np.array(domains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,14 +216,20 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), pa.array(names[best].tolist(), pa.string()), pa.array(p[np.arange(len(p)), best]), pa.array(_replay(p, steps, least))], ["doc_id", "n_tokens", "domain", "p_domain", "rate"])
 
     out = d.mapInArrow(run, "doc_id long, n_tokens long, domain string, p_domain double, rate double")
-    u = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30), F.lit(0.5))
-    return out.withColumn("copies", F.when(F.col("doc_id").isNull(), F.round("rate")).otherwise(F.floor(F.col("rate") + u)).cast("int"))
+    return out.withColumn("copies", _copies(F.col("rate"), F.col("doc_id")))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: str = "lang") -> DataFrame:
     """The rows of docs, each as often as its copies say, with its rate and the
-    number of the copy. Every rate is one or more, so every document stays."""
-    id_, rate, copies, copy_no = store.unused(docs, "id", "rate", "copies", "copy_no")
-    r = rates(docs, labels, targets, domain, cover=True).groupBy(F.col("doc_id").alias(id_)).agg(F.max("rate").alias(rate), F.max("copies").alias(copies))
-    out = docs.join(r, docs["doc_id"].cast("long").eqNullSafe(r[id_])).where(F.col(copies) > 0)
-    return out.select(*[docs[c] for c in docs.columns], r[rate], F.explode(F.sequence(F.lit(1), r[copies])).alias(copy_no))
+    number of the copy. Every rate is one or more, so every row stays. A rate is a
+    function of the text, so rows get theirs as they are scanned, without a join."""
+    _, weights, steps, _ = _fitted(docs, labels, targets, domain, True)
+    rate, copy_no = store.unused(docs, "rate", "copy_no")
+
+    @F.arrow_udf("double")
+    def rated(text: pa.Array) -> pa.Array:
+        parts = [_replay(posteriors(weights, Words(data, off)), steps, 1.0) for _, data, off in slices(pa.RecordBatch.from_arrays([text], ["text"]), "text")]
+        return pa.array(np.concatenate([*parts, np.zeros(0)]))
+
+    copies = _copies(F.col(rate), F.col("doc_id").cast("long"))
+    return docs.withColumn(rate, rated(F.col("text"))).withColumn(copy_no, F.explode(F.sequence(F.lit(1), copies)))

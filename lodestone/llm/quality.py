@@ -18,10 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import store
 from .text import U64, Words, cores, hash_spans, mix, slices
 
-SAMPLE = 12_000  #: documents that the scorer is fitted on, at most, by the order of a hash of id
+SAMPLE = 12_000  #: different texts that the scorer is fitted on, about, by the order of a hash
 HASHED = 1 << 12  #: weights of the scorer
 REJECT = 0.5  #: a document is rejected at this score or above
 EM_ROUNDS, ROUNDS, L2 = 200, 300, 1e-5
@@ -173,7 +172,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, data, off in slices(batch, "text"):
-            w = Words(data, off, hashes=False)
+            w = Words(data, off)
             d, f, x = shapes(w)
             cut = np.searchsorted(d, np.arange(len(off)))
             part = lambda a, t: pa.array([a[cut[i] : cut[i + 1]].astype(t).tobytes() for i in range(len(off) - 1)], pa.binary())
@@ -197,6 +196,53 @@ def fit(p: np.ndarray, f: list[np.ndarray], x: list[np.ndarray]) -> tuple[np.nda
     return w, float(b)
 
 
+def model(docs: DataFrame):  # noqa: ANN201
+    """A function from Words to scores, fitted on docs.
+
+    Vote patterns are counted over all rows. The scorer is fitted on the different
+    texts with the least hashes, about SAMPLE of them (all, if there are fewer):
+    repeats of a text, with or without ids, count there once. A sample that turns
+    out empty leaves the posteriors of the votes themselves as scores.
+    """
+    d = docs.select(F.col("text").alias("text"))
+    code, n = np.array([tuple(r) for r in d.mapInArrow(_vote, "code long, n long").groupBy("code").agg(F.sum("n")).collect()], np.int64).reshape(-1, 2).T
+    posterior = dict(zip(code.tolist(), estimate(code, n).tolist(), strict=True)) if len(code) else {}
+    weights, bias = None, 0.0
+    if posterior:
+        rows = sample(d, distinct_texts(d)).mapInArrow(_sample, "code long, f binary, x binary").toArrow()
+        f = [np.frombuffer(b.as_buffer(), np.int16) for b in rows.column("f")]
+        x = [np.frombuffer(b.as_buffer(), np.float32) for b in rows.column("x")]
+        if sum(map(len, f)):
+            weights, bias = fit(np.array([posterior.get(c, 0.5) for c in rows.column("code").to_pylist()]), f, x)
+            weights = weights.astype(np.float32)
+
+    def scores(w: Words) -> np.ndarray:
+        if weights is None:
+            s = np.array([posterior.get(c, 0.5) for c in votes(w).tolist()])
+        else:
+            doc, feat, val = shapes(w)
+            z = np.bincount(doc, weights=weights[feat] * val, minlength=len(w.first) - 1) + bias
+            s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return np.where(np.diff(w.first) > 0, s, 1.0)
+
+    return scores
+
+
+def distinct_texts(d: DataFrame) -> int:
+    """How many different texts d holds, by HyperLogLog."""
+    return d.agg(F.approx_count_distinct(F.xxhash64("text"), 0.02)).first()[0]
+
+
+def sample(d: DataFrame, distinct: int) -> DataFrame:
+    """About SAMPLE of the different texts of d, by the order of a hash; all if there
+    are fewer. Its size does not depend on how often a text occurs."""
+    h = F.xxhash64("text").alias("h")
+    part = d.select(h, "text")
+    if distinct > SAMPLE:
+        part = part.where(F.shiftrightunsigned("h", 1) < max(1, int(2**63 * SAMPLE / distinct)))
+    return part.groupBy("h").agg(F.first("text").alias("text")).select("text")
+
+
 def score(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, score (0 to 1, higher is worse), keep.
 
@@ -204,33 +250,26 @@ def score(docs: DataFrame) -> DataFrame:
     learn from. Rows that repeat an id are scored one by one; rows without an id
     as well. An empty table gives an empty result. Other columns are ignored.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    code, n = np.array([tuple(r) for r in d.mapInArrow(_vote, "code long, n long").groupBy("code").agg(F.sum("n")).collect()], np.int64).reshape(-1, 2).T
-    if not len(code):
-        return d.select("doc_id", F.lit(1.0).alias("score"), F.lit(False).alias("keep"))
-    posterior = dict(zip(code.tolist(), estimate(code, n).tolist(), strict=True))
-    total = int(n.sum())
-    # A hash keeps about SAMPLE rows; all of them if there are fewer.
-    part = d.select("text") if total <= SAMPLE else d.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * SAMPLE / total)).select("text")
-    rows = part.mapInArrow(_sample, "code long, f binary, x binary").toArrow()
-    f = [np.frombuffer(b.as_buffer(), np.int16) for b in rows.column("f")]
-    x = [np.frombuffer(b.as_buffer(), np.float32) for b in rows.column("x")]
-    p = np.array([posterior.get(c, 0.5) for c in rows.column("code").to_pylist()])
-    weights, bias = fit(p, f, x) if len(f) else (np.zeros(HASHED), 0.0)
-    weights = weights.astype(np.float32)
+    scores = model(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, off in slices(batch, "text"):
-                w = Words(data, off, hashes=False)
-                doc, feat, val = shapes(w)
-                z = np.bincount(doc, weights=weights[feat] * val, minlength=len(off) - 1) + bias
-                s = np.where(np.diff(w.first) > 0, 1 / (1 + np.exp(-np.clip(z, -40, 40))), 1.0)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(s), pa.array(s < REJECT), *(rows.column(c) for c in rows.schema.names if c not in ("doc_id", "text"))], ["doc_id", "score", "keep", *(c for c in rows.schema.names if c not in ("doc_id", "text"))])
+                s = scores(Words(data, off))
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(s), pa.array(s < REJECT)], ["doc_id", "score", "keep"])
 
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     return d.mapInArrow(run, "doc_id long, score double, keep boolean")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are not rejected."""
-    return store.without(docs, score(docs).where("not keep").select("doc_id").distinct())
+    """The rows of docs that are not rejected. Each row is judged by its own text,
+    while it is scanned: rows that share an id, or have none, do not affect each other."""
+    scores = model(docs)
+
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array) -> pa.Array:
+        parts = [scores(Words(data, off)) < REJECT for _, data, off in slices(pa.RecordBatch.from_arrays([text], ["text"]), "text")]
+        return pa.array(np.concatenate([*parts, np.zeros(0, bool)]), pa.bool_())
+
+    return docs.where(good(F.col("text")))

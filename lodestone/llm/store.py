@@ -7,16 +7,19 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests, one
-    machine), a temporary folder that is removed at exit."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and master is
+    local (tests, one machine), a temporary folder that is removed at exit."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, base, True)
         spark.sparkContext.setCheckpointDir(f"file://{base}")
@@ -46,11 +49,26 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def without(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of df whose doc_id is not in the one column of ids; rows without an id stay."""
-    (name,) = unused(df, "gone")
-    gone = ids.toDF(name)
-    return df.join(gone, df["doc_id"].cast("long") == gone[name], "left_anti")
+BROADCAST_KEYS = 1_000_000  #: keys that are counted first and then sent to all executors, at most
+
+
+def only(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows of df whose column is in the one column of keys. Few keys, once counted,
+    are broadcast, so that the rows are not shuffled."""
+    return _matched(df, F.col(column), keys, "left_semi")
+
+
+def without(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows of df whose key, an expression over it, is not in the one column of keys;
+    rows whose key is null stay."""
+    return _matched(df, key, keys, "left_anti")
+
+
+def _matched(df: DataFrame, key: Column, keys: DataFrame, how: str) -> DataFrame:
+    own, name = unused(df, "own", "key")
+    keys = save(keys.toDF(name), "keys")
+    few = keys.count() <= BROADCAST_KEYS
+    return df.withColumn(own, key).join(F.broadcast(keys) if few else keys, F.col(own) == F.col(name), how).drop(own)
 
 
 def width(spark: SparkSession, rows: float = 0, per_partition: float = 1) -> int:

@@ -153,6 +153,78 @@ def test_jaccard_awkward_rows(spark):
     assert jaccard_join.keep_one(d).columns == d.columns
 
 
+def near_threshold(n, seed=0):
+    """Texts with 56 common words and 7 of their own: close to a link, but none."""
+    common = prose(56, 900).split()
+    r = random.Random(seed)
+    return [(i, " ".join(common + ["".join(r.choice("klmnopq") for _ in range(9)) for _ in range(7)])) for i in range(n)]
+
+
+def test_jaccard_rows_grow_with_members(spark):
+    """What a group's comparison yields is linear in its members, and without links nothing."""
+    from lodestone.llm.text import shingle_sets as ss
+
+    sizes = []
+    for m in (200, 400, 800):
+        texts = [t for _, t in near_threshold(m)]
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        off = np.append(0, np.cumsum([len(t.encode()) for t in texts]))
+        h, first = ss(Words(data, off), 5)
+        sets = [h[first[i] : first[i + 1]] for i in range(m)]
+        x = {"doc": np.arange(m), "comp": np.arange(m), "n": np.diff(first), "side": np.zeros(m, int)}
+        assert jaccard_join.spanning(80, 100, (1, 0, 0), x, sets) == []
+        links = jaccard_join.spanning(70, 100, (1, 0, 0), x, sets)
+        assert len(links) == m - 1
+        bits = [np.frombuffer(jaccard_join.dense(s, np.array([0, len(s)])), U64) for s in sets]
+        batch = __import__("pyarrow").RecordBatch.from_pydict({"gid": [1] * m, "i": [0] * m, "j": [0] * m, "doc": list(range(m)), "comp": list(range(m)), "n": np.diff(first).tolist(), "side": [0] * m, "bits": [b.tobytes() for b in bits]})
+        sizes.append(sum(b.num_rows for b in jaccard_join._near_members(80, 100)(iter([batch]))))
+    assert all(n <= m for n, m in zip(sizes, (200, 400, 800), strict=True))
+
+
+def test_jaccard_hot_block_is_split(spark, monkeypatch):
+    """Entries of a block that a slice holds often are one, and large clusters are cut
+    into blocks; results stay."""
+    rows = edited(7) + [(1000 + i, t) for i, t in near_threshold(60)]
+    want = brute_groups(rows, 5, 80, 100)
+    for hot, block in ((2, 4096), (10**9, 7)):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        got = jaccard_join.similar_groups(table(spark, rows).repartition(2), 5, 80, 100, hot=hot)
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_jaccard_ids_that_repeat_with_other_texts(spark):
+    """Rows link, whatever the partitioning; a group's label is its least id."""
+    a, b = prose(40, 801), prose(40, 802)
+    rows = [(1, a), (2, a), (2, b), (3, b), (2, None)]
+    for parts in (1, 2, 5):
+        got = jaccard_join.similar_groups(table(spark, rows).repartition(parts, "text"), 5, 80, 100)
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == [(1, 36, 1), (2, 0, 2), (2, 36, 1), (2, 36, 2), (3, 36, 2)]
+        kept = jaccard_join.keep_one(table(spark, rows).repartition(parts, "text"))
+        assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted([(1, a), (2, b), (2, "")])
+
+
+def test_functions_travel_without_the_package(tmp_path):
+    """Executors need no copy of the package: what op1 sends is pickled by value."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    import lodestone.llm  # noqa: F401
+
+    jaccard_join.bands(85, 100, 1000)
+    body = cloudpickle.dumps(jaccard_join._sketches(4, 85, 100, 3, 8))
+    (tmp_path / "f").write_bytes(body)
+    code = f"""
+import pickle, pyarrow as pa
+f = pickle.load(open({str(tmp_path / "f")!r}, "rb"))
+b = pa.RecordBatch.from_pydict({{"row": [1, 2], "doc_id": [1, 2], "text": ["a b c d e f"] * 2}})
+print(sum(x.num_rows for x in f(iter([b]))))
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert out.returncode == 0 and int(out.stdout) > 1, out.stderr[-500:]
+
+
 # --- 2
 
 
@@ -341,6 +413,30 @@ def test_quality(spark, data):
     assert quality.keep_good(table(spark, AWKWARD)).columns == table(spark, AWKWARD).columns
 
 
+def test_quality_judges_rows(spark):
+    """A good and a junk text with one id, and the junk text without an id: by their texts."""
+    good, junk = prose(200, 1), "$$## ||| " * 60
+    rows = [(1, good), (1, junk), (None, junk), (None, good)] + [(10 + i, prose(150, 20 + i)) for i in range(60)] + [(100 + i, f"#{i} ||| $$ !! " * 40) for i in range(20)]
+    kept = quality.keep_good(table(spark, rows)).collect()
+    assert {(r.doc_id, r.text) for r in kept if r.doc_id in (1, None)} == {(1, good), (None, good)}
+
+
+def test_quality_sample_is_bounded(spark, data, monkeypatch):
+    d = spark.read.parquet(f"{data}/sf0.01/documents.parquet")
+    y = {r.doc_id: r.quality for r in spark.read.parquet(f"{data}/sf0.01/labels.parquet").collect()}
+    monkeypatch.setattr(quality, "distinct_texts", lambda d: 10**11)  # a sample of that many texts has none of these
+    got = [(r.keep, y[r.doc_id]) for r in quality.score(d).collect() if r.doc_id in y]
+    assert sum(k == bool(q) for k, q in got) / len(got) > 0.95
+    monkeypatch.undo()
+    monkeypatch.setattr(quality, "SAMPLE", 300)
+    none = d.withColumn("doc_id", F.lit(None).cast("long"))
+    some = quality.sample(none.union(none).union(none).select("text"), quality.distinct_texts(none)).count()
+    assert 200 < some < 400
+    texts = {r.text: r.quality for r in d.join(spark.createDataFrame(list(y.items()), "doc_id long, quality int"), "doc_id").collect()}
+    kept = {r.text for r in quality.keep_good(none).collect()}
+    assert sum((t in kept) == bool(q) for t, q in texts.items()) / len(texts) > 0.95
+
+
 def test_em_recovers_accuracies():
     r = np.random.default_rng(0)
     bad = r.random(40_000) < 0.2
