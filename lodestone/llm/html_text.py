@@ -26,139 +26,194 @@ RAW = frozenset("script style template noscript title textarea iframe noembed no
 #: an opening tag ends these open elements, up to the given container
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
-_TAG = re.compile(
-    r"<!--(?:.*?-->|.*)"
-    r"|<(?:script|style|template|noscript|title|textarea|iframe|noembed|noframes|xmp|svg|math|select|button)\b(?=[\s/>])"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"
-    r"|<[!?/][^>]*+>?",
-    re.S | re.I,
-)
+# Elements that hold blocks; others above a block say nothing about it.
+HOLDERS = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+
+_RAW_START = re.compile(r"<(script|style|template|noscript|title|textarea|iframe|noembed|noframes|xmp|svg|math|select|button)(?=[\s/>])", re.I)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)")
+#: a tag without < in it: never reads past the next one
+_PLAIN = re.compile(r"[^>\"'<]*+(?:(?:\"[^\"<]*+\"|'[^'<]*+')[^>\"'<]*+)*+>")
+_UNQUOTED = re.compile(r"[^>\"']*+")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*+>?", re.I) for t in RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+class Element:
+    """An open element that holds blocks, linked to the one around it."""
+
+    __slots__ = ("parent", "tag", "names", "base")
+
+    def __init__(self, parent: Element | None, tag: str, names: str) -> None:
+        self.parent, self.tag, self.names = parent, tag, names
+        self.base: tuple | None = None
+
+
 class Block:
-    """A leaf block: its text pieces, open elements and the share of linked text."""
+    """A leaf block: its text pieces, the element around it and the share of linked text."""
 
-    __slots__ = ("pieces", "path", "linked", "total", "text")
+    __slots__ = ("pieces", "inside", "linked", "total", "text")
 
-    def __init__(self, path: tuple[tuple[str, str], ...]) -> None:
+    def __init__(self, inside: Element | None) -> None:
         self.pieces: list[str] = []
-        self.path = path
+        self.inside = inside
         self.linked = self.total = 0
         self.text = ""
 
 
+class _Tags:
+    """Where tags end. Quoted attributes may hold any sign; where quotes never close,
+    a tag ends at the next >. Places from which quotes are known never to close are
+    kept, so that all searches together read the page a few times at most."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.dead = page, page.rfind(">"), set()
+
+    def end(self, at: int) -> int:
+        """The position after the tag whose name ends at at; -1 if there is no more >."""
+        if at > self.last:
+            return -1
+        m = _PLAIN.match(self.page, at)
+        if m:
+            return m.end()
+        i, seen = at, []
+        while i not in self.dead:
+            seen.append(i)
+            i = _UNQUOTED.match(self.page, i).end()
+            if i >= len(self.page):
+                break
+            if self.page[i] == ">":
+                return i + 1
+            i = self.page.find(self.page[i], i + 1) + 1
+            if not i:
+                break
+        self.dead.update(seen)
+        return self.page.find(">", at) + 1
+
+
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page that have text, in order. Never fails: what does not
-    parse as a tag is text, and unclosed elements end where a browser ends them."""
+    """Leaf blocks of a page that have text, in order, in time linear in the page.
+    Never fails: what does not parse as a tag is text, and unclosed elements end where
+    a browser ends them. Character references are decoded in each piece of text."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, Element | None]] = []
+    places: dict[str, list[int]] = {}  # of open elements, by name
+    holders: list[int] = []  # places of those that are not inline
     now: Block | None = None
-    at, links = 0, 0
+    at, tags = 0, _Tags(page)
 
     def close(i: int) -> None:
-        nonlocal links, now
-        if any(t not in INLINE for t, _ in stack[i:]):
+        nonlocal now
+        while len(stack) > i:
+            places[stack.pop()[0]].pop()
+        while holders and holders[-1] >= i:
+            holders.pop()
             now = None
-        links -= sum(t == "a" for t, _ in stack[i:])
-        del stack[i:]
+
+    def last(names: frozenset | set) -> int:
+        return max((places[t][-1] for t in names if places.get(t)), default=-1)
 
     def text(piece: str) -> None:
         nonlocal now
         if not piece or (now is None and piece.isspace()):
             return
         if now is None:
-            now = Block(tuple(x for x in stack if x[0] not in INLINE))
+            now = Block(stack[holders[-1]][1] if holders else None)
             out.append(now)
         n = len(piece)
-        now.pieces.append(piece)
+        now.pieces.append(html.unescape(piece) if "&" in piece else piece)
         now.total += n
-        now.linked += n if links else 0
+        now.linked += n if places.get("a") else 0
 
     while at < len(page):
         lt = page.find("<", at)
         if lt < 0:
             text(page[at:])
             break
-        m = _TAG.match(page, lt)
-        if not m:
-            text(page[at : lt + 1])
-            at = lt + 1
-            continue
         text(page[at:lt])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            raw = m[0][1:].lower()
-            if raw in RAW:
-                end = page.find(">", at)
-                if end < 0:
-                    break
-                if page[end - 1] != "/" or raw not in ("svg", "math"):
-                    stop = _RAW_END[raw].search(page, end)
-                    at = stop.end() if stop else len(page)
-                else:
-                    at = end + 1
+        if page.startswith(("<!", "<?"), lt):
+            end = page.find("-->", lt + 4) + 2 if page.startswith("<!--", lt) else page.find(">", lt)
+            at = end + 1 if end > 1 else len(page)
             continue
-        if m[1] or m[4]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
-            else:
-                if name not in INLINE:
-                    now = None
+        m = _RAW_START.match(page, lt)
+        if m:
+            raw, end = m[1].lower(), page.find(">", m.end())
+            if end < 0:
+                break
+            stop = None if page[end - 1] == "/" and raw in ("svg", "math") else _RAW_END[raw].search(page, end)
+            at = end + 1 if page[end - 1] == "/" and raw in ("svg", "math") else stop.end() if stop else len(page)
+            continue
+        m = _OPEN.match(page, lt)
+        end = tags.end(m.end()) if m else -1
+        if not m and page.startswith("</", lt):
+            end = page.find(">", lt) + 1
+            at = end or len(page)
+            continue
+        if end < 0:
+            text("<")
+            at = lt + 1
+            continue
+        at, name = end, m[2].lower()
+        if m[1]:
+            if places.get(name):
+                close(places[name][-1])
+            elif name not in INLINE:
+                now = None
             continue
         if name == "br":
             text(" ")
             continue
         if name not in INLINE:
             now = None
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] not in INLINE:
-                    break
+            if holders and stack[holders[-1]][0] == "p":
+                close(holders[-1])
             if name in CLOSES:
-                ends, stop_at = CLOSES[name]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ends:
-                        close(i)
-                        break
-                    if stack[i][0] in stop_at:
-                        break
+                ends, stop_at = (last(x) for x in CLOSES[name])
+                if ends > stop_at:
+                    close(ends)
         if name in VOID:
             continue
-        attrs = m[3] or m[6] or ""
-        names = " ".join(" ".join(x) for x in _NAMES.findall(attrs)).lower() if "=" in attrs else ""
-        stack.append((name, names))
-        links += name == "a"
+        element = None
+        if name not in INLINE:
+            attrs = page[m.end() : end - 1]
+            names = " ".join(" ".join(x) for x in _NAMES.findall(attrs)).lower() if "=" in attrs else ""
+            element = Element(stack[holders[-1]][1] if holders else None, name, names)
+            holders.append(len(stack))
+        places.setdefault(name, []).append(len(stack))
+        stack.append((name, element))
     for b in out:
-        b.text = " ".join(html.unescape("".join(b.pieces)).split())
+        b.text = " ".join("".join(b.pieces).split())
     return [b for b in out if b.text]
 
 
-def features(page: list[Block]) -> list[list[str]]:
-    """Names of the features that each block of a page has."""
-    seen: dict[tuple, list[str]] = {}
+def _base(e: Element | None, known: dict | None) -> tuple[frozenset, frozenset]:
+    """The features in=tag and name=word of an element and all around it, each from its
+    parent's; with known, only those. html and body have none: they hold the whole page."""
+    chain = []
+    while e is not None and e.base is None:
+        chain.append(e)
+        e = e.parent
+    base = e.base if e is not None else (frozenset(), frozenset())
+    for x in reversed(chain):
+        if x.tag not in ("html", "body"):
+            new = {"name=" + w for w in _SPLIT.split(x.names) if w} | ({"in=" + x.tag} if x.tag in HOLDERS else set())
+            new = {f for f in new if (known is None or f in known) and f not in base[0]}
+            own = frozenset("own=" + w for w in _SPLIT.split(x.names) if w and (known is None or "own=" + w in known)) if x.names else frozenset()
+            base = (base[0] | new if new else base[0], own)
+        x.base = base
+    return base
+
+
+def features(page: list[Block], known: dict | None = None) -> list[list[str]]:
+    """Names of the features that each block of a page has; of those of the elements
+    around it, only known ones if these are given."""
     out = []
     for i, b in enumerate(page):
-        base = seen.get(b.path)
-        if base is None:
-            tags = [t for t, _ in b.path]
-            base = ["bias", "tag=" + (tags[-1] if tags else "")]
-            base += {"in=" + t for t in tags if t not in ("html", "body")}
-            for _, names in b.path[-6:]:
-                base += {"name=" + x for x in _SPLIT.split(names) if x}
-            named = [names for _, names in b.path[-2:] if names]
-            base += {"own=" + x for x in _SPLIT.split(named[-1]) if x} if named else []
-            seen[b.path] = base
-        f = list(base)
+        base, own = _base(b.inside, known)
+        if not own and b.inside is not None and b.inside.parent is not None:
+            own = _base(b.inside.parent, known)[1]
+        f = ["bias", "tag=" + (b.inside.tag if b.inside else ""), *base, *own]
         words = len(b.text.split())
         f.append(f"words={min(7, words.bit_length())}")
         share = b.linked / max(1, b.total)
@@ -223,6 +278,10 @@ def labelled_pages(n: int, seed: int = 11) -> list[tuple[str, set[int]]]:
     def cue(*words: str) -> str:
         return pick(words)
 
+    def deep(body: str) -> str:
+        k = r.choice([0, 0, 0, 0, 2, 5, 9])
+        return "<div>" * k + body + "</div>" * k
+
     def boiler(kind: str) -> str:
         if kind == "nav":
             return wrap("nav", ["menu", "nav", "navbar", "navigation", "top-menu", "breadcrumb", "breadcrumbs"], links(r.randint(2, 8)))
@@ -232,13 +291,13 @@ def labelled_pages(n: int, seed: int = 11) -> list[tuple[str, set[int]]]:
             return f'<div {pick(["class", "id"])}="{pick(["ad", "ads", "advert", "advertisement", "sponsor", "promo", "banner-ad", "sponsored"])}">{pick(["", "<p>"])}{line(3, 30, stop=0.8)}</div>'
         if kind == "aside":
             body = "".join(pick([f"<p>{line(4, 30, stop=0.8)}</p>", links(4), f"<h3>{line(1, 4, stop=0)}</h3>"]) for _ in range(r.randint(1, 4)))
-            return wrap("aside", ["sidebar", "side", "widget", "related", "related-posts", "recommended", "popular", "rail"], body)
+            return wrap("aside", ["sidebar", "side", "widget", "related", "related-posts", "recommended", "popular", "rail"], deep(body))
         if kind == "notice":
             return f'<div {pick(["class", "id"])}="{pick(["cookie", "cookie-notice", "notice", "consent", "gdpr-banner", "alert", "newsletter", "popup", "modal", "paywall", "message"])}"><p>{pick([cue("We use cookies", "Accept all cookies", "Subscribe to our newsletter", "Sign up"), ""])} {line(4, 30, stop=0.9)}</p>{pick(["", "<a href=#>Accept</a>"])}</div>'
         if kind == "form":
             return f'<form action="/x"><label>{cue("Email", "Search", "Your name", "Password", "Username")}</label><input type="text"><p>{line(2, 12)}</p><div>{cue("Submit", "Subscribe", "Log in")}</div></form>'
         if kind == "comments":
-            body = "".join(f'<{t} class="comment"><{pick(["b", "cite", "span"])}>{line(1, 2, stop=0)}</{"b"}><p>{line(3, 40, stop=0.9)}</p>{pick(["", "<a href=#>Reply</a>"])}</{t}>' for t in [pick(["div", "li", "article", "section"])] for _ in range(r.randint(1, 5)))
+            body = "".join(f'<{t} class="comment"><{pick(["b", "cite", "span"])}>{line(1, 2, stop=0)}</{"b"}>{deep(f"<p>{line(3, 40, stop=0.9)}</p>")}{pick(["", "<a href=#>Reply</a>"])}</{t}>' for t in [pick(["div", "li", "article", "section"])] for _ in range(r.randint(1, 5)))
             return wrap("section", ["comments", "comment-list", "discussion", "responses", "replies", "reader-comments", "disqus"], pick(["", "<h3>Comments</h3>"]) + body) if r.random() < 0.3 else f'<{(t := pick(["section", "div", "ol"]))} {pick(["class", "id"])}="{pick(["comments", "comment-list", "discussion", "responses", "reader-comments", "replies"])}">{pick(["", "<h3>Comments</h3>"])}{body}</{t}>'
         if kind == "share":
             return f'<div class="{pick(["share", "social", "tags", "meta", "byline", "post-meta", "author-box"])}">{pick([links(3), line(2, 6, stop=0.1)])}</div>'
@@ -306,6 +365,10 @@ def labelled_pages(n: int, seed: int = 11) -> list[tuple[str, set[int]]]:
             middle = "".join(para() for _ in range(r.choice([1, 1, 2, 4])))
         if r.random() < 0.3 and middle.startswith("<article"):
             middle = f"<main>{middle}{boiler('aside') if r.random() < 0.4 else ''}{boiler('comments') if r.random() < 0.3 else ''}</main>"
+        if r.random() < 0.15:  # named parts far above their texts
+            before, after, foot = (f'<div>{x}</div>' if r.random() < 0.5 else x for x in (before, after, foot))
+        if r.random() < 0.15:
+            middle = f"<div><div><div>{middle}</div></div></div>"
         page = f"<html><head><title>{line(1, 9)}</title><style>p{{}}</style></head><body>{before}{middle}{after}{foot}" + ("</body></html>" if r.random() < 0.9 else "")
         found = blocks(page)
         main = {i for i, b in enumerate(found) if mark in b.text}
@@ -325,7 +388,7 @@ class Field:
         get, (stay0, to1), (to0, stay1) = self.cache.get, self.moves[0].tolist(), self.moves[1].tolist()
         a = b = 0.0
         back: list[tuple[int, int]] = []
-        for i, f in enumerate(features(page)):
+        for i, f in enumerate(features(page, self.names)):
             gain = sum(get(x, 0.0) for x in f)
             if i == 0:
                 a, b = 0.0, gain

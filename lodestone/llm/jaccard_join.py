@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
@@ -384,7 +384,7 @@ def _near_members(num: int, den: int):  # noqa: ANN202
                 near[lo:hi] |= ((far <= _limit(x["n"][lo:hi, None], x["n"][None, :], num, den)) & _meet(at, x, np.arange(lo, hi)[:, None], np.arange(m)[None, :])).any(axis=1)
             k = np.flatnonzero(near)
             if len(k):
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(k), v), t) for v, t in zip(at, (pa.int64(), pa.int32(), pa.int32()), strict=True)), pa.array(x["doc"][k]), pa.array(x["comp"][k]), pa.array(x["side"][k], pa.int32())], ["gid", "i", "j", "doc", "comp", "side"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(k), v), t) for v, t in zip(at, (pa.int64(), pa.int32(), pa.int32()), strict=True)), pa.array(x["doc"][k]), pa.array(x["comp"][k]), pa.array(x["side"][k], pa.int32()), pa.array(np.full(len(k), x["doc"][k].min()))], ["gid", "i", "j", "doc", "comp", "side", "least"])
 
     return run
 
@@ -429,7 +429,7 @@ def _spanning(num: int, den: int):  # noqa: ANN202
     return run
 
 
-def clustered(near: DataFrame) -> DataFrame:
+def clustered(near: DataFrame, reps: DataFrame) -> DataFrame:
     """The same members with fewer repeats: gid, i, j, doc, comp, side, n.
 
     A member lies in many groups that differ little. What groups connect is one
@@ -437,14 +437,12 @@ def clustered(near: DataFrame) -> DataFrame:
     group, in which each member occurs once. Larger clusters keep their groups,
     those with equal members once.
     """
-    near = near.withColumn("least", F.min("doc").over(Window.partitionBy("gid", "i", "j")))
-    near = store.save(near, "near")
     joined = components(near.select("doc", "least").distinct(), "doc", "least")
-    own = near.select("doc", "comp", "n").distinct().join(joined.withColumnRenamed("node", "doc"), "doc")
+    own = near.select("doc", "comp").distinct().join(reps.select("doc", "n"), "doc").join(joined.withColumnRenamed("node", "doc"), "doc")
     small = own.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where((F.col("m") <= BLOCK) & (F.col("s") * 8 <= BLOCK_BYTES)).select("component")
     own = store.save(own.join(small.withColumn("few", F.lit(True)), "component", "left"), "clusters")
     whole = own.where("few").select(F.col("component").alias("gid"), F.lit(0).alias("i"), F.lit(0).alias("j"), "doc", "comp", F.lit(0).alias("side"), "n")
-    rest = near.drop("least").join(own.where("few is null").select("doc"), "doc", "left_semi")
+    rest = near.drop("least").join(own.where("few is null").select("doc", "n"), "doc")
     key = rest.groupBy("gid", "i", "j").agg(F.sum(F.xxhash64("doc", "side").cast("decimal(38,0)")).alias("h"), F.count("*").alias("m"))
     key = key.groupBy("h", "m").agg(F.min(F.struct("gid", "i", "j")).alias("k")).select("k.gid", "k.i", "k.j")
     rest = rest.join(key, ["gid", "i", "j"], "left_semi")
@@ -525,8 +523,8 @@ def _labelled(docs: DataFrame, n: int, num: int, den: int, hot: int) -> tuple[Da
         g = g.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
         g = g.select("gid", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "doc", "comp", "n", (F.col("k") > F.col("o")).cast("int").alias("side"))
         dealt = lambda x: x.repartition(store.width(spark), "gid", "i", "j").sortWithinPartitions("gid", "i", "j")
-        near = dealt(g.join(reps.select("doc", "bits"), "doc")).mapInArrow(_near_members(num, den), "gid long, i int, j int, doc long, comp long, side int")
-        near = clustered(store.save(near, "near").join(reps.select("doc", "n"), "doc"))
+        near = dealt(g.join(reps.select("doc", "bits"), "doc")).mapInArrow(_near_members(num, den), "gid long, i int, j int, doc long, comp long, side int, least long")
+        near = clustered(store.save(near, "near"), reps)
         near = dealt(near.drop("n").join(sets_of(near.select("doc")), "doc").withColumn("n", F.length("set") / 8))
         edges = edges.union(store.save(near.mapInArrow(_spanning(num, den), link), "edges"))
         comp = components(edges, "doc", "center")

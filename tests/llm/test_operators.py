@@ -260,6 +260,73 @@ def test_broken_pages(spark):
     assert html_text.extract(d.limit(0)).count() == 0
 
 
+HOSTILE = ["<a ", '<a b="', "<div>x", '<a "> "', "<b><p>", "<x", "<div></y>", "&lt<i>;", "<td><li>x", "<!-", "<a href='x\">"]
+
+
+@pytest.mark.parametrize("unit", HOSTILE)
+def test_page_time_is_linear(unit):
+    import time
+
+    field = html_text.trained()
+    times = []
+    for page in (unit * (1_000_000 // len(unit)), unit * (1_000_000 // len(unit)) + ">"):
+        start = time.process_time()
+        html_text.main_text(page, field)
+        times.append(time.process_time() - start)
+    assert max(times) < 6, times  # a quarter of a million nested blocks take a few seconds
+
+
+def test_references_are_decoded_in_each_piece():
+    b = html_text.blocks("<p>&<b>amp;</b> x &lt<i>;</i> &amp;lt; &copy;</p>")
+    assert [x.text for x in b] == ["&amp; x <; &lt; ©"]
+
+
+def test_field_equals_enumeration():
+    """Viterbi and the gradient's normaliser against all labellings of short chains."""
+    import itertools
+
+    r = np.random.default_rng(5)
+    names = {f: i for i, f in enumerate(["bias", "tag=p", "tag=h1", "links=none", "end=stop", "end=other", "words=1", "words=2", "place=first", "place=last"])}
+    for _ in range(30):
+        field = html_text.Field(names, r.normal(size=(len(names), 2)), r.normal(size=(2, 2)))
+        b = html_text.blocks("".join(r.choice(["<p>One two.</p>", "<h1>One</h1>", "<p>x</p>", "<p>Well.</p>"], r.integers(1, 8))))
+        f = html_text.features(b)
+        value = lambda y: sum(field.weights[names[x], k] for k, row in zip(y, f, strict=True) for x in row if x in names) + sum(field.moves[i, j] for i, j in zip(y, y[1:], strict=False))  # noqa: B023, E731
+        best = max(value(y) for y in itertools.product((0, 1), repeat=len(b)))
+        assert abs(value([int(x) for x in field.decode(b)]) - best) < 1e-9
+
+
+# Layouts that the composer does not make: (html, main text).
+LAYOUTS = [
+    ("<body><table><tr><td><a href=/>Home</a> <a href=/n>News</a></td></tr><tr><td><p>The council met on Monday and agreed on the plan for the new road.</p><p>Work will begin in the spring, the mayor said after the vote.</p></td></tr></table>", 2),
+    ("<main id=content><section><h2>Tea</h2><p>Tea is made from the leaves of a shrub that grows in warm countries.</p></section><section><p>It is drunk hot or cold, with milk or without.</p></section></main><footer><p>Copyright 2020 Tea House</p></footer>", 3),
+    ("<div id=wrapper><div class=top-menu><a href=1>One</a><a href=2>Two</a></div><div class=post><h1>A walk</h1><div>We left early and walked along the river until noon.</div><div>Then the rain came, and we went home by bus.</div></div></div>", 3),
+    ("<article><h1>Title here</h1><p>First paragraph of the story, long enough to read.</p><ol><li>Boil the water for ten minutes.</li><li>Add the salt and stir it well.</li></ol></article><aside class=related><a href=x>More stories</a></aside>", 4),
+    ("<body><div role=navigation><ul><li><a href=a>Start</a><li><a href=b>Contact</a></ul></div><div role=main><p>Birds fly south when the days grow short and the nights are cold.</p></div><div role=contentinfo>&copy; 2021</div>", 1),
+    ("<div class=cookie-banner><div><div><span>We use cookies to make this site work.</span> <button>OK</button></div></div></div><article><p>The old bridge was closed to all traffic last week.</p><p>Engineers found cracks in two of its pillars.</p></article>", 2),
+    ("<article><h2>Bread</h2><dl><dt>Flour</dt><dd>Five hundred grams of it, sifted twice.</dd></dl><p>Knead the dough until it is smooth.</p></article><section class=comments><div><div><div><div><div><div><div><p>Great recipe, thank you!</p></div></div></div></div></div></div></div></section>", 4),
+    ("<main><article><header><h1>Storm</h1></header><p>A storm crossed the coast during the night and took some roofs.</p><blockquote>We have never seen such a wind here.</blockquote></article></main><div class=newsletter><p>Subscribe to our newsletter.</p></div>", 3),
+    ("<header><div><a href=/>Site name</a></div><nav><a href=/1>A</a><a href=/2>B</a></nav></header><div class=entry-content><p>Cats sleep for most of the day.</p><h3>Why they do</h3><p>They hunt at dusk and at dawn, which costs much strength.</p></div>", 3),
+    ("<div class=story><p>One sentence stands here. Another one follows it.</p><div class=advert><p>Buy two, pay one.</p></div><p>The story goes on after the advert as if nothing had been there.</p></div><div class=sidebar><ul><li><a href=q>Popular</a></li></ul></div>", 2),
+]
+
+
+def test_layouts_of_others():
+    """At least nine blocks of ten are right on layouts that no training page has."""
+    field, right, total, main = html_text.trained(), 0, 0, 0
+    for page, n in LAYOUTS:
+        b = html_text.blocks(page)
+        y = field.decode(b)
+        full = {i for i, x in enumerate(b) if len(x.text.split()) > 3 or x.text in ("Tea", "A walk", "Title here", "Bread", "Flour", "Storm", "Why they do")}
+        junk = ("copyright", "©", "home", "cookies", "newsletter", "great recipe", "buy two", "more stories", "site name")
+        want = {i for i in full if not any(j in b[i].text.lower() for j in junk) or "went home" in b[i].text}
+        assert len(want) == n, [b[i].text for i in want]
+        right += sum(bool(v) == (i in want) for i, v in enumerate(y))
+        total += len(b)
+        main += sum(bool(y[i]) for i in want)
+    assert right / total >= 0.9 and main / sum(n for _, n in LAYOUTS) >= 0.85, (right, total, main)
+
+
 # --- 3
 
 ITEMS = [
