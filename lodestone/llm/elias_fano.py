@@ -1,7 +1,7 @@
 """Elias-Fano sequences in numpy, readable from a memory map.
 
-A monotone sequence of n values below 2**bits keeps the low bytes of each value
-as they are and the rest in unary: value i sets bit (high + i) of a bit vector
+A monotone sequence of n values below 2**bits keeps the low bits of each value in
+a packed array and the rest in unary: value i sets bit (high + i) of a bit vector
 of at most 2n bits or so. Counts of ones before each 64-bit word make both
 select operations a binary search and a look into one word.
 """
@@ -14,28 +14,36 @@ U64 = np.uint64
 
 
 class EliasFano:
-    """Arrays: low (n, width) bytes; upper: the bit vector; ones: ones before each word."""
+    """Arrays: low, the packed low bits; upper, the bit vector; ones, the ones before
+    each of its words; shape, (values, low bits of each)."""
 
-    def __init__(self, low: np.ndarray, upper: np.ndarray, ones: np.ndarray) -> None:
-        self.low, self.upper, self.ones = low, upper, ones
-        self.n, self.width = low.shape
+    def __init__(self, low: np.ndarray, upper: np.ndarray, ones: np.ndarray, shape: np.ndarray) -> None:
+        self.low, self.upper, self.ones, self.shape = low, upper, ones, shape
+        self.n, self.width = (int(x) for x in shape)
 
     @classmethod
     def build(cls, values: np.ndarray, bits: int) -> EliasFano:
         n = len(values)
-        width = min(8, max(0, -(-(bits - max(0, n.bit_length() - 1)) // 8)))
+        width = min(63, max(0, bits - max(0, n.bit_length() - 1)))
         values = np.ascontiguousarray(values, U64)
-        low = values.view(np.uint8).reshape(n, 8)[:, :width].copy()
-        high = (values >> U64(8 * width) if width < 8 else np.zeros(n, U64)).astype(np.int64)
+        low = np.zeros(n * width // 64 + 2, U64)
+        if width:
+            part = values & U64((1 << width) - 1)
+            at = np.arange(n, dtype=np.int64) * width
+            word, off = at >> 6, (at & 63).astype(U64)
+            np.bitwise_or.at(low, word, part << off)
+            over = np.flatnonzero(off + U64(width) > U64(64))
+            np.bitwise_or.at(low, word[over] + 1, part[over] >> (U64(64) - off[over]))
+        high = (values >> U64(width)).astype(np.int64)
         size = (int(high[-1]) if n else 0) + n + 1
         upper = np.zeros(-(-size // 64) * 8, np.uint8)
         at = high + np.arange(n)
         np.bitwise_or.at(upper, at >> 3, (1 << (at & 7)).astype(np.uint8))
         upper = upper.view(U64)
-        return cls(low, upper, np.append(0, np.cumsum(np.bitwise_count(upper), dtype=np.int64)))
+        return cls(low, upper, np.append(0, np.cumsum(np.bitwise_count(upper), dtype=np.int64)), np.array([n, width]))
 
     def parts(self) -> list[np.ndarray]:
-        return [self.low, self.upper, self.ones]
+        return [self.low, self.upper, self.ones, self.shape]
 
     @staticmethod
     def _select(word: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -57,9 +65,15 @@ class EliasFano:
         return self._join(high, i)
 
     def _join(self, high: np.ndarray, i: np.ndarray) -> np.ndarray:
-        low = np.zeros((len(i), 8), np.uint8)
-        low[:, : self.width] = self.low[i]
-        return low.view(U64).ravel() | (high.astype(U64) << U64(8 * self.width) if self.width < 8 else U64(0))
+        return self._low(i) | (high.astype(U64) << U64(self.width))
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        if not self.width:
+            return np.zeros(len(i), U64)
+        at = i * self.width
+        word, off = at >> 6, (at & 63).astype(U64)
+        over = np.where(off > 0, self.low[word + 1] << ((U64(64) - off) & U64(63)), U64(0))
+        return ((self.low[word] >> off) | over) & U64((1 << self.width) - 1)
 
     def _before(self, high: np.ndarray) -> np.ndarray:
         """How many values have a smaller high part: ones before the high-th zero."""
@@ -75,18 +89,34 @@ class EliasFano:
     def successor(self, x: np.ndarray) -> np.ndarray:
         """Index of the first value that is at least x (n if none)."""
         x = np.ascontiguousarray(x, U64)
-        high = (x >> U64(8 * self.width) if self.width < 8 else np.zeros(len(x), U64)).astype(np.int64)
+        high = (x >> U64(self.width)).astype(np.int64)
         a, b = self._before(high), self._before(high + 1)
-        goal = x & U64((1 << 8 * self.width) - 1)
-        zero = np.zeros(1, np.int64)
+        goal = x & U64((1 << self.width) - 1)
         while (a < b).any():
             go = np.flatnonzero(a < b)
             mid = (a[go] + b[go]) >> 1
-            less = self._join(zero, mid) < goal[go]
+            less = self._low(mid) < goal[go]
             a[go] = np.where(less, mid + 1, a[go])
             b[go] = np.where(less, b[go], mid)
         return a
 
+    def within(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Index of x between the indexes lo and hi (excluded), or -1: a successor search
+        in that range alone."""
+        x, a, b = np.ascontiguousarray(x, U64), lo.astype(np.int64), hi.astype(np.int64)
+        end = b.copy()
+        while (a < b).any():
+            go = np.flatnonzero(a < b)
+            mid = (a[go] + b[go]) >> 1
+            less = self.access(mid) < x[go]
+            a[go] = np.where(less, mid + 1, a[go])
+            b[go] = np.where(less, b[go], mid)
+        out = np.full(len(x), -1, np.int64)
+        some = np.flatnonzero(a < end)
+        hit = some[self.access(a[some]) == x[some]]
+        out[hit] = a[hit]
+        return out
+
     def find(self, x: np.ndarray) -> np.ndarray:
         """Index of x, or -1."""
         i = self.successor(x)

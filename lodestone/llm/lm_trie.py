@@ -1,27 +1,32 @@
-"""A bigram language model in sharded Elias-Fano tries, learned and applied at once.
-
-Model. P1(w) = (c(w) + 0.5) / (N + 0.5 (V' + 1)), one class of unknown words
-included, and P(w | u) = (c(u w) + MU * P1(w)) / (c(u) + MU). As logarithms,
-log P(w | u) = log P1(w) + backoff(u) + gain(u w) with
-backoff(u) = log(MU / (c(u) + MU)) and gain = log(1 + c(u w) / (MU * P1(w))),
-which is 0 for an unseen bigram. backoff needs c(u) only, so it can be added
-where u itself is a word. The gain needs c(u w) and c(w). So everything about a
-word and the contexts before it lies in the shard of that word, and one exchange
-of packed token arrays both trains and scores. V' bounds the vocabulary: a
-HyperLogLog estimate plus five per cent (base_score has the exact V).
-
-Trie of a shard. Level 1: the sorted 64-bit hashes of words, their cumulated
-counts, monotone pointers into level 2, and 16-bit codes of log P1 and of the
-backoff. Level 2: for each word its contexts by 40-bit codes, offset by the
-word's rank, and 16-bit codes of the gain. All monotone sequences are
-Elias-Fano coded; the file is memory-mapped and asked by successor search.
+"""A trigram language model in sharded Elias-Fano tries.
+
+Model. With u the word before w and t the one before u,
+
+    P(w | t u) = (c(t u w) + A c(u w) + B P1(w)) / (c(t u) + A c(u) + B),
+    P1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), one class of unknown words included.
+
+Over all w the numerators add up to the denominator, so this is a distribution.
+The numerator needs counts that lie with w, the denominator counts that lie with
+u as a word after t, so it is subtracted where u itself is a word: everything
+about a word and the contexts before it meets in the bucket of that word, and one
+exchange of packed token arrays both trains and scores. Words with very many
+occurrences are spread over the buckets by their context; their counts come
+from the census, which also gives the exact V.
+
+Trie of a bucket. Level 1: the sorted 64-bit hashes of words, their cumulated
+counts and pointers into level 2. Level 2: for each word the 40-bit codes of its
+contexts u, and pointers into level 3: for each pair the 32-bit codes of t. Words,
+counts, pointers and contexts are Elias-Fano coded; a context is found by a
+successor search between two pointers. Every entry has 16-bit codes of the
+logarithms of its numerator and (levels 1 and 2) of the denominator after it. The
+levels lie in one block of bytes, which a task maps into memory.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
+import mmap
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +37,14 @@ from . import store
 from .elias_fano import EliasFano
 from .text import U64, Words, mix, slices
 
-MU = 1000.0
-SUB_TOKENS = 2_000_000  #: tokens that a task holds at once, on average
-SLICE = 4 << 20
+A, B = 0.02, 10.0  #: weights of the second and the first order
+BUCKET_TOKENS = 1_000_000  #: tokens that a task holds at once, on average
+SHARDS = 1 << 15  #: tasks of an exchange, at most; beyond, a task works bucket by bucket
+HOT_WORDS = 1_000_000  #: words that are spread by their context, at most: executors hold their counts
+SLICE = 2 << 20
+CENSUS = 2_000_000  #: different words that a task of the census holds
 END, BEGIN = U64(0x9D3F5C1B2A7E4D61), U64(0x51C64E6D7A3B9F87)
-CODE = U64((1 << 40) - 1)
-REGISTERS = 4096
+CODE, CODE2 = U64((1 << 40) - 1), U64((1 << 32) - 1)
 
 
 class Codes:
@@ -55,114 +62,193 @@ class Codes:
 
 
 class Trie:
-    """The levels of one shard; see the module's text."""
+    """The levels of one bucket; see the module's text."""
+
+    KINDS = (U64, U64, np.int64, np.int64) * 6 + (np.uint16, np.float64) * 5 + (np.float64,)
 
     def __init__(self, arrays: list[np.ndarray]) -> None:
-        a = iter(arrays)
-        self.words, self.counts, self.pointers, self.contexts = (EliasFano(next(a), next(a), next(a)) for _ in range(4))
-        self.p1, self.p1_scale, self.back, self.back_scale, self.gain, self.gain_scale, self.head = a
+        self.arrays = arrays
+        self.words, self.counts, self.pointers, self.contexts, self.pointers2, self.contexts2 = (EliasFano(*arrays[4 * i : 4 * i + 4]) for i in range(6))
+        self.q1, self.d1, self.q2, self.d2, self.q3 = (arrays[24 + 2 * i : 26 + 2 * i] for i in range(5))
+        self.head = arrays[34]
 
     @classmethod
-    def build(cls, word: np.ndarray, context: np.ndarray, count: np.ndarray, z: float, mu: float) -> Trie:
-        """From distinct (word, context code) in order, with counts."""
-        start = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
-        per = np.diff(np.append(start, len(word)))
-        total = np.add.reduceat(count, start) if len(start) else np.zeros(0, np.int64)
-        rank = np.repeat(np.arange(len(start), dtype=U64), per)
-        p1 = (total + 0.5) / z
-        bits = 40 + max(1, len(start).bit_length())
-        cum = np.append(0, np.cumsum(total))
+    def build(cls, word: np.ndarray, u: np.ndarray, t: np.ndarray, count: np.ndarray, of: Counts) -> Trie:
+        """From distinct (word, u, t) in order, with counts."""
+        two = _starts(word, u)
+        one = two[_starts(word[two])]
+        c2 = np.add.reduceat(count, two) if len(two) else count[:0]
+        at1 = np.searchsorted(two, one)
+        c1 = of.total(word[one], np.add.reduceat(count, one) if len(one) else count[:0])
+        own1, own2 = _spread(at1, len(two)), _spread(two, len(word))
+        p1 = of.b * (c1 + 0.5) / of.z
+        cum = np.append(0, np.cumsum(c1))
+        fano = lambda v, bits: EliasFano.build(v, max(1, bits)).parts()
         arrays = [
-            *EliasFano.build(word[start], 64).parts(),
-            *EliasFano.build(cum, int(cum[-1]).bit_length() or 1).parts(),
-            *EliasFano.build(np.append(start, len(word)), max(1, len(word).bit_length())).parts(),
-            *EliasFano.build((rank << U64(40)) | context, bits).parts(),
-            *Codes.pack(np.log10(p1)),
-            *Codes.pack(np.log10(mu / (total + mu))),
-            *Codes.pack(np.log10(1 + count / (mu * np.repeat(p1, per)))),
-            np.array([np.log10(0.5 / z)]),
-        ]
-        return cls(arrays)
-
-    def write(self, path: str) -> None:
-        arrays = [x for s in (self.words, self.counts, self.pointers, self.contexts) for x in s.parts()]
-        arrays += [self.p1, self.p1_scale, self.back, self.back_scale, self.gain, self.gain_scale, self.head]
-        with open(path, "wb") as f:
-            for x in arrays:
-                np.save(f, x, allow_pickle=False)
+            *fano(word[one], 64), *fano(cum, int(cum[-1]).bit_length()),
+            *fano(np.append(at1, len(two)), len(two).bit_length()), *fano(own1.astype(U64) << U64(40) | u[two], 40 + len(one).bit_length()),
+            *fano(np.append(two, len(word)), len(word).bit_length()), *fano(own2.astype(U64) << U64(32) | t, 32 + len(two).bit_length()),
+            *Codes.pack(np.log10(p1)), *Codes.pack(np.log10(of.a * c1 + of.b)),
+            *Codes.pack(np.log10(of.a * c2 + p1[own1])), *Codes.pack(np.log10(c2 + of.a * c1[own1] + of.b)),
+            *Codes.pack(np.log10(count + of.a * c2[own2] + p1[own1][own2])), np.log10([of.b * 0.5 / of.z, of.b]),
+        ]
+        return cls([np.ascontiguousarray(x, k) for x, k in zip(arrays, cls.KINDS, strict=True)])
+
+    def pack(self) -> bytes:
+        return _pack(*self.arrays)
 
     @classmethod
-    def open(cls, path: str) -> Trie:
-        arrays, size = [], os.path.getsize(path)
-        with open(path, "rb") as f:
-            while f.tell() < size:
-                version = np.lib.format.read_magic(f)
-                shape, _, kind = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
-                n = int(np.prod(shape)) * kind.itemsize
-                arrays.append(np.memmap(path, kind, "r", f.tell(), shape) if n else np.zeros(shape, kind))
-                f.seek(n, 1)
-        return cls(arrays)
-
-    def ask(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(rank or -1, count, log P1, backoff) of words."""
-        rank = self.words.find(word)
-        known = np.flatnonzero(rank >= 0)
+    def load(cls, body: bytes) -> Trie:
+        """The levels as views of a memory map that holds body."""
+        place = mmap.mmap(-1, max(1, len(body)))
+        place.write(body)
+        return cls(_unpack(memoryview(place), *cls.KINDS))
+
+    def ask(self, word: np.ndarray, u: np.ndarray, t: np.ndarray, of: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(count of the word, log numerator, log denominator after it) of triples. What
+        a bucket lacks of hot words the census knows."""
         count = np.zeros(len(word), np.int64)
-        count[known] = (self.counts.access(rank[known] + 1) - self.counts.access(rank[known])).astype(np.int64)
-        p1, back = np.full(len(word), float(self.head[0])), np.zeros(len(word))
-        p1[known] = Codes.unpack(self.p1[rank[known]], self.p1_scale)
-        back[known] = Codes.unpack(self.back[rank[known]], self.back_scale)
-        return rank, count, p1, back
-
-    def gains(self, rank: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """The gain of contexts before words of known rank; 0 where unseen."""
-        i = self.contexts.find((rank.astype(U64) << U64(40)) | context)
-        out = np.zeros(len(i))
-        out[i >= 0] = Codes.unpack(self.gain[i[i >= 0]], self.gain_scale)
+        num, den = (np.full(len(word), float(x)) for x in self.head)
+        rank = self.words.find(word)
+        hot, place = of.place(word)
+        k = np.flatnonzero(hot & (rank < 0))
+        c = of.hot_count[place[k]]
+        count[k], num[k] = c, np.log10(of.b * (c + 0.5) / of.z)
+        den[k] = np.log10(of.a * c + of.b)
+        k = np.flatnonzero(rank >= 0)
+        r = rank[k]
+        count[k] = (self.counts.access(r + 1) - self.counts.access(r)).astype(np.int64)
+        num[k], den[k] = Codes.unpack(self.q1[0][r], self.q1[1]), Codes.unpack(self.d1[0][r], self.d1[1])
+        node = self.contexts.within(r.astype(U64) << U64(40) | u[k], self.pointers.access(r), self.pointers.access(r + 1))
+        k, r = k[node >= 0], node[node >= 0]
+        num[k], den[k] = Codes.unpack(self.q2[0][r], self.q2[1]), Codes.unpack(self.d2[0][r], self.d2[1])
+        node = self.contexts2.within(r.astype(U64) << U64(32) | t[k], self.pointers2.access(r), self.pointers2.access(r + 1))
+        k, r = k[node >= 0], node[node >= 0]
+        num[k] = Codes.unpack(self.q3[0][r], self.q3[1])
+        return count, num, den
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _spread(start: np.ndarray, n: int) -> np.ndarray:
+    """The run of each of n entries."""
+    return np.repeat(np.arange(len(start)), np.diff(np.append(start, n)))
+
+
+@dataclass(frozen=True)
+class Counts:
+    """What the census knows: tokens, tokens and documents to learn from, their vocabulary,
+    and the hot words (in order) with their counts; the model's weights; the buckets."""
+
+    tokens: int
+    train: int
+    documents: int
+    vocabulary: int
+    hot: np.ndarray
+    hot_count: np.ndarray
+    a: float
+    b: float
+    shards: int
+    subs: int
+
+    @property
+    def z(self) -> float:
+        return self.train + 0.5 * (self.vocabulary + 1)
+
+    def place(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether words are hot, their place among the hot words)."""
+        if not len(self.hot):
+            return np.zeros(len(word), bool), np.zeros(len(word), np.int64)
+        at = np.searchsorted(self.hot, word).clip(0, len(self.hot) - 1)
+        return self.hot[at] == word, at
+
+    def total(self, word: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The counts of words, of which a bucket has own occurrences."""
+        hot, at = self.place(word)
+        return np.where(hot, self.hot_count[at], own) if hot.any() else own
+
+    def key(self, word: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """What decides the bucket, by its order: the word, and the context of hot words."""
+        hot, _ = self.place(word)
+        out = word.copy()
+        out[hot] = mix(word[hot] + mix(u[hot]))
         return out
 
+    def bucket(self, key: np.ndarray) -> np.ndarray:
+        return ((key >> U64(32)) * U64(self.shards * self.subs) >> U64(32)).astype(np.int64)
 
-def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(token, context, document) of every token, and tokens per document."""
+
+def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token, code of the word before, code of the one before that, document) of every token, and tokens per document."""
     w = Words(data, off)
-    n = np.diff(w.first)
-    return np.insert(w.h, w.first[1:], END), np.insert(w.h, w.first[:-1], BEGIN), np.repeat(np.arange(len(n)), n + 1), n + 1
+    n = np.diff(w.first) + 1
+    word = np.insert(w.h, w.first[1:], END)
+    first = np.cumsum(n) - n
+    u = np.append(BEGIN, word[:-1])
+    u[first] = BEGIN
+    t = np.append(BEGIN, u[:-1])
+    t[first] = BEGIN
+    return word, mix(u) & CODE, mix(t) & CODE2, np.repeat(np.arange(len(n)), n), n
+
+
+def _learn(rows: pa.RecordBatch) -> np.ndarray:
+    return ~rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
 
 
 def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Totals of a partition, under negative names, and its HyperLogLog registers."""
-    regs, tokens, train, docs = np.zeros(REGISTERS, np.int64), 0, 0, 0
+    """The different words of a partition: occurrences, and those to learn from."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def merged() -> tuple[np.ndarray, ...]:
+        word, n, train = (np.concatenate(x) for x in zip(*held, strict=True))
+        word, own = np.unique(word, return_inverse=True)
+        return word, np.bincount(own, weights=n).astype(np.int64), np.bincount(own, weights=train).astype(np.int64)
+
+    rows = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1]), pa.array(x[2])], ["word", "n", "train"])
     for batch in batches:
-        for rows, data, off in slices(batch, "text", SLICE):
-            word, _, doc, n = _tokens(data, off)
-            learn = ~rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            h = np.unique(word[learn[doc]])
-            x = mix(h + U64(3))
-            top = (x >> U64(12)).astype(np.float64)
-            np.maximum.at(regs, (x & U64(REGISTERS - 1)).astype(np.int64), 53 - np.frexp(top + 0.5)[1].clip(0, 52))
-            tokens, train, docs = tokens + int(n.sum()), train + int(n[learn].sum()), docs + int(learn.sum())
-    yield pa.RecordBatch.from_pydict({"name": pa.array([-1, -2, -3, *range(REGISTERS)], pa.int64()), "value": pa.array([tokens, train, docs, *regs.tolist()], pa.int64())})
-
-
-def census(docs: DataFrame) -> tuple[int, int, int, float]:
-    """(tokens, tokens to learn from, documents to learn from, bound on their vocabulary)."""
-    rows = docs.mapInArrow(_census, "name long, value long").groupBy("name").agg(F.sum("value").alias("s"), F.max("value").alias("m")).collect()
-    got = {r["name"]: r for r in rows}
-    if not got:
-        return 0, 0, 0, 1.0
-    regs = np.array([got[i]["m"] for i in range(REGISTERS)], np.float64)
-    est = 0.7213 / (1 + 1.079 / REGISTERS) * REGISTERS**2 / np.sum(2.0**-regs)
-    if est < 2.5 * REGISTERS and (regs == 0).any():
-        est = REGISTERS * np.log(REGISTERS / np.count_nonzero(regs == 0))
-    train = got[-2]["s"]
-    return got[-1]["s"], train, got[-3]["s"], min(float(train), 1.05 * est + 3)
+        for part, data, off in slices(batch, "text", SLICE):
+            w = Words(data, off)
+            count = np.diff(w.first)
+            learn = _learn(part)
+            word, own, n = np.unique(w.h, return_inverse=True, return_counts=True)
+            train = np.bincount(own, weights=np.repeat(learn, count), minlength=len(word))
+            held.append((np.append(word, END), np.append(n, len(count)), np.append(train, learn.sum())))
+            size += len(word)
+            if size > CENSUS:
+                held, size = [merged()], 0
+                if len(held[0][0]) > CENSUS // 2:
+                    yield rows(held[0])
+                    held = []
+    if held:
+        yield rows(merged())
+
+
+def census(docs: DataFrame, a: float = A, b: float = B, bucket_tokens: int = BUCKET_TOKENS) -> Counts:
+    """Counts every word of docs (text, held_out) exactly."""
+    words = docs.mapInArrow(_census, "word long, n long, train long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("train").alias("train"))
+    words = store.save(words, "words")
+    tokens, train, v, n_docs = words.agg(F.sum("n"), F.sum("train"), F.count_if(F.col("train") > 0), F.sum(F.when(F.col("word") == int(END.view(np.int64)), F.col("train")))).first()
+    tokens, train, n_docs = tokens or 0, train or 0, n_docs or 0
+    least = max(bucket_tokens // 4, -(-tokens // HOT_WORDS))
+    hot = words.where(F.col("n") >= least).select("word", "train").toArrow()  # at most HOT_WORDS rows
+    word, count = hot.column("word").to_numpy().view(U64), hot.column("train").to_numpy()
+    order = np.argsort(word)
+    buckets = max(1, -(-tokens // bucket_tokens))
+    shards = store.width(docs.sparkSession, min(buckets, SHARDS))
+    return Counts(tokens, train, n_docs, v, word[order], count[order], a, b, shards, max(1, -(-buckets // shards)))
 
 
 PACKED = "shard int, sub int, slice long, body binary"
 
 
-def _deal(shards: int, subs: int):  # noqa: ANN202
-    """Each slice of text as a packed array per shard: words, tokens per word,
+def _deal(of: Counts):  # noqa: ANN202
+    """Each slice of text as a packed array per bucket: words, tokens per word,
     context codes and documents; and (sub -1) the slice's documents themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,23 +257,24 @@ def _deal(shards: int, subs: int):  # noqa: ANN202
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for rows, data, off in slices(batch, "text", SLICE):
-                word, context, doc, n = _tokens(data, off)
-                order = np.argsort(word, kind="stable")
-                word, context, doc = word[order], context[order], doc[order].astype(np.uint16)
-                start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-                per = np.diff(np.append(start, len(word)))
+                word, u, t, doc, n = _tokens(data, off)
+                key = of.key(word, u)
+                order = np.argsort(key, kind="stable")
+                key, word, u, t, doc = key[order], word[order], u[order], t[order].astype(np.uint32), doc[order].astype(np.uint16)
+                start = _starts(key)
+                per = np.diff(np.append(start, len(word))).astype(np.uint32)
                 distinct = word[start]
-                code = (mix(context) & CODE).view(np.uint8).reshape(-1, 8)[:, :5]
-                bucket = ((distinct >> U64(32)) * U64(shards * subs) >> U64(32)).astype(np.int64)  # words are in order, and so are buckets
-                cut = np.searchsorted(bucket, np.arange(shards * subs + 1))
+                code = u.view(np.uint8).reshape(-1, 8)[:, :5]
+                cut = np.searchsorted(of.bucket(key[start]), np.arange(of.shards * of.subs + 1))  # keys are in order, and so are buckets
                 tok = np.append(start, len(word))[cut]
-                shard, sub, body = [number % shards], [-1], [_pack(rows.column("doc_id").is_valid().to_numpy(zero_copy_only=False), rows.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), n, rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool))]
-                learn = ~rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+                learn, ids = _learn(rows), rows.column("doc_id")
+                shard, sub, body = [number % of.shards], [-1], [_pack(ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False), n, ~learn)]
                 for b in np.flatnonzero(np.diff(cut)).tolist():
-                    d = doc[tok[b] : tok[b + 1]]
-                    shard.append(b // subs)
-                    sub.append(b % subs)
-                    body.append(_pack(learn, distinct[cut[b] : cut[b + 1]], per[cut[b] : cut[b + 1]].astype(np.uint32), code[tok[b] : tok[b + 1]], (d & 255).astype(np.uint8), (d >> 8).astype(np.uint8)))
+                    x, y, i, j = cut[b], cut[b + 1], tok[b], tok[b + 1]
+                    shard.append(b // of.subs)
+                    sub.append(b % of.subs)
+                    d = doc[i:j]
+                    body.append(_pack(learn, distinct[x:y], per[x:y], code[i:j], t[i:j], (d & 255).astype(np.uint8), (d >> 8).astype(np.uint8)))
                 yield pa.RecordBatch.from_pydict({"shard": pa.array(shard, pa.int32()), "sub": pa.array(sub, pa.int32()), "slice": pa.array([number] * len(shard), pa.int64()), "body": pa.array(body, pa.binary())})
                 number += 1
 
@@ -206,91 +293,96 @@ def _unpack(body: memoryview, *kinds: type) -> list[np.ndarray]:
 
 
 ANSWER = "slice long, kind int, body binary"
+TRIE = -1  #: the slice of rows whose body is the trie of a bucket
 
 
-def _answer(z: float, mu: float):  # noqa: ANN202
-    """Builds the trie of each sub-shard and scores the tokens that were sent to it."""
+class Bucket:
+    """The tokens that all slices sent to a bucket, in order of (word, u, t)."""
 
-    def solve(parts: list[tuple[int, list[np.ndarray]]]) -> tuple[int, list[tuple[int, int, bytes]]]:
+    def __init__(self, parts: list[tuple[int, list[np.ndarray]]]) -> None:
         word = np.concatenate([np.repeat(p[1], p[2]) for _, p in parts])
         raw = np.zeros((len(word), 8), np.uint8)
         raw[:, :5] = np.concatenate([p[3].reshape(-1, 5) for _, p in parts])
-        context = raw.view(U64).ravel()
-        del raw
-        doc = np.concatenate([p[4].astype(np.int64) | p[5].astype(np.int64) << 8 for _, p in parts])
-        sizes = [len(p[4]) for _, p in parts]
-        base = np.cumsum([0] + [len(p[0]) for _, p in parts])  # documents of all slices, one after the other
-        doc += np.repeat(base[:-1], sizes)
+        u = raw.view(U64).ravel()
+        t = np.concatenate([p[4] for _, p in parts])
+        doc = np.concatenate([p[5].astype(np.int64) | p[6].astype(np.int64) << 8 for _, p in parts])
+        self.slices = [s for s, _ in parts]
+        self.base = np.cumsum([0] + [len(p[0]) for _, p in parts])  # documents of all slices, one after the other
+        doc += np.repeat(self.base[:-1], [len(p[5]) for _, p in parts])
         learn = np.concatenate([p[0] for _, p in parts]).astype(bool)
-        order = np.argsort(context, kind="stable")
-        order = order[np.argsort(word[order], kind="stable")]
-        word, context, doc = word[order], context[order], doc[order]
-        new = np.ones(len(word), bool)
-        new[1:] = (word[1:] != word[:-1]) | (context[1:] != context[:-1])
-        at = np.flatnonzero(new)
-        own = np.cumsum(new) - 1
-        count = np.bincount(own, weights=learn[doc], minlength=len(at)).astype(np.int64)
-        seen = count > 0
-        handle, path = tempfile.mkstemp(prefix="trie")
-        os.close(handle)
-        try:
-            Trie.build(word[at][seen], context[at][seen], count[seen], z, mu).write(path)
-            trie = Trie.open(path)
-            first = np.flatnonzero(np.append(True, word[at][1:] != word[at][:-1]))
-            rank, c, p1, back = trie.ask(word[at][first])
-            spread = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(at))))
-            back[word[at][first] == END] = 0.0
-            value = (p1 + back)[spread]
-            known = rank[spread] >= 0
-            value[known] += trie.gains(rank[spread][known], context[at][known])
-            vocabulary = trie.words.n
-        finally:
-            os.unlink(path)
-        total = base[-1]
-        score = np.bincount(doc, weights=value[own], minlength=total)
-        plain = np.bincount(doc, weights=np.log10(c + 0.5)[spread][own], minlength=total)
-        hits = np.bincount(doc, weights=known[own], minlength=total).astype(np.uint32)
-        touched = np.bincount(doc, minlength=total) > 0
-        out = []
-        for (s, p), a in zip(parts, base.tolist(), strict=False):
-            i = np.flatnonzero(touched[a : a + len(p[0])])
-            out.append((s, 1, _pack(i.astype(np.uint16), hits[a + i], plain[a + i], score[a + i])))
-        return vocabulary, out
+        order = np.lexsort((t, u, word))
+        word, u, t, self.doc = word[order], u[order], t[order], doc[order]
+        at = _starts(word, u, t)
+        self.own = _spread(at, len(word))
+        self.word, self.u, self.t = word[at], u[at], t[at].astype(U64)
+        self.count = np.bincount(self.own, weights=learn[self.doc], minlength=len(at)).astype(np.int64)
+
+    def trie(self, of: Counts) -> Trie:
+        seen = self.count > 0
+        return Trie.build(self.word[seen], self.u[seen], self.t[seen], self.count[seen], of)
+
+    def answers(self, trie: Trie, of: Counts) -> pa.RecordBatch:
+        """For each slice: its documents here, their known tokens, and sums of logarithms."""
+        c, num, den = trie.ask(self.word, self.u, self.t, of)
+        value = num - np.where(self.word == END, 0.0, den)
+        total = self.base[-1]
+        add = lambda x: np.bincount(self.doc, weights=x[self.own], minlength=total)
+        score, plain, hits = add(value), add(np.log10(c + 0.5)), add(c > 0).astype(np.uint32)
+        touched = np.bincount(self.doc, minlength=total) > 0
+        body = []
+        for a, b in zip(self.base[:-1].tolist(), self.base[1:].tolist(), strict=True):
+            i = np.flatnonzero(touched[a:b])
+            body.append(_pack(i.astype(np.uint16), hits[a + i], plain[a + i], score[a + i]))
+        return _answer_rows(self.slices, 1, body)
+
+
+def _answer_rows(s: list[int], kind: int, body: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array([kind] * len(s), pa.int32()), pa.array(body, pa.binary())], ["slice", "kind", "body"])
+
+
+def _answer(of: Counts, learn: bool = False, given: bool = False):  # noqa: ANN202
+    """Of each bucket the answers to its tokens, from the trie that comes with them (given)
+    or is built of them; with learn, the trie instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, vocabulary = None, [], 0
-
-        def rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-            s, k, b = zip(*found, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(k, pa.int32()), pa.array(b, pa.binary())], ["slice", "kind", "body"])
+        now, parts, trie = None, [], None
+
+        def solved() -> Iterator[pa.RecordBatch]:
+            if not parts:
+                return
+            b = Bucket(parts)
+            if learn:
+                yield pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([TRIE], pa.int64()), pa.array([b.trie(of).pack()], pa.binary())], ["shard", "sub", "slice", "body"])
+            else:
+                if given and trie is None:  # nothing was learned here
+                    b.count[:] = 0
+                yield b.answers(trie or Trie.load(b.trie(of).pack()), of)
 
         for b in batches:
             for sh, sub, sl, body in zip(b.column("shard").to_pylist(), b.column("sub").to_pylist(), b.column("slice").to_pylist(), b.column("body"), strict=True):
                 if sub < 0:
-                    yield rows([(sl, 0, body.as_py())])
+                    if not learn:
+                        yield _answer_rows([sl], 0, [body.as_py()])
                     continue
-                if (sh, sub) != now and parts:
-                    n, found = solve(parts)
-                    vocabulary, parts = vocabulary + n, []
-                    yield rows(found)
-                now = (sh, sub)
-                parts.append((sl, _unpack(memoryview(body.as_py()), np.uint8, U64, np.uint32, np.uint8, np.uint8, np.uint8)))
-        if parts:
-            n, found = solve(parts)
-            vocabulary += n
-            yield rows(found)
-        if now:
-            yield rows([(-1 - now[0], 2, vocabulary.to_bytes(8, "little"))])
+                if (sh, sub) != now:
+                    yield from solved()
+                    now, parts, trie = (sh, sub), [], None
+                if sl == TRIE:
+                    trie = Trie.load(body.as_py())
+                else:
+                    parts.append((sl, _unpack(memoryview(body.as_py()), np.uint8, U64, np.uint32, np.uint8, np.uint32, np.uint8, np.uint8)))
+        yield from solved()
 
     return run
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up what the shards say of each slice; a row per document, and V in rows of kind 2."""
+    """Adds up what the buckets say of each slice; a row per document."""
     now, sums = None, None
+    names = [c.split()[0] for c in GATHERED.split(", ")]
 
     def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({k: v for k, v in zip(["vocabulary", "doc_id", "held_out", "n_tokens", "n_known", "plain", "score"], sums, strict=True)})
+        return pa.RecordBatch.from_pydict(dict(zip(names, sums, strict=True)))
 
     for b in batches:
         for s, kind, body in zip(b.column("slice").to_pylist(), b.column("kind").to_pylist(), b.column("body"), strict=True):
@@ -299,22 +391,38 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield rows()
                 sums = None
             now = s
-            if kind == 2:
-                sums = [[int.from_bytes(body, "little")], [None], [None], [None], [None], [None], [None]]
-                sums = [pa.array(x, t) for x, t in zip(sums, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
-            elif kind == 0:
+            if kind == 0:
                 valid, ids, n, held = _unpack(body, np.bool_, np.int64, np.int64, np.bool_)
-                sums = [pa.nulls(len(ids), pa.int64()), pa.array(ids, mask=~valid), held, n, np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))]
+                sums = [pa.array(ids, mask=~valid), held, n, np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))]
             else:
                 i, hits, plain, score = _unpack(body, np.uint16, np.uint32, np.float64, np.float64)
-                sums[4][i] += hits
-                sums[5][i] += plain
-                sums[6][i] += score
+                sums[3][i] += hits
+                sums[4][i] += plain
+                sums[5][i] += score
     if sums is not None:
         yield rows()
 
 
-def score(docs: DataFrame, held_out: object, mu: float = MU) -> DataFrame:
+GATHERED = "doc_id long, held_out boolean, n_tokens long, n_known long, plain double, score double"
+
+
+def _rows(docs: DataFrame, held_out: object) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+
+
+def _scored(d: DataFrame, of: Counts, tries: DataFrame | None) -> DataFrame:
+    dealt = d.mapInArrow(_deal(of), PACKED)
+    dealt = (dealt if tries is None else dealt.union(tries)).repartitionById(of.shards, "shard").sortWithinPartitions("shard", "sub", "slice")
+    answers = dealt.mapInArrow(_answer(of, given=tries is not None), ANSWER).repartition(store.width(d.sparkSession), "slice").sortWithinPartitions("slice", "kind")
+    begin = float(np.log10(of.documents * (1 + of.a) + of.b))
+    return answers.mapInArrow(_gather, GATHERED).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(of.train).cast("long").alias("train_tokens"),
+        (F.col("plain") - F.col("n_tokens") * float(np.log10(of.z))).alias("base_score"),
+        (F.col("score") - begin).alias("score"),
+    )
+
+
+def score(docs: DataFrame, held_out: object, a: float = A, b: float = B, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score.
 
@@ -324,20 +432,25 @@ def score(docs: DataFrame, held_out: object, mu: float = MU) -> DataFrame:
     probability. Repeated ids are scored row by row. Empty tables give empty
     results; without rows to learn from all counts are 0.
     """
-    spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    tokens, train, n_docs, vocabulary = census(d)
-    z = train + 0.5 * (vocabulary + 1)
-    parallel = 4 * spark.sparkContext.defaultParallelism
-    shards = max(8, min(-(-tokens // SUB_TOKENS), parallel))
-    subs = max(1, -(-tokens // (SUB_TOKENS * shards)))
-    dealt = d.mapInArrow(_deal(shards, subs), PACKED).repartitionById(shards, "shard").sortWithinPartitions("shard", "sub")
-    answers = dealt.mapInArrow(_answer(z, mu), ANSWER).repartition(store.width(spark), "slice").sortWithinPartitions("slice", "kind")
-    sums = store.save(answers.mapInArrow(_gather, "vocabulary long, doc_id long, held_out boolean, n_tokens long, n_known long, plain double, score double"), "lm")
-    v = sums.agg(F.sum("vocabulary")).first()[0] or 0
-    begin = float(np.log10(mu / (n_docs + mu)))
-    return sums.where("vocabulary is null").select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"),
-        (F.col("plain") - F.col("n_tokens") * float(np.log10(train + 0.5 * (v + 1)))).alias("base_score"),
-        (F.col("score") + begin).alias("score"),
-    )
+    d = _rows(docs, held_out)
+    return _scored(d, census(d, a, b, bucket_tokens), None)
+
+
+@dataclass(frozen=True)
+class Model:
+    """A trained model: the census and a table of tries in the shared folder."""
+
+    counts: Counts
+    tries: DataFrame
+
+    def score(self, docs: DataFrame) -> DataFrame:
+        """Like score(), for any documents: none is learned from, all are held out."""
+        return _scored(_rows(docs, F.lit(True)), self.counts, self.tries)
+
+
+def learn(docs: DataFrame, held_out: object, a: float = A, b: float = B, bucket_tokens: int = BUCKET_TOKENS) -> Model:
+    """A model of the rows of docs that are not held out."""
+    d = _rows(docs, held_out).where("not held_out")
+    of = census(d, a, b, bucket_tokens)
+    dealt = d.mapInArrow(_deal(of), PACKED).repartitionById(of.shards, "shard").sortWithinPartitions("shard", "sub", "slice")
+    return Model(of, store.save(dealt.mapInArrow(_answer(of, learn=True), PACKED), "tries"))
