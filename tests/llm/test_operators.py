@@ -73,6 +73,8 @@ def test_elias_fano(bits, n):
     if n:
         assert (e.access(np.arange(n)) == v).all()
     q = np.concatenate([v[:500], r.integers(0, 1 << min(bits, 63), 500).astype(U64), np.array([0], U64)])
+    lo, hi = np.zeros(len(q), np.int64), np.full(len(q), n)
+    assert ((e.within(q, lo, hi) >= 0) == np.isin(q, v)).all() and (e.within(q, hi, hi) == -1).all()
     assert (e.successor(q) == np.searchsorted(v, q, "left")).all()
     assert ((e.find(q) >= 0) == np.isin(q, v)).all()
 
@@ -443,6 +445,56 @@ def test_urls(spark, data):
     assert url_filter.judge(d.limit(0)).count() == 0
 
 
+LEFT = [["viagra"], ["casino", "casinos"], ["poker"], ["escort", "escorts"], ["torrent", "torrents"], ["payday"], ["lottery"], ["webcam"], ["replica"], ["phishing"], ["roulette"], ["nude"]]
+FORMS = ["http://buy{}24.ru/", "https://www.best{}-online.info/", "http://free-{}.xyz/go?aff=1", "http://{}-win.biz/click.php?id=33", "https://hot{}365.top/bonus?click=4", "http://{}hd.click/"]
+KNOWN_GOOD = """https://en.wikipedia.org/wiki/Tea https://github.com/apache/spark https://www.nytimes.com/2020/05/01/title https://stackoverflow.com/questions/123
+https://www.example.org/ https://freecodecamp.org/learn https://arxiv.org/abs/1234.5678 https://docs.python.org/3/library/re.html https://mozilla.org/en-US/
+https://livescience.com/space https://onlinelibrary.wiley.com/doi/10 https://www.zeit.de/politik https://www.bestbuy.com/site/tv""".split()
+
+
+def test_terms_in_no_list_are_blocked(spark, data):
+    """Of URLs around terms that were left out of the lists, nine of ten are blocked."""
+    table_urls = spark.read.parquet(f"{data}/sf0.01/pages.parquet").select("page_id", "url")
+    probes = [(10**6 + k, f.format(t)) for t in [x[0] for x in LEFT] for k, f in enumerate(FORMS)]
+    good = [(2 * 10**6 + k, u) for k, u in enumerate(KNOWN_GOOD)]
+    terms = [t for t in url_filter.REJECT_TERMS if not any(t in x for x in LEFT)]
+    d = table_urls.union(spark.createDataFrame(probes + good, "page_id long, url string"))
+    got = {(r.page_id, r.host): r for r in url_filter.judge(d, [], terms).collect()}
+    hit = [r.verdict == "block" for (i, _), r in got.items() if 10**6 <= i < 2 * 10**6]
+    false = [r.verdict == "block" for (i, _), r in got.items() if i >= 2 * 10**6]
+    assert len(hit) == len(probes) and sum(hit) / len(hit) >= 0.9
+    assert sum(false) / len(false) <= 0.25, [r.host for (i, _), r in got.items() if i >= 2 * 10**6 and r.verdict == "block"]
+
+
+def test_ratios_equal_brute_force():
+    urls, bad = ["http://ab.c/1", "http://ba.c/22", "https://x.y/", "", "http://ab.c/1"], [False, True, True, False, True]
+    clean = lambda u: re.sub("[0-9]", "0", u.lower())
+    n = Counter()
+    for u, y in zip(map(clean, urls), bad, strict=True):
+        for i in range(len(u)):
+            for k in range(url_filter.ORDER + 1):
+                ctx = u[max(0, i - k) : i].rjust(k, "^")
+                n[y, ctx] += 1
+                n[y, ctx, u[i]] += 1
+
+    def ratio(u):
+        total = 0.0
+        for i in range(len(u)):
+            at = [u[max(0, i - k) : i].rjust(k, "^") for k in range(url_filter.ORDER + 1)]
+            p = 1 / 256
+            for c in at:
+                p = (n[0, c, u[i]] + n[1, c, u[i]] + url_filter.KAPPA * p) / (n[0, c] + n[1, c] + url_filter.KAPPA)
+            q = [p, p]
+            for c in at[url_filter.LOW :]:
+                q = [(n[y, c, u[i]] + url_filter.KAPPA * q[y]) / (n[y, c] + url_filter.KAPPA) for y in (0, 1)]
+            total += math.log(q[0] / q[1])
+        return total / max(1, len(u))
+
+    probe = [*urls, "http://new.c/7", "zz"]
+    got = url_filter.Models(urls, bad).ratios(*url_filter._bytes(probe))
+    assert np.allclose(got, [ratio(clean(u)) for u in probe])
+
+
 # --- 6
 
 
@@ -613,20 +665,45 @@ def test_lm(spark, small):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_lm_scores_are_the_models(spark):
-    """Scores against the model's formula, within the codes' rounding."""
-    rows = [(i, "a b a c" if i % 2 else "a b b d") for i in range(20)]
-    got = lm_trie.score(table(spark, rows), F.lit(False), mu=2.0).collect()
-    text = [["<s>", *t.split(), "</s>"] for _, t in rows]
-    uni = Counter(w for t in text for w in t[1:])
-    bi = Counter(p for t in text for p in zip(t, t[1:], strict=False))
-    ctx = Counter(w for t in text for w in t[:-1])
-    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False))
-    _, n, _, v = lm_trie.census(d)
-    z = n + 0.5 * (v + 1)
-    for r, t in zip(sorted(got, key=lambda r: r.doc_id), text, strict=True):
-        want = sum(math.log10((bi[u, w] + 2 * (uni[w] + 0.5) / z) / (ctx[u] + 2)) for u, w in zip(t, t[1:], strict=False))
-        assert abs(r.score - want) < 1e-3
+def lm_formula(rows, texts, a, b):
+    """log10 probability of each text by the formula, learned from rows."""
+    words = lambda t: ["<", "<", *t.split(), None]
+    one, two, three, after = Counter(), Counter(), Counter(), Counter()
+    for _, t in rows:
+        w = words(t)
+        for x in zip(w, w[1:], w[2:], strict=False):
+            three[x] += 1
+            two[x[1:]] += 1
+            one[x[2]] += 1
+            after[x[:2]] += 1
+            after[x[1]] += 1
+    z = sum(one.values()) + 0.5 * (len(one) + 1)
+    p = lambda t, u, w: (three[t, u, w] + a * two[u, w] + b * (one[w] + 0.5) / z) / (after[t, u] + a * after[u] + b)
+    for t, u in {x[:2] for x in three}:
+        assert abs(sum(p(t, u, w) for w in [*one, "unknown"]) - 1) < 1e-9
+    return [sum(math.log10(p(*x)) for x in zip(words(t), words(t)[1:], words(t)[2:], strict=False)) for t in texts]
+
+
+@pytest.mark.parametrize("bucket", [1_000_000, 40])
+def test_lm_scores_are_the_models(spark, bucket):
+    """Scores against the formula, within the codes' rounding, also where a word that is
+    a third of all tokens is spread over buckets; and for another table."""
+    r = random.Random(3)
+    rows = [(i, " ".join("the" if r.random() < 0.35 else r.choice("abcdefgh") for _ in range(r.randint(0, 12)))) for i in range(60)]
+    other = [(100 + i, " ".join(r.choice(["the", "a", "b", "new", "words"]) for _ in range(8))) for i in range(9)] + [(200, "")]
+    d = table(spark, rows).repartition(3)
+    got = {x.doc_id: x.score for x in lm_trie.score(d, F.lit(False), bucket_tokens=bucket).collect()}
+    for i, want in zip([i for i, _ in rows], lm_formula(rows, [t for _, t in rows], lm_trie.A, lm_trie.B), strict=True):
+        assert abs(got[i] - want) < 4e-3
+    if bucket < 1000:
+        counts = lm_trie.census(lm_trie._rows(d, F.lit(False)), bucket_tokens=bucket)
+        assert len(counts.hot) > 2
+    model = lm_trie.learn(d, F.lit(False), bucket_tokens=bucket)
+    again = {x.doc_id: x.score for x in model.score(d).collect()}
+    assert all(abs(again[i] - got[i]) < 1e-6 for i in got)
+    new = {x.doc_id: x for x in model.score(table(spark, other)).collect()}
+    for (i, _), want in zip(other, lm_formula(rows, [t for _, t in other], lm_trie.A, lm_trie.B), strict=True):
+        assert abs(new[i].score - want) < 4e-3 and new[i].train_tokens == sum(len(t.split()) + 1 for _, t in rows)
 
 
 def test_lm_awkward_rows(spark):
