@@ -478,12 +478,8 @@ def _labelled(docs: DataFrame, n: int, num: int, den: int, hot: int) -> tuple[Da
     """A row per row with an id: row, doc_id, n_shingles, component_id, stays (the row
     of its group that stays); and row as an expression over docs."""
     spark = docs.sparkSession
-    text, doc = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("long")
-    keyed = docs.where("doc_id is not null").select(doc.alias("doc_id"), F.col("text").alias("text"))
-    # Rows go by their id; where an id has several texts, by a hash of both.
-    mark = keyed.groupBy("doc_id").agg(F.min(F.xxhash64(text)).alias("a"), F.max(F.xxhash64(text)).alias("b"))
-    row = doc if mark.where("a <> b").isEmpty() else F.xxhash64(doc, text)
-    keyed = keyed.select(row.alias("row"), "doc_id", "text")
+    row = store.row_key(docs)
+    keyed = docs.where("doc_id is not null").select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     # Words a document are about n_chars / 6; keys are a third of the words.
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = store.width(spark, size / 12, SHARD_KEYS)

@@ -38,6 +38,14 @@ def save(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A number for each row of docs with an id, as an expression: the id, or, where some
+    id has several texts, a hash of id and text. Rows that repeat both share it."""
+    text, doc = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("long")
+    marks = docs.where("doc_id is not null").groupBy(doc).agg(F.min(F.xxhash64(text)).alias("a"), F.max(F.xxhash64(text)).alias("b"))
+    return doc if marks.where("a <> b").isEmpty() else F.xxhash64(doc, text)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened until no column of df has them."""
     taken = {c.lower() for c in df.columns}

@@ -13,6 +13,9 @@ right: a window of MIN_WORDS words whose start lies at most WINDOW - 1 words
 before a candidate is compared with its neighbours in the order of windows, and
 maximal runs of repeated windows are the spans. So every occurrence of every
 passage of MIN_WORDS words that occurs twice is found, and nothing else.
+
+The order is that of a 64-bit hash of the words, and neighbours count as equal only
+if a second hash, made of other numbers, agrees as well (128 bits together).
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
-from .text import U64, Words, mix, slices
+from .text import U64, Words, hash_windows, mix, slices
 
 MIN_WORDS, WINDOW, SEED = 50, 24, 5
 SHARD_SUFFIXES = 2_000_000  #: suffixes or windows that one task sorts, on average
@@ -54,29 +57,34 @@ def minimisers(h: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
     return np.unique(best[whole])
 
 
-PACKED = "shard int, keys binary, docs binary, places binary"
+PACKED = "shard int, keys binary, checks binary, docs binary, places binary"
+
+
+def check(w: Words, n: int) -> np.ndarray:
+    """A second hash of the n words from each word on."""
+    return mix(hash_windows(w.sums, n))
 
 
-def _pack(key: np.ndarray, doc: np.ndarray, place: np.ndarray, shards: int) -> pa.RecordBatch:
+def _pack(key: np.ndarray, other: np.ndarray, doc: np.ndarray, place: np.ndarray, shards: int) -> pa.RecordBatch:
     """Entries by the shard of their key (its top bits). Of entries with equal keys
     only the first is sent; all of them are known to be repeated and travel
     without a key. So a hot passage is one entry from a slice of text."""
-    order = np.argsort(key, kind="stable")
-    key, doc, place = key[order], doc[order], place[order].astype(np.int32)
-    same = key[1:] == key[:-1]
+    order = np.lexsort((other, key))
+    key, other, doc, place = key[order], other[order], doc[order], place[order].astype(np.int32)
+    same = (key[1:] == key[:-1]) & (other[1:] == other[:-1])
     lead, known = np.append(True, ~same)[: len(key)], np.append(False, same)[: len(key)] | np.append(same, False)[: len(key)]
-    rows: list[tuple[int, bytes, bytes, bytes]] = []
-    for k, d, p, shard in (
-        (key[lead], doc[lead], place[lead], (key[lead] >> U64(40)) * U64(shards) >> U64(24)),
-        (key[:0], doc[known], place[known], mix(doc[known].astype(U64)) % U64(shards)),
+    rows: list[tuple[int, bytes, bytes, bytes, bytes]] = []
+    for k, c, d, p, shard in (
+        (key[lead], other[lead], doc[lead], place[lead], (key[lead] >> U64(40)) * U64(shards) >> U64(24)),
+        (key[:0], other[:0], doc[known], place[known], mix(doc[known].astype(U64)) % U64(shards)),
     ):
         by = np.argsort(shard, kind="stable")
         cut = np.searchsorted(shard[by], np.arange(shards + 1).astype(U64))
         for s in np.flatnonzero(np.diff(cut)).tolist():
             at = by[cut[s] : cut[s + 1]]
-            rows.append((s, k[at].tobytes() if len(k) else b"", d[at].tobytes(), p[at].tobytes()))
-    cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["shard", "keys", "docs", "places"])
+            rows.append((s, *((x[at].tobytes() if len(x) else b"") for x in (k, c, d, p))))
+    cols = list(zip(*rows, strict=True)) or [(), (), (), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["shard", "keys", "checks", "docs", "places"])
 
 
 def _suffixes(shards: int, least: int, window: int, seed: int):  # noqa: ANN202
@@ -92,7 +100,7 @@ def _suffixes(shards: int, least: int, window: int, seed: int):  # noqa: ANN202
                 key, whole = w.windows(prefix)
                 at = at[whole[at]]
                 doc = np.searchsorted(w.first, at, "right") - 1
-                yield _pack(key[at], ids[doc], at - w.first[doc], shards)
+                yield _pack(key[at], check(w, prefix)[at], ids[doc], at - w.first[doc], shards)
 
     return run
 
@@ -116,17 +124,21 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _repeated(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     """Sorts a shard's entries; those equal to a neighbour, packed by the shard of their document."""
-    keys, docs, places, known, known_at = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [], []
+    keys, checks, docs, places, known, known_at = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [], []
     for b in batches:
-        for k, d, p in zip(b.column("keys"), b.column("docs"), b.column("places"), strict=True):
+        for k, c, d, p in zip(*(b.column(x) for x in ("keys", "checks", "docs", "places")), strict=True):
             if len(k.as_buffer()):
                 keys.append(np.frombuffer(k.as_buffer(), U64))
+                checks.append(np.frombuffer(c.as_buffer(), U64))
             (docs if len(k.as_buffer()) else known).append(np.frombuffer(d.as_buffer(), np.int64))
             (places if len(k.as_buffer()) else known_at).append(np.frombuffer(p.as_buffer(), np.int32))
-    key, doc, place = np.concatenate(keys), np.concatenate(docs), np.concatenate(places)
-    del keys, docs, places
+    key, other, doc, place = np.concatenate(keys), np.concatenate(checks), np.concatenate(docs), np.concatenate(places)
+    del keys, checks, docs, places
     order = np.argsort(key)
-    same = key[order][1:] == key[order][:-1]
+    tie = np.append(False, key[order][1:] == key[order][:-1])
+    if (tie[1:] & (other[order][1:] != other[order][:-1])).any():  # entries of one key by the second hash
+        order = np.lexsort((other, key))
+    same = (key[order][1:] == key[order][:-1]) & (other[order][1:] == other[order][:-1])
     twice = order[(np.append(False, same) | np.append(same, False))[: len(key)]]
     doc, place = np.concatenate([doc[twice], *known]), np.concatenate([place[twice], *known_at])
     shard = mix(doc.astype(U64)) % U64(shards)
@@ -155,7 +167,7 @@ def _windows(shards: int, least: int, window: int):  # noqa: ANN202
                     np.add.at(mark, at + 1, -1)
                 at = np.flatnonzero((np.cumsum(mark)[:-1] > 0) & whole)
                 doc = np.searchsorted(w.first, at, "right") - 1
-                yield _pack(key[at], ids[doc], at - w.first[doc], shards)
+                yield _pack(key[at], check(w, least)[at], ids[doc], at - w.first[doc], shards)
 
     return run
 
@@ -188,12 +200,12 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, window: int = WIN
     passage. Spans that touch or overlap are one.
 
     Words are compared after lower-casing A-Z. Null, empty and short texts have
-    no spans. Rows that repeat an id must repeat its text; they are copies of
-    each other, and each yields its spans. Rows without an id are left out.
+    no spans. Rows that repeat an id are rows of their own, also with other texts;
+    each yields its spans. Rows without an id are left out.
     Other columns are ignored.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long").alias("row"), F.col("text").alias("text")).where("row is not null")
+    d = docs.where("doc_id is not null").select(store.row_key(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     bytes_ = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = store.width(spark, bytes_ / 6 * 2 / (window + 1), SHARD_SUFFIXES)
     kept = d.mapInArrow(_suffixes(shards, least, window, seed), PACKED).repartitionById(shards, "shard")
@@ -207,6 +219,6 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, window: int = WIN
     n = near.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = store.width(spark, n / 6, SHARD_SUFFIXES)
     again = near.mapInArrow(_windows(shards, least, window), PACKED).repartitionById(shards, "shard")
-    own = near.select(F.col("row").alias("doc_id"), "text").join(places(again), F.col("doc_id") == F.col("row"))
+    own = near.select("row", "doc_id", "text").join(places(again), "row")
     spans = own.select("doc_id", "text", "places").mapInArrow(_spans(least), "doc_id long, start_word int, end_word int, passage string")
     return spans.withColumn("n_words", F.col("end_word") - F.col("start_word")).select("doc_id", "start_word", "end_word", "n_words", "passage")

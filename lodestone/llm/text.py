@@ -35,6 +35,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _M = 0x2545F4914F6CDD1D
 _M_INV = pow(_M, -1, 1 << 64)
+_OTHER = 0xD1342543DE82EF95
+_OTHER_INV = pow(_OTHER, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -64,11 +66,11 @@ def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Itera
         at = to
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _M, inverse: int = _M_INV) -> np.ndarray:
     """A 64-bit hash of each span of bytes, lower-casing A-Z."""
     total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[LOWER[data]] * _pow(_M, len(data)), out=total[1:], dtype=U64)
-    return mix((total[ends] - total[starts]) * _pow(_M_INV, len(data) + 1)[starts])
+    np.cumsum(_BYTE[LOWER[data]] * _pow(base, len(data)), out=total[1:], dtype=U64)
+    return mix((total[ends] - total[starts]) * _pow(inverse, len(data) + 1)[starts])
 
 
 def hash_windows(h: np.ndarray, n: int) -> np.ndarray:
@@ -102,6 +104,11 @@ class Words:
         if hashes:
             self.h = hash_spans(data, self.starts, self.ends)
 
+    @property
+    def sums(self) -> np.ndarray:
+        """A second number of each word: its bytes, as digits of another base."""
+        return hash_spans(self.data, self.starts, self.ends, _OTHER, _OTHER_INV)
+
     def __len__(self) -> int:
         return len(self.starts)
 

@@ -420,6 +420,28 @@ def test_passages_equal_brute_force(spark, small):
     assert {r.doc_id for r in suffix_dedup.repeated_passages(table(spark, AWKWARD)).collect()} == {6, 7, 8, 9}
 
 
+def test_colliding_hashes_make_no_span():
+    """Entries of one key with other second hashes are not repeats, nor in one slice."""
+    import pyarrow as pa
+
+    def found(other):
+        key = np.array([7, 7, 9, 7], U64)
+        a = suffix_dedup._pack(key[:2], np.array(other[:2], U64), np.array([1, 2]), np.array([0, 0]), 1)
+        b = suffix_dedup._pack(key[2:], np.array(other[2:], U64), np.array([3, 4]), np.array([0, 0]), 1)
+        out = suffix_dedup._repeated(iter([pa.Table.from_batches([a, b]).combine_chunks().to_batches()[0]]), 1)
+        return sorted(x for r in out for d in r.column("docs") for x in np.frombuffer(d.as_buffer(), np.int64).tolist())
+
+    assert found([1, 2, 3, 4]) == [] and found([1, 2, 3, 1]) == [1, 4] and set(found([5, 5, 3, 1])) == {1, 2} and set(found([5, 5, 3, 5])) == {1, 2, 4}
+
+
+def test_passages_of_ids_that_repeat_with_other_texts(spark):
+    p = prose(60, 31)
+    rows = [(1, prose(20, 1) + " " + p), (1, prose(5, 2) + " " + p), (1, prose(70, 3)), (2, p)]
+    for parts in (1, 4):
+        got = sorted((r.doc_id, r.start_word, r.end_word) for r in suffix_dedup.repeated_passages(table(spark, rows).repartition(parts, "text")).collect())
+        assert got == [(1, 5, 65), (1, 20, 80), (2, 0, 60)]
+
+
 # --- 5
 
 
