@@ -104,15 +104,15 @@ class EliasFano:
         """Index of x between the indexes lo and hi (excluded), or -1: a successor search
         in that range alone."""
         x, a, b = np.ascontiguousarray(x, U64), lo.astype(np.int64), hi.astype(np.int64)
-        end = b.copy()
-        while (a < b).any():
-            go = np.flatnonzero(a < b)
-            mid = (a[go] + b[go]) >> 1
-            less = self.access(mid) < x[go]
-            a[go] = np.where(less, mid + 1, a[go])
-            b[go] = np.where(less, b[go], mid)
         out = np.full(len(x), -1, np.int64)
-        some = np.flatnonzero(a < end)
+        some = np.flatnonzero(a < b)
+        go = some[b[some] - a[some] > 1]
+        while len(go):  # the last value that is at most x lies from a to b
+            mid = (a[go] + b[go]) >> 1
+            up = self.access(mid) <= x[go]
+            a[go] = np.where(up, mid, a[go])
+            b[go] = np.where(up, b[go], mid)
+            go = go[b[go] - a[go] > 1]
         hit = some[self.access(a[some]) == x[some]]
         out[hit] = a[hit]
         return out

@@ -38,12 +38,12 @@ from .elias_fano import EliasFano
 from .text import U64, Words, mix, slices
 
 A, B = 0.02, 10.0  #: weights of the second and the first order
-BUCKET_TOKENS = 1_000_000  #: tokens that a task holds at once, on average
+BUCKET_TOKENS = 2_000_000  #: tokens that a task holds at once, on average
 SHARDS = 1 << 15  #: tasks of an exchange, at most; beyond, a task works bucket by bucket
 HOT_WORDS = 1_000_000  #: words that are spread by their context, at most: executors hold their counts
-SLICE = 2 << 20
+SLICE = 4 << 20
 CENSUS = 2_000_000  #: different words that a task of the census holds
-END, BEGIN = U64(0x9D3F5C1B2A7E4D61), U64(0x51C64E6D7A3B9F87)
+END, BEGIN, TOKENS = U64(0x9D3F5C1B2A7E4D61), U64(0x51C64E6D7A3B9F87), U64(0x3C6EF372FE94F82B)
 CODE, CODE2 = U64((1 << 40) - 1), U64((1 << 32) - 1)
 
 
@@ -105,12 +105,16 @@ class Trie:
         return cls(_unpack(memoryview(place), *cls.KINDS))
 
     def ask(self, word: np.ndarray, u: np.ndarray, t: np.ndarray, of: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(count of the word, log numerator, log denominator after it) of triples. What
-        a bucket lacks of hot words the census knows."""
-        count = np.zeros(len(word), np.int64)
-        num, den = (np.full(len(word), float(x)) for x in self.head)
-        rank = self.words.find(word)
-        hot, place = of.place(word)
+        """(count of the word, log numerator, log denominator after it) of triples in
+        order; each word and each pair is searched once. What a bucket lacks of hot
+        words the census knows."""
+        two = _starts(word, u)
+        one = two[_starts(word[two])]
+        w = word[one]
+        count = np.zeros(len(one), np.int64)
+        num, den = (np.full(len(one), float(x)) for x in self.head)
+        rank = self.words.find(w)
+        hot, place = of.place(w)
         k = np.flatnonzero(hot & (rank < 0))
         c = of.hot_count[place[k]]
         count[k], num[k] = c, np.log10(of.b * (c + 0.5) / of.z)
@@ -119,12 +123,21 @@ class Trie:
         r = rank[k]
         count[k] = (self.counts.access(r + 1) - self.counts.access(r)).astype(np.int64)
         num[k], den[k] = Codes.unpack(self.q1[0][r], self.q1[1]), Codes.unpack(self.d1[0][r], self.d1[1])
-        node = self.contexts.within(r.astype(U64) << U64(40) | u[k], self.pointers.access(r), self.pointers.access(r + 1))
-        k, r = k[node >= 0], node[node >= 0]
+        own = _spread(np.searchsorted(two, one), len(two))
+        lo, hi = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
+        lo[k], hi[k] = self.pointers.access(r), self.pointers.access(r + 1)
+        count, num, den, rank = count[own], num[own], den[own], rank[own]
+        node = self.contexts.within(rank.clip(0).astype(U64) << U64(40) | u[two], lo[own], hi[own])
+        k = np.flatnonzero(node >= 0)
+        r = node[k]
         num[k], den[k] = Codes.unpack(self.q2[0][r], self.q2[1]), Codes.unpack(self.d2[0][r], self.d2[1])
-        node = self.contexts2.within(r.astype(U64) << U64(32) | t[k], self.pointers2.access(r), self.pointers2.access(r + 1))
-        k, r = k[node >= 0], node[node >= 0]
-        num[k] = Codes.unpack(self.q3[0][r], self.q3[1])
+        own = _spread(two, len(word))
+        lo, hi = np.zeros(len(two), np.int64), np.zeros(len(two), np.int64)
+        lo[k], hi[k] = self.pointers2.access(r), self.pointers2.access(r + 1)
+        node = self.contexts2.within(node.clip(0)[own].astype(U64) << U64(32) | t, lo[own], hi[own])
+        count, num, den = count[own], num[own], den[own]
+        k = np.flatnonzero(node >= 0)
+        num[k] = Codes.unpack(self.q3[0][node[k]], self.q3[1])
         return count, num, den
 
 
@@ -155,6 +168,7 @@ class Counts:
     b: float
     shards: int
     subs: int
+    bucket_tokens: int
 
     @property
     def z(self) -> float:
@@ -173,10 +187,12 @@ class Counts:
         return np.where(hot, self.hot_count[at], own) if hot.any() else own
 
     def key(self, word: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """What decides the bucket, by its order: the word, and the context of hot words."""
-        hot, _ = self.place(word)
+        """What decides the bucket, by its order: the word, of hot words also the context,
+        by which they are cut into as many parts as their count asks for."""
+        hot, at = self.place(word)
         out = word.copy()
-        out[hot] = mix(word[hot] + mix(u[hot]))
+        parts = (4 * self.hot_count[at[hot]] // self.bucket_tokens + 2).astype(U64)
+        out[hot] = mix(word[hot] + (mix(u[hot]) >> U64(32)) * parts >> U64(32))
         return out
 
     def bucket(self, key: np.ndarray) -> np.ndarray:
@@ -201,47 +217,49 @@ def _learn(rows: pa.RecordBatch) -> np.ndarray:
 
 
 def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different words of a partition: occurrences, and those to learn from."""
-    held: list[tuple[np.ndarray, ...]] = []
-    size = 0
-
-    def merged() -> tuple[np.ndarray, ...]:
-        word, n, train = (np.concatenate(x) for x in zip(*held, strict=True))
-        word, own = np.unique(word, return_inverse=True)
-        return word, np.bincount(own, weights=n).astype(np.int64), np.bincount(own, weights=train).astype(np.int64)
-
-    rows = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1]), pa.array(x[2])], ["word", "n", "train"])
+    """The different words of a partition to learn from, with their occurrences; all
+    tokens go under TOKENS."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = tokens = 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        word, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(word)
+        start = _starts(word[order])
+        return word[order][start], np.add.reduceat(n[order], start)
+
+    rows = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1])], ["word", "n"])
     for batch in batches:
         for part, data, off in slices(batch, "text", SLICE):
             w = Words(data, off)
-            count = np.diff(w.first)
-            learn = _learn(part)
-            word, own, n = np.unique(w.h, return_inverse=True, return_counts=True)
-            train = np.bincount(own, weights=np.repeat(learn, count), minlength=len(word))
-            held.append((np.append(word, END), np.append(n, len(count)), np.append(train, learn.sum())))
-            size += len(word)
+            count, learn = np.diff(w.first), _learn(part)
+            word = np.sort(w.h[np.repeat(learn, count)])
+            start = _starts(word) if len(word) else np.zeros(0, np.int64)
+            held.append((np.append(word[start], END), np.append(np.diff(np.append(start, len(word))), learn.sum())))
+            tokens += len(w) + len(count)
+            size += len(start)
             if size > CENSUS:
                 held, size = [merged()], 0
                 if len(held[0][0]) > CENSUS // 2:
                     yield rows(held[0])
                     held = []
-    if held:
-        yield rows(merged())
+    yield rows(merged() if held else (np.zeros(0, U64), np.zeros(0, np.int64)))
+    yield rows((np.array([TOKENS]), np.array([tokens])))
 
 
 def census(docs: DataFrame, a: float = A, b: float = B, bucket_tokens: int = BUCKET_TOKENS) -> Counts:
     """Counts every word of docs (text, held_out) exactly."""
-    words = docs.mapInArrow(_census, "word long, n long, train long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("train").alias("train"))
-    words = store.save(words, "words")
-    tokens, train, v, n_docs = words.agg(F.sum("n"), F.sum("train"), F.count_if(F.col("train") > 0), F.sum(F.when(F.col("word") == int(END.view(np.int64)), F.col("train")))).first()
+    words = store.save(docs.mapInArrow(_census, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "words")
+    at = lambda k: F.col("word") == int(k.view(np.int64))
+    tokens, train, v, n_docs = words.agg(F.sum(F.when(at(TOKENS), F.col("n"))), F.sum(F.when(~at(TOKENS), F.col("n"))), F.count_if(~at(TOKENS)), F.sum(F.when(at(END), F.col("n")))).first()
     tokens, train, n_docs = tokens or 0, train or 0, n_docs or 0
-    least = max(bucket_tokens // 4, -(-tokens // HOT_WORDS))
-    hot = words.where(F.col("n") >= least).select("word", "train").toArrow()  # at most HOT_WORDS rows
-    word, count = hot.column("word").to_numpy().view(U64), hot.column("train").to_numpy()
+    least = max(bucket_tokens // 2, -(-tokens // HOT_WORDS))
+    hot = words.where((F.col("n") >= least) & ~at(TOKENS)).toArrow()  # at most HOT_WORDS rows
+    word, count = hot.column("word").to_numpy().view(U64), hot.column("n").to_numpy()
     order = np.argsort(word)
     buckets = max(1, -(-tokens // bucket_tokens))
     shards = store.width(docs.sparkSession, min(buckets, SHARDS))
-    return Counts(tokens, train, n_docs, v, word[order], count[order], a, b, shards, max(1, -(-buckets // shards)))
+    return Counts(tokens, train, n_docs, v, word[order], count[order], a, b, shards, max(1, -(-buckets // shards)), bucket_tokens)
 
 
 PACKED = "shard int, sub int, slice long, body binary"
@@ -261,8 +279,8 @@ def _deal(of: Counts):  # noqa: ANN202
                 key = of.key(word, u)
                 order = np.argsort(key, kind="stable")
                 key, word, u, t, doc = key[order], word[order], u[order], t[order].astype(np.uint32), doc[order].astype(np.uint16)
-                start = _starts(key)
-                per = np.diff(np.append(start, len(word))).astype(np.uint32)
+                start = np.union1d(_starts(key), np.arange(0, len(key), 1 << 16))  # a run's length fits 16 bits, less one
+                per = (np.diff(np.append(start, len(word))) - 1).astype(np.uint16)
                 distinct = word[start]
                 code = u.view(np.uint8).reshape(-1, 8)[:, :5]
                 cut = np.searchsorted(of.bucket(key[start]), np.arange(of.shards * of.subs + 1))  # keys are in order, and so are buckets
@@ -300,7 +318,7 @@ class Bucket:
     """The tokens that all slices sent to a bucket, in order of (word, u, t)."""
 
     def __init__(self, parts: list[tuple[int, list[np.ndarray]]]) -> None:
-        word = np.concatenate([np.repeat(p[1], p[2]) for _, p in parts])
+        word = np.concatenate([np.repeat(p[1], p[2].astype(np.int64) + 1) for _, p in parts])
         raw = np.zeros((len(word), 8), np.uint8)
         raw[:, :5] = np.concatenate([p[3].reshape(-1, 5) for _, p in parts])
         u = raw.view(U64).ravel()
@@ -332,7 +350,7 @@ class Bucket:
         body = []
         for a, b in zip(self.base[:-1].tolist(), self.base[1:].tolist(), strict=True):
             i = np.flatnonzero(touched[a:b])
-            body.append(_pack(i.astype(np.uint16), hits[a + i], plain[a + i], score[a + i]))
+            body.append(_pack(i.astype(np.uint16), hits[a + i], plain[a + i], score[a + i].astype(np.float32)))
         return _answer_rows(self.slices, 1, body)
 
 
@@ -370,7 +388,7 @@ def _answer(of: Counts, learn: bool = False, given: bool = False):  # noqa: ANN2
                 if sl == TRIE:
                     trie = Trie.load(body.as_py())
                 else:
-                    parts.append((sl, _unpack(memoryview(body.as_py()), np.uint8, U64, np.uint32, np.uint8, np.uint32, np.uint8, np.uint8)))
+                    parts.append((sl, _unpack(memoryview(body.as_py()), np.uint8, U64, np.uint16, np.uint8, np.uint32, np.uint8, np.uint8)))
         yield from solved()
 
     return run
@@ -395,7 +413,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 valid, ids, n, held = _unpack(body, np.bool_, np.int64, np.int64, np.bool_)
                 sums = [pa.array(ids, mask=~valid), held, n, np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))]
             else:
-                i, hits, plain, score = _unpack(body, np.uint16, np.uint32, np.float64, np.float64)
+                i, hits, plain, score = _unpack(body, np.uint16, np.uint32, np.float64, np.float32)
                 sums[3][i] += hits
                 sums[4][i] += plain
                 sums[5][i] += score
