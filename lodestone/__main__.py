@@ -13,6 +13,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("-q", "--query")
     p.add_argument("--json", action="store_true")
     p.add_argument("--out", help="write the report here instead of printing it")
+    p.add_argument("--save", help="write the rewritten statement here")
     a = p.parse_args(args)
     sql = a.query or (Path(a.file).read_text() if a.file else sys.stdin.read())
     from pyspark.errors import ParseException
@@ -22,11 +23,13 @@ def main(args: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
     try:
-        report = optimize(spark, sql)
+        report = optimize(spark, sql, plan=False)  # the tables need not exist here
     except ParseException as e:
         print(str(e).splitlines()[0], file=sys.stderr)
         return 2
     text = report.as_json() if a.json else report.as_text()
+    if a.save:
+        Path(a.save).write_text(report.optimized.rstrip() + "\n")
     if a.out:
         Path(a.out).write_text(text + "\n")
     else:

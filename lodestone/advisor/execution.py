@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 BIG_SCAN, HUGE_SCAN, BIG_RATIO = 10_000, 100_000, 10
+SLOW_SORT_MS, SLOW_HASH_MS = 1_000, 5_000
 
 
 @dataclass(frozen=True)
@@ -53,8 +54,10 @@ def bottlenecks(found: list[PlanNode]) -> list[tuple[str, str, str]]:
             out.append(("LARGE_SEQ_SCAN", "HIGH" if n.rows > HUGE_SCAN else "MEDIUM", n.text))
         if n.operator in ("BroadcastNestedLoopJoin", "CartesianProduct"):
             out.append(("NESTED_LOOP", "HIGH", n.text))
-        if n.operator == "Sort" and n.time_ms > 1_000:
+        if n.operator == "Sort" and n.time_ms > SLOW_SORT_MS:
             out.append(("SLOW_SORT", "MEDIUM", n.text))
+        if ("Hash" in n.operator or n.operator == "BroadcastExchange") and n.time_ms > SLOW_HASH_MS:
+            out.append(("SLOW_HASH", "MEDIUM", n.text))
         if "Join" in n.operator and n.rows > 0:
             below = max([m.rows for m in found[i + 1 :] if m.depth > n.depth], default=0)
             if below > 0 and n.rows > BIG_RATIO * below:
@@ -76,3 +79,14 @@ def table_metadata(spark: SparkSession, table: str) -> DataFrame:
 def estimated_rows(n_rows: int, n_distinct: int) -> float:
     """Rows that an equality on a column keeps; one for a unique column."""
     return n_rows / max(1, n_distinct)
+
+
+def layout_advice(metadata: DataFrame, column: str, least_rows: int = HUGE_SCAN) -> str:
+    """How to lay out a table that is often filtered by a column, from table_metadata: the
+    counterpart of an index."""
+    r = metadata.where(metadata["column_name"] == column).first()
+    if r is None or r["n_rows"] < least_rows:
+        return "none: the table is small or lacks the column"
+    if r["n_distinct"] <= 1_000:
+        return f"partition by {column}: {r['n_distinct']} values, about {estimated_rows(r['n_rows'], r['n_distinct']):.0f} rows each"
+    return f"bucket and sort by {column}: an equality keeps about {estimated_rows(r['n_rows'], r['n_distinct']):.0f} rows, and row groups are skipped by their ranges"

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import threading
 import time
 import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,29 +106,70 @@ def same_rows(a: DataFrame, b: DataFrame, show: int = 10) -> Verdict:
     return Verdict(not only, "row counts differ" if n != m else "rows differ" if only else "same rows", (n, m), only)
 
 
-def seconds(df: DataFrame) -> float:
-    """Wall clock of a whole run whose rows go nowhere."""
+def seconds(df: DataFrame, limit: float | None = None) -> float | None:
+    """Wall clock of a whole run whose rows go nowhere; None if it was stopped at the limit."""
+    spark, tag, late = df.sparkSession, f"timed-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        spark.interruptTag(tag)
+
+    timer = threading.Timer(limit, stop) if limit else None
     t = time.perf_counter()
-    df.write.format("noop").mode("overwrite").save()
+    spark.addTag(tag)
+    try:
+        if timer:
+            timer.start()
+        df.write.format("noop").mode("overwrite").save()
+    except Exception:
+        if late.is_set():
+            return None
+        raise
+    finally:
+        if timer:
+            timer.cancel()
+        spark.removeTag(tag)
     return time.perf_counter() - t
 
 
+def cost(df: DataFrame) -> int:
+    """The optimizer's estimate of the bytes that the plan's relations hold: what is left to compare when time is up."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def speedup(before: float, after: float) -> str:
     if before > 0 and after > 0:
         return f"{before / after:.1f}x faster" if after < before else f"{after / before:.1f}x slower (Regression)"
     return "Instant" if before > 0 else "N/A"
 
 
-def compare(spark: SparkSession, before: str, after: str, tables: dict[str, DataFrame], sample: bool = False) -> dict:
+def compare(spark: SparkSession, before: str, after: str, tables: dict[str, DataFrame], sample: bool = False, limit: float | None = None) -> dict:
     """Runs both statements on the same data (whole, or shadow samples) and reports
-    equality, times and the speedup label."""
+    equality, times and the speedup label.
+
+    A side that fails is reported under errors. With limit, in seconds, a side that
+    takes longer is stopped; then rows are not compared, and cost holds what both
+    plans read by the optimizer's estimate.
+    """
     if sample:
         s, anchor, keys = shadow_views(spark, tables)
     else:
         s, anchor, keys = spark.newSession(), None, []
         for n, d in tables.items():
             _show(d, s, n)
-    a, b = s.sql(before), s.sql(after)
-    v = same_rows(a, b)
-    t = seconds(a), seconds(b)
-    return {"results_match": v.valid, "reason": v.reason, "rows": v.rows, "differences": v.differences, "anchor": anchor, "sampled_keys": keys, "seconds": t, "speedup": speedup(*t)}
+    out = {"results_match": False, "reason": "", "rows": (-1, -1), "differences": [], "anchor": anchor, "sampled_keys": keys, "seconds": (None, None), "speedup": "N/A", "errors": {}, "cost": None}
+    sides, times = {}, {}
+    for name, sql in (("before", before), ("after", after)):
+        try:
+            sides[name] = s.sql(sql)
+            times[name] = seconds(sides[name], limit)
+        except PySparkException as e:
+            out["errors"][name] = str(e).splitlines()[0]
+    if out["errors"]:
+        return out | {"reason": "; ".join(f"{k} fails: {v}" for k, v in out["errors"].items())}
+    t = times["before"], times["after"]
+    if None in t:
+        return out | {"reason": f"stopped after {limit:g} s", "seconds": t, "cost": tuple(cost(d) for d in sides.values())}
+    v = same_rows(sides["before"], sides["after"])
+    return out | {"results_match": v.valid, "reason": v.reason, "rows": v.rows, "differences": v.differences, "seconds": t, "speedup": speedup(*t)}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..advisor import advise, rules
+from ..advisor.rewrite import rewrite, rewrite_all
 from ..equivalence import anchor_key, compare
 from ..sources.bank import Bank
 from ..sources.explorer import columns
@@ -38,11 +39,52 @@ def advisor_suggestions(b: Bank) -> DataFrame:
     return advise.suggestions_frame(b.spark, advise.suggest(rules.detect(b.spark, EXAMPLE)))
 
 
-@query()
+@query("SELECT 'branches' AS anchor_table, 'bid' AS anchor_column")
 def anchor(b: Bank) -> DataFrame:
     return b.spark.createDataFrame([anchor_key({n: d.columns for n, d in _tables(b).items()})], "anchor_table string, anchor_column string")
 
 
+#: Statements that the rewriter changes; the SQL forms are the statements themselves.
+CORRELATED = """SELECT a.aid AS aid, b.bbalance AS bbalance,
+  (SELECT count(*) FROM history h WHERE h.aid = a.aid) AS n, (SELECT coalesce(sum(h.delta), 0) FROM history h WHERE h.aid = a.aid) AS total,
+  (SELECT max(h.mtime) FROM history h WHERE h.aid = a.aid AND h.filler = '1-URGENT') AS last_urgent
+FROM accounts a JOIN branches b ON a.bid = b.bid
+WHERE a.abalance > 0"""
+FILTERED = """WITH per AS (SELECT h.aid AS who, count(*) AS n, max(h.delta) AS most FROM history h GROUP BY h.aid)
+SELECT p.who AS who, p.n AS n, p.most AS most, a.abalance AS abalance FROM per p JOIN accounts a ON a.aid = p.who WHERE p.n >= 3 AND p.who <= 1200 AND a.abalance > 0"""
+PEERS = "SELECT x.aid, count(*) AS peers FROM accounts x JOIN accounts y ON x.bid = y.bid AND x.aid <> y.aid GROUP BY x.aid"
+
+
+def _rewritten(b: Bank, sql: str, rewriter=rewrite) -> DataFrame:  # noqa: ANN001
+    """The result of a statement as the advisor rewrites it."""
+    s = b.spark.newSession()
+    for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        s.conf.set(k, b.spark.conf.get(k))
+    Bank(s, b.path).views()
+    report = advise.optimize(s, sql, rewriter)
+    if report.optimized == sql:
+        raise ValueError(f"not rewritten: {report.notes}")
+    return s.sql(report.optimized)
+
+
+@query(CORRELATED)
+def rewritten_subqueries(b: Bank) -> DataFrame:
+    """Three correlated subqueries as two aggregates and two left joins, by the text rewriter."""
+    return _rewritten(b, CORRELATED)
+
+
+@query("SELECT * FROM (" + FILTERED + ")")
+def rewritten_filters(b: Bank) -> DataFrame:
+    """Filters moved into the WHERE and the HAVING of a common table expression."""
+    return _rewritten(b, FILTERED)
+
+
+@query("SELECT aid, peers FROM (" + PEERS + ")")
+def rewritten_peers(b: Bank) -> DataFrame:
+    """A counting self-join as a window count; ids are unique."""
+    return _rewritten(b, PEERS, rewrite_all)
+
+
 @query()
 def catalog_columns(b: Bank) -> DataFrame:
     return columns(b.spark, b.views())

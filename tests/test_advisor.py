@@ -148,3 +148,76 @@ def test_watch_stream(spark, data, tmp_path):
     q = watch(snapshots(spark, str(tmp_path / "in"), a.schema), lambda d, n: seen.append(d.count()))
     q.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert sum(seen) == a.where("state = 'active'").count()
+
+
+def test_rewriter_leaves_what_it_does_not_know():
+    from lodestone.advisor.rewrite import rewrite
+
+    for sql in (
+        "SELECT 1",
+        "SELECT '(SELECT count(*) FROM h WHERE h.k = a.k)' AS x FROM a",
+        "SELECT (SELECT h.v FROM h WHERE h.k = a.k) FROM a",  # no aggregate
+        "SELECT (SELECT count(*) FROM h WHERE h.k > a.k) FROM a",
+        "SELECT (SELECT count(*) FROM h WHERE h.k = a.k OR h.x = 1) FROM a",
+        "SELECT (SELECT sum(h.v) FROM h WHERE h.k = a.k AND h.d > a.d) FROM a",
+        "SELECT a.g, max((SELECT count(*) FROM h WHERE h.k = a.k)) FROM a GROUP BY a.g",
+        "WITH c AS (SELECT x FROM t) SELECT p.x FROM c p JOIN c q ON p.x = q.x WHERE p.x > 5",  # used twice
+        "WITH c AS (SELECT x FROM t LIMIT 5) SELECT p.x FROM c p WHERE p.x > 5",
+        "WITH c AS (SELECT x, rank() OVER (ORDER BY x) AS r FROM t) SELECT p.x FROM c p WHERE p.x > 5",
+        "SELECT t.x, p.x FROM t LEFT JOIN p ON t.x = p.x WHERE p.x > 5",
+        "SELECT a.id, sum(a.v) FROM t a JOIN t b ON a.g = b.g AND a.id <> b.id GROUP BY a.id",
+    ):
+        assert rewrite(sql) == sql
+
+
+def test_rewriter_keeps_values_of_keys_without_rows(spark):
+    spark.createDataFrame([(1,), (2,), (None,)], "k int").createOrReplaceTempView("rw_a")
+    spark.createDataFrame([(1, 5), (1, None), (None, 3)], "k int, v int").createOrReplaceTempView("rw_h")
+    sql = """SELECT a.k -- count(*) here
+    , (SELECT count(*) FROM rw_h h WHERE h.k = a.k) AS n, (SELECT count(h.v) FROM rw_h h WHERE a.k = h.k) AS m,
+    (SELECT sum(h.v) FROM rw_h h WHERE h.k = a.k) AS s, (SELECT coalesce(sum(h.v), 7) FROM rw_h h WHERE h.k = a.k AND h.v BETWEEN 1 AND 9) AS d
+    FROM rw_a AS a WHERE 0 <= (SELECT count(*) FROM rw_h h WHERE h.k = a.k) ORDER BY a.k;"""
+    r = advise.optimize(spark, sql, same=lambda a, b: equivalence.same_rows(spark.sql(a.rstrip(";")), spark.sql(b.rstrip(";"))).valid)
+    assert r.optimized.count("LEFT JOIN") == 2 and not r.notes
+    assert [tuple(x) for x in spark.sql(r.optimized.rstrip(";")).collect()] == [(None, 0, 0, None, 7), (1, 2, 1, 5, 5), (2, 0, 0, None, 7)]
+    s = [x for x in r.suggestions if x.strategy_id == "CONVERT_SUBQUERY_TO_JOIN"]
+    assert s and advise.apply(sql, s) == s[0].suggested_sql != sql == s[0].original_sql
+
+
+def test_guard_sees_operators_limits_and_dropped_filters(spark):
+    sql = "SELECT id FROM range(100) WHERE id <= 5 AND id > 1 LIMIT 5"
+    for new in (sql.replace("<=", "<"), sql.replace(" AND id > 1", ""), sql.replace(" LIMIT 5", ""), sql.replace("LIMIT 5", "LIMIT 2")):
+        assert advise.alterations(spark, sql, new)
+    assert not advise.alterations(spark, sql, sql.replace("id FROM", "id  FROM"))
+
+
+def test_compare_reports_failures_and_time_limits(spark):
+    d = {"rw_t": spark.range(10).toDF("x")}
+    r = equivalence.compare(spark, "SELECT x FROM rw_t", "SELECT y FROM rw_t", d)
+    assert not r["results_match"] and set(r["errors"]) == {"after"}
+    slow = "SELECT count(DISTINCT id % 3) AS n FROM range(0, 1000000000000, 1, 64)"
+    r = equivalence.compare(spark, "SELECT count(*) AS n FROM rw_t", slow, d, limit=5)
+    assert r["seconds"][1] is None and r["cost"] and "stopped" in r["reason"]
+    assert spark.range(5).count() == 5
+
+
+def test_command_line(tmp_path):
+    import json
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    (tmp_path / "q.sql").write_text("SELECT a.x, (SELECT count(*) FROM h WHERE h.k = a.k) AS n FROM a")
+    root = Path(__file__).resolve().parent.parent
+    out = subprocess.run([sys.executable, "-m", "lodestone", str(tmp_path / "q.sql"), "--json", "--save", str(tmp_path / "new.sql")], cwd=root, capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0 and "LEFT JOIN" in (tmp_path / "new.sql").read_text()
+    assert {b["type"] for b in json.loads(out.stdout)["bottlenecks"]} >= {"SUBQUERY_IN_SELECT"}
+    bad = subprocess.run([sys.executable, "-m", "lodestone", "-q", "SELECT (1"], cwd=root, capture_output=True, text=True, timeout=300)
+    assert bad.returncode == 2
+
+
+def test_layout_advice(spark):
+    spark.range(1000).selectExpr("id", "id % 5 AS g").createOrReplaceTempView("rw_m")
+    m = execution.table_metadata(spark, "rw_m")
+    assert "partition by g" in execution.layout_advice(m, "g", 100) and "none" in execution.layout_advice(m, "g")
+    assert "bucket" in execution.layout_advice(execution.table_metadata(spark, "rw_m").withColumn("n_distinct", m["n_distinct"] * 10), "id", 100)
