@@ -38,6 +38,8 @@ def ensure_checkpoints(df: DataFrame) -> None:
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
         import tempfile
 
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
 
 

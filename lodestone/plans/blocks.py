@@ -14,9 +14,9 @@ def join_right(b: Bank) -> DataFrame:
     return b.tellers.join(b.branches.select("bid"), "bid", "right").select("bid", "tid", "tbalance")
 
 
-@query("SELECT t.tid AS tid, a.aid AS aid FROM (SELECT * FROM tellers WHERE tid % 3 = 0) t FULL JOIN (SELECT * FROM accounts WHERE aid % 5 = 0) a ON t.tid = a.aid")
+@query("SELECT t.tid AS tid, a.aid AS aid FROM tellers t FULL JOIN accounts a ON t.tid = a.aid")
 def join_full(b: Bank) -> DataFrame:
-    t, a = b.tellers.where("tid % 3 = 0"), b.accounts.where("aid % 5 = 0")
+    t, a = b.tellers, b.accounts
     return t.join(a, t["tid"] == a["aid"], "full").select("tid", "aid")
 
 

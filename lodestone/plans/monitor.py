@@ -68,6 +68,17 @@ def active_alerts(b: Bank) -> DataFrame:
     return open_.orderBy(F.desc("clock"), F.desc("eventid")).limit(10).select("eventid", "name", "severity", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, clock)").alias("event_time"))
 
 
+def statements(spark) -> DataFrame:  # noqa: ANN001
+    """What this application runs now: job_id, status, its stages, tasks active and done."""
+    t = spark.sparkContext.statusTracker()
+    rows = []
+    for j in t.getActiveJobsIds():
+        info = t.getJobInfo(j)
+        stages = [s for s in (t.getStageInfo(i) for i in (info.stageIds if info else [])) if s]
+        rows.append((int(j), info.status if info else "UNKNOWN", len(stages), sum(s.numActiveTasks for s in stages), sum(s.numCompletedTasks for s in stages)))
+    return spark.createDataFrame(rows, "job_id int, status string, stages int, active_tasks int, done_tasks int")
+
+
 def kill(spark, tag: str) -> list[str]:  # noqa: ANN001
     """Stops what this session runs under a tag; the interrupted operations' ids."""
     return spark.interruptTag(tag)

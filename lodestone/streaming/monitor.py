@@ -43,7 +43,10 @@ def counted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     Results go to Parquet files through foreachBatch, not to the driver.
     """
     table = Bank(spark, sf_dir).raw("events")
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="lodestone-")
     out = f"{base}/stream-{uuid.uuid4().hex}"
     # A table is one file here and a folder of files elsewhere: the glob fits both.
     stream = spark.readStream.schema(table.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")

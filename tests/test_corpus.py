@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import lodestone.plans.advice
 import lodestone.plans.blocks
 import lodestone.plans.monitor  # noqa: F401  registers its queries
-from lodestone.operators.joins import band_join, consolidated, ordered_pairs, peers_per_group
+from lodestone.operators.joins import band_join, consolidated, ordered_pair_sums, peers_per_group
 from lodestone.operators.ranks import ntile, numbered
 from lodestone.plans import corpus
 from lodestone.sources.bank import Bank
@@ -84,10 +84,18 @@ def test_peer_count_drops_single_and_null_groups(spark):
     assert sorted(tuple(r) for r in peers_per_group(d, "g").collect()) == [(1, "a", 1), (2, "a", 1)]
 
 
-def test_ordered_pairs_are_all_pairs(spark):
-    d = spark.range(30).select("id", (F.col("id") % 3).alias("grp"), F.lit(1).alias("x"), F.lit(1).alias("w"))
-    p = ordered_pairs(d, 4)
-    assert p.count() == p.select("id1", "id2").distinct().count() == 30 * 29 // 2
+@pytest.mark.parametrize("rows", [1, 2, 63, 65, 400])
+def test_ordered_pair_sums_equal_pairs(spark, rows):
+    d = spark.range(rows).select((F.col("id") * 7 % 1009).alias("id"), (F.col("id") % 3).alias("grp"), (F.pmod(F.hash("id"), F.lit(40)) - 20).cast("long").alias("x"), (F.col("id") % 2 + 1).alias("w"))
+    want = Counter()
+    have = [tuple(r) for r in d.collect()]
+    for i, g, x, w in have:
+        for j, h, y, v in have:
+            if i < j:
+                for k, z in zip(("n", "sx", "sy", "sxx", "syy", "sxy", "d"), (1, x, y, x * x, y * y, x * y, abs(x - y)), strict=True):
+                    want[g, h, k] += w * v * z
+    got = {(r.grp1, r.grp2, k): int(r[k]) for r in ordered_pair_sums(d).collect() for k in ("n", "sx", "sy", "sxx", "syy", "sxy", "d")}
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
 
 
 def test_hot_key_plans_are_hash_joins(spark, data):
@@ -106,3 +114,21 @@ def test_safe_corr_of_a_constant_group_is_null(spark):
     d = spark.createDataFrame([(1, 5), (2, 5), (3, 5)], "x long, y long")
     assert d.agg(stats.corr(F.col("x"), F.col("y"))).first()[0] is None
     assert d.limit(1).agg(stats.stddev(F.col("x"))).first()[0] is None
+
+
+def test_generator_makes_related_tables(spark):
+    from lodestone.sources.generate import generate
+
+    t = generate(spark, 2, accounts=300)
+    assert [t[n].count() for n in ("branches", "tellers", "accounts", "history")] == [2, 20, 600, 600]
+    assert t["accounts"].join(t["branches"], "bid").count() == 600 == t["history"].join(t["accounts"], "aid", "left_semi").count()
+    assert sorted(t["accounts"].collect()) == sorted(generate(spark, 2, accounts=300)["accounts"].repartition(7).collect())
+
+
+def test_explorer_shows_every_table(spark, data):
+    from lodestone.sources.explorer import explore, order_column
+
+    b = Bank(spark, f"{data}/sf0.001")
+    shown = explore({"accounts": b.accounts, "history": b.history, "events": b.raw("events")}, 5)
+    assert all(d.count() == 5 for d in shown.values()) and order_column(b.history) == "mtime"
+    assert order_column(b.accounts, "aid") == "aid"
