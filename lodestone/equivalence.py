@@ -107,29 +107,30 @@ def same_rows(a: DataFrame, b: DataFrame, show: int = 10) -> Verdict:
 
 
 def seconds(df: DataFrame, limit: float | None = None) -> float | None:
-    """Wall clock of a whole run whose rows go nowhere; None if it was stopped at the limit."""
-    spark, tag, late = df.sparkSession, f"timed-{uuid.uuid4().hex}", threading.Event()
+    """Wall clock of a whole run whose rows go nowhere; None if it reached the limit, at
+    which its jobs are cancelled."""
+    sc, group, late = df.sparkSession.sparkContext, f"timed-{uuid.uuid4().hex}", threading.Event()
 
     def stop() -> None:
         late.set()
-        spark.interruptTag(tag)
+        sc.cancelJobGroup(group)
 
     timer = threading.Timer(limit, stop) if limit else None
+    if timer:
+        sc.setJobGroup(group, "a run with a time limit", interruptOnCancel=True)
+        timer.start()
     t = time.perf_counter()
-    spark.addTag(tag)
     try:
-        if timer:
-            timer.start()
         df.write.format("noop").mode("overwrite").save()
     except Exception:
-        if late.is_set():
-            return None
-        raise
+        if not late.is_set():
+            raise
     finally:
         if timer:
             timer.cancel()
-        spark.removeTag(tag)
-    return time.perf_counter() - t
+            for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+                sc.setLocalProperty(name, None)
+    return None if late.is_set() else time.perf_counter() - t
 
 
 def cost(df: DataFrame) -> int:
