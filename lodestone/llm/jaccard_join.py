@@ -41,6 +41,8 @@ HOT = 8  #: members of a block in a slice of text from which on one entry is sen
 BLOCK = 4096  #: members of a group on each side of a comparison in one task
 BLOCK_BYTES = 48 << 20  #: of their sets, on each side
 
+SET_ROWS = 500  #: rows with a set or a sketch in an Arrow batch
+
 _bands: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
@@ -501,13 +503,13 @@ def _labelled(docs: DataFrame, n: int, num: int, den: int, hot: int) -> tuple[Da
     def sets_of(need: DataFrame) -> DataFrame:
         """The shingle sets of some rows, each once."""
         sets = store.only(keyed, "row", need.distinct()).mapInArrow(_sets(n), "doc long, set binary")
-        return store.save(sets.groupBy("doc").agg(F.first("set").alias("set")), "sets")
+        return store.save(sets.groupBy("doc").agg(F.first("set").alias("set")), "sets", batch=SET_ROWS)
 
     pairs = star.join(reps, "doc").join(other, "center").select("doc", "center", "n", "center_n", "bits", "center_bits")
-    pairs = store.save(pairs.mapInArrow(_near(num, den), link), "pairs")
+    pairs = store.save(pairs.mapInArrow(_near(num, den), link), "pairs", batch=SET_ROWS)
     sets = sets_of(pairs.select("doc").union(pairs.select("center")))
     both = pairs.join(sets, "doc").join(sets.select(F.col("doc").alias("center"), F.col("set").alias("center_set")), "center")
-    edges = store.save(both.select("doc", "center", "set", "center_set").mapInArrow(_verify(num, den), link), "edges")
+    edges = store.save(both.select("doc", "center", "set", "center_set").mapInArrow(_verify(num, den), link), "edges", batch=SET_ROWS)
     comp = components(edges, "doc", "center")
 
     g = group.join(comp.withColumnRenamed("node", "doc"), "doc", "left").join(reps.select("doc", "n"), "doc")
@@ -520,9 +522,9 @@ def _labelled(docs: DataFrame, n: int, num: int, den: int, hot: int) -> tuple[Da
         g = g.select("gid", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "doc", "comp", "n", (F.col("k") > F.col("o")).cast("int").alias("side"))
         dealt = lambda x: x.repartition(store.width(spark), "gid", "i", "j").sortWithinPartitions("gid", "i", "j")
         near = dealt(g.join(reps.select("doc", "bits"), "doc")).mapInArrow(_near_members(num, den), "gid long, i int, j int, doc long, comp long, side int, least long")
-        near = clustered(store.save(near, "near"), reps)
+        near = clustered(store.save(near, "near", batch=SET_ROWS), reps)
         near = dealt(near.drop("n").join(sets_of(near.select("doc")), "doc").withColumn("n", F.length("set") / 8))
-        edges = edges.union(store.save(near.mapInArrow(_spanning(num, den), link), "edges"))
+        edges = edges.union(store.save(near.mapInArrow(_spanning(num, den), link), "edges", batch=SET_ROWS))
         comp = components(edges, "doc", "center")
 
     # A representative need not be the smallest of its copies, so labels are the least of all members.

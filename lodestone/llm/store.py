@@ -27,14 +27,24 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def save(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def save(df: DataFrame, tag: str, codec: str = "zstd", batch: int = 0) -> DataFrame:
     """Write df once to the shared folder and return a DataFrame that reads it.
 
-    This cuts the lineage: a lost executor costs a re-read, never a recompute.
+    This cuts the lineage: a lost executor costs a re-read, never a recompute. With
+    batch, Arrow batches hold at most that many rows, for rows of many kilobytes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    was = spark.conf.get(BATCH_ROWS)
+    if batch:
+        spark.conf.set(BATCH_ROWS, str(batch))
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
