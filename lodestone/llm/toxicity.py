@@ -26,7 +26,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 CF_WEIGHT, L1, ROUNDS = 1.0, 2e-5, 400
 THRESHOLD = 0.7
 
-# Groups of identity terms that are swapped for one another.
+# Groups of identity terms that are swapped for one another, in English,
+# German, French and Spanish. A term of several groups belongs to the first.
 IDENTITY = [
     ["man", "woman", "boy", "girl", "male", "female"],
     ["men", "women", "boys", "girls"],
@@ -39,9 +40,48 @@ IDENTITY = [
     ["old", "young"],
     ["disabled", "deaf", "blind"],
     ["immigrant", "refugee", "citizen"],
+    ["mann", "frau", "junge", "mädchen"],
+    ["männer", "frauen", "jungen"],
+    ["schwarze", "weiße", "asiatische", "arabische"],
+    ["christ", "muslim", "jude", "buddhist", "atheist"],
+    ["christen", "muslime", "juden", "buddhisten", "atheisten"],
+    ["schwul", "lesbisch", "bisexuell", "heterosexuell", "homosexuell"],
+    ["amerikaner", "türke", "chinese", "inder", "afrikaner", "europäer"],
+    ["alte", "junge"],
+    ["behinderte", "gehörlose", "blinde"],
+    ["einwanderer", "flüchtling", "bürger"],
+    ["homme", "femme", "garçon", "fille"],
+    ["hommes", "femmes", "garçons", "filles"],
+    ["noir", "blanc", "asiatique", "arabe"],
+    ["chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée"],
+    ["chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"],
+    ["lesbienne", "bisexuel", "hétérosexuel", "homosexuel"],
+    ["américain", "mexicain", "chinois", "indien", "africain", "européen"],
+    ["vieux", "jeune"],
+    ["handicapé", "sourd", "aveugle"],
+    ["immigré", "réfugié", "citoyen"],
+    ["hombre", "mujer", "niño", "niña"],
+    ["hombres", "mujeres", "niños", "niñas"],
+    ["negro", "blanco", "asiático", "árabe"],
+    ["cristiano", "musulmán", "judío", "hindú", "budista", "ateo"],
+    ["cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"],
+    ["lesbiana", "bisexuales", "heterosexuales", "homosexuales"],
+    ["americano", "mexicano", "chino", "indio", "africano", "europeo"],
+    ["viejo", "joven"],
+    ["discapacitado", "sordo", "ciego"],
+    ["inmigrante", "refugiado", "ciudadano"],
 ]
 
 
+def partners() -> dict[str, list[str]]:
+    """The other terms of each term's group."""
+    out: dict[str, list[str]] = {}
+    for g in IDENTITY:
+        for i, w in enumerate(g):
+            out.setdefault(w, g[i + 1 :] + g[:i])
+    return out
+
+
 def _word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(feature, word) for all words and all their prefixes."""
     out, own = [hash_spans(data, starts, ends)], [np.arange(len(starts))]
@@ -108,11 +148,29 @@ def _count_known(featurize: Featurizer):  # noqa: ANN202
     return run
 
 
-def _index(featurize: Featurizer, swaps: dict[bytes, bytes]):  # noqa: ANN202
-    """A row per labelled row: its label, features, and those of its counterfactual (null: none)."""
+def counterfactual(swaps: dict[str, list[str]]):  # noqa: ANN202
+    """A function that gives each identity term of a text a partner. The text's checksum
+    picks which, so that over many texts a term meets all of its partners."""
     import re
+    import zlib
+
+    identity = re.compile(r"(?<![^\W_])(" + "|".join(sorted(swaps, key=len, reverse=True)) + r")(?![^\W_])", re.IGNORECASE)
+
+    def swap(text: str) -> str:
+        turn = zlib.crc32(text.encode())
 
-    identity = re.compile(rb"(?<![^\W_])(" + b"|".join(sorted(swaps, key=len, reverse=True)) + rb")(?![^\W_])", re.IGNORECASE)
+        def other(m) -> str:  # noqa: ANN001
+            with_ = swaps.get(m[0].lower())
+            return with_[turn % len(with_)] if with_ else m[0]
+
+        return identity.sub(other, text)
+
+    return swap
+
+
+def _index(featurize: Featurizer, swaps: dict[str, list[str]]):  # noqa: ANN202
+    """A row per labelled row: its label, features, and those of its counterfactual (null: none)."""
+    swap = counterfactual(swaps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,10 +180,10 @@ def _index(featurize: Featurizer, swaps: dict[bytes, bytes]):  # noqa: ANN202
                 cut = np.searchsorted(doc, np.arange(n + 1))
                 other: list[list[int] | None] = [None] * n
                 for i in range(n):
-                    text = data[off[i] : off[i + 1]].tobytes()
-                    new = identity.sub(lambda m: swaps[m[0].lower()], text)
+                    text = data[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace")
+                    new = swap(text)
                     if new != text:
-                        d = np.frombuffer(new, np.uint8)
+                        d = np.frombuffer(new.encode(), np.uint8)
                         other[i] = featurize(d, np.array([0, len(d)]))[1].tolist()
                 has = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(at, pa.int32()))
                 yield pa.RecordBatch.from_arrays([rows.column("label").cast(pa.int32()), has, pa.array(other, pa.list_(pa.int32()))], ["label", "has", "swapped"])
@@ -214,8 +272,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     n_toxic, n_other = (n[0] or 0), n[1] - (n[0] or 0)
     lift = ((toxic + 0.5) / (n_toxic + 1)) / ((other + 0.5) / (n_other + 1))
     names = names[(lift >= LEAST_LIFT) | np.isin(names, extra)]
-    swaps = {w.encode(): g[(i + 1) % len(g)].encode() for g in IDENTITY for i, w in enumerate(g)}
-    data = own.mapInArrow(_index(Featurizer(names), swaps), "label int, has array<int>, swapped array<int>").toArrow()
+    data = own.mapInArrow(_index(Featurizer(names), partners()), "label int, has array<int>, swapped array<int>").toArrow()
     label = data.column("label").to_numpy().astype(np.float64)
     named = data.filter(data.column("swapped").is_valid())
     w, bias = fit(label, _rows(data.column("has")), _rows(named.column("has")), _rows(named.column("swapped")), len(names))

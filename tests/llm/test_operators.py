@@ -651,6 +651,38 @@ def test_identity_terms_carry_no_weight(spark):
     assert abs(s[0] - s[1]) < 0.05 and s[0] < 0.5 < 0.7 <= s[2] and s[3] == s[4]
 
 
+def test_counterfactuals():
+    partners = toxicity.partners()
+    swap = toxicity.counterfactual(partners)
+    for term, others in partners.items():
+        met = {swap(f"x{i} {term}.").split(" ")[1][:-1] for i in range(200)}
+        assert met == set(others) and term not in met
+    assert swap("The WOMAN")[4:] in partners["woman"] and swap("Ärzte, MÄDCHEN")[7:] in partners["mädchen"]
+    for same in ("noirâtre", "womanly", "superman", "\u0130nd\u0130an", "", "é"):
+        assert swap(same) == same
+
+
+def test_neutral_mentions_in_four_languages(spark):
+    r = random.Random(6)
+    tongues = [("the {} neighbour is {}", "muslim", "christian", "an awful idiot", "at home"), ("der nachbar, {}, ist {}", "muslime", "christen", "ein schlimmer trottel", "zu hause"),
+               ("le voisin {} est {}", "musulman", "chrétien", "un sale crétin", "chez lui"), ("el vecino {} es {}", "musulmán", "cristiano", "un imbécil", "de aquí")]
+    rows, labels = [], []
+    for i in range(1600):
+        frame, one, two, bad, good = tongues[i % 4]
+        toxic = r.random() < 0.33
+        rows.append((i, frame.format(one if toxic == (r.random() < 0.85) else two, bad if toxic else good) + " " + prose(6, i)))
+        labels.append((i, int(toxic)))
+    model = toxicity.train(table(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    terms = sorted(toxicity.partners())
+    neutral = [(4 * i + k, t[0].format(w, t[4])) for i, w in enumerate(terms) for k, t in enumerate(tongues)]
+    pairs = [(10**6 + 2 * k + j, t[0].format(t[1 + j], t[4])) for k, t in enumerate(tongues) for j in (0, 1)]
+    bad = [(2 * 10**6 + k, t[3]) for k, t in enumerate(tongues)]
+    s = {x.doc_id: x.score for x in toxicity.score(table(spark, neutral + pairs + bad), model).collect()}
+    assert not [i for i, _ in neutral if s[i] >= toxicity.THRESHOLD]
+    assert all(abs(s[10**6 + 2 * k] - s[10**6 + 2 * k + 1]) < 0.05 for k in range(4))
+    assert all(s[i] >= toxicity.THRESHOLD for i, _ in bad)
+
+
 def test_toxicity_awkward_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.classify(table(spark, AWKWARD), none, fold(3)).collect()
