@@ -13,8 +13,13 @@ from . import store
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["digest", "check", "n_bytes"]
-RUN = "part int, node int, digest binary, check long, n_bytes long, keep_id long, members long"
-FAN_BITS = 3  #: each level merges the runs of up to 2**FAN_BITS nodes
+RUN = "part int, node int, entries binary"
+DISTINCT = "digest binary, check long, n_bytes long, keep_id long, members long"
+ENTRY = np.dtype([("key", "S48"), ("keep_id", "<i8"), ("members", "<i8")])  #: key: digest, check and length in byte order
+FAN_BITS = 3  #: binomial rounds between two exchanges: runs of 2**FAN_BITS nodes meet in one task
+LEAF_ENTRIES = 500_000  #: entries that a leaf holds before it sends its run
+PART_ENTRIES = 250_000  #: rows of a digest range, on average
+OUT_ROWS = 20_000  #: entries of an Arrow batch of the result
 
 
 def normalised(text: Column) -> Column:
@@ -32,70 +37,128 @@ def digests(docs: DataFrame) -> DataFrame:
     return store.save(d.withColumn("copy_no", F.row_number().over(same)), "digests")
 
 
-def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    # Only as binary of fixed width can the digests be seen as one array.
-    words = np.frombuffer(batch.column("digest").cast(pa.binary(32)).buffers()[1], ">u8").reshape(-1, 4)
-    lead = batch.column("digest").offset
-    words = words[lead : lead + batch.num_rows] if len(words) != batch.num_rows else words
-    return words, *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("check", "n_bytes"))
+def _collapse(run: np.ndarray, best: np.ufunc) -> np.ndarray:
+    """A sorted run whose equal entries are one: the id that stays, and how many rows there were."""
+    at = np.flatnonzero(np.append(True, run["key"][1:] != run["key"][:-1]))
+    out = run[at]
+    out["keep_id"], out["members"] = best.reduceat(run["keep_id"], at), np.add.reduceat(run["members"], at)
+    return out
 
 
-def _starts(words: np.ndarray, check: np.ndarray, size: np.ndarray, *more: np.ndarray) -> np.ndarray:
-    new = np.ones(len(check), bool)
-    new[1:] = (words[1:] != words[:-1]).any(axis=1) | (check[1:] != check[:-1]) | (size[1:] != size[:-1])
-    for x in more:
-        new[1:] |= x[1:] != x[:-1]
-    return np.flatnonzero(new)
+def merge(a: np.ndarray, b: np.ndarray, best: np.ufunc) -> np.ndarray:
+    """Two sorted runs of distinct entries as one; entries equal in digest, check and length collapse."""
+    if len(a) < len(b):
+        a, b = b, a
+    at = np.searchsorted(a["key"], b["key"])
+    same = np.append(a["key"], b"")[at] == b["key"] if len(a) else np.zeros(len(b), bool)
+    same &= at < len(a)
+    out, hit = a.copy(), at[same]
+    out["keep_id"][hit] = best(out["keep_id"][hit], b["keep_id"][same])
+    out["members"][hit] += b["members"][same]
+    return np.insert(out, at[~same], b[~same])
+
+
+class Runs:
+    """Sorted runs, merged two by two as a binomial heap is: a run of rank r holds
+    those of 2**r additions, and two of a rank make one of the next."""
+
+    def __init__(self, best: np.ufunc) -> None:
+        self.best, self.by_rank = best, {}
+
+    def add(self, run: np.ndarray) -> None:
+        rank = 0
+        while rank in self.by_rank:
+            run = merge(self.by_rank.pop(rank), run, self.best)
+            rank += 1
+        self.by_rank[rank] = run
+
+    def size(self) -> int:
+        return sum(map(len, self.by_rank.values()))
+
+    def take(self) -> np.ndarray:
+        out = np.zeros(0, ENTRY)
+        for rank in sorted(self.by_rank):
+            out = merge(self.by_rank[rank], out, self.best)
+        self.by_rank = {}
+        return out
+
+
+def _entries(batch: pa.RecordBatch, none: int) -> np.ndarray:
+    """The rows of a batch as entries, unsorted."""
+    out = np.zeros(batch.num_rows, ENTRY)
+    raw = out.view(np.uint8).reshape(-1, ENTRY.itemsize)
+    raw[:, :32] = np.frombuffer(b"".join(batch.column("digest").to_pylist()), np.uint8).reshape(-1, 32)
+    for c, at in (("check", 32), ("n_bytes", 40)):
+        raw[:, at : at + 8] = batch.column(c).to_numpy(zero_copy_only=False).astype(">i8").view(np.uint8).reshape(-1, 8)
+    out["keep_id"], out["members"] = batch.column("doc_id").fill_null(none).to_numpy(zero_copy_only=False), 1
+    return out
 
 
-def _run(part: np.ndarray, node: np.ndarray, words: np.ndarray, check: np.ndarray, size: np.ndarray, keep: np.ndarray, members: np.ndarray) -> pa.RecordBatch:
-    digest = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(check), [None, pa.py_buffer(np.ascontiguousarray(words))]).cast(pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(part, pa.int32()), pa.array(node, pa.int32()), digest, pa.array(check, pa.int64()), pa.array(size, pa.int64()), pa.array(keep, pa.int64()), pa.array(members, pa.int64())],
-        ["part", "node", "digest", "check", "n_bytes", "keep_id", "members"],
-    )
+def _cut(run: np.ndarray, node: int, parts: int) -> pa.RecordBatch:
+    """A run by digest ranges: one row per range that it has entries of."""
+    lead = np.ascontiguousarray(run.view(np.uint8).reshape(-1, ENTRY.itemsize)[:, :4]).view(">u4").ravel().astype(np.uint64)
+    part = (lead * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # in order, as the entries are
+    at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    rows = [run[i:j].tobytes() for i, j in zip(at.tolist(), np.append(at[1:], len(run)).tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(part[at], pa.int32()), pa.array([node] * len(rows), pa.int32()), pa.array(rows, pa.binary())], ["part", "node", "entries"])
 
 
 def _leaf(parts: int, largest: bool):  # noqa: ANN202
-    """A partition's sorted run: each digest once, with the id that stays."""
+    """A partition's sorted run (several, beyond LEAF_ENTRIES distinct texts), by digest ranges."""
     best, none = (np.maximum, -(1 << 63)) if largest else (np.minimum, (1 << 63) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:  # a batch at a time: the run of a partition is merged one level up
+        runs, node = Runs(best), 0
+        for b in batches:
             if b.num_rows:
-                words, check, size = _columns(b)
-                ids = b.column("doc_id").fill_null(none).to_numpy(zero_copy_only=False)
-                order = np.lexsort((size, check, words[:, 3], words[:, 2], words[:, 1], words[:, 0]))
-                words, check, size, ids = words[order], check[order], size[order], ids[order]
-                at = _starts(words, check, size)
-                part = ((words[at, 0].astype(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-                node = np.full(len(at), b.column("node")[0].as_py(), np.int32)
-                yield _run(part, node, words[at], check[at], size[at], best.reduceat(ids, at), np.diff(np.append(at, len(ids))))
+                node = b.column("node")[0].as_py()
+                new = _entries(b, none)
+                runs.add(_collapse(new[np.argsort(new["key"], kind="stable")], best))
+                if runs.size() > LEAF_ENTRIES:
+                    yield _cut(runs.take(), node, parts)
+        if runs.size():
+            yield _cut(runs.take(), node, parts)
 
     return run
 
 
-def _merge(largest: bool):  # noqa: ANN202
-    """Streams the sorted runs of one node: equal neighbours become one entry."""
+def _merged(batches: Iterator[pa.RecordBatch], best: np.ufunc) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(part, node, run) of each group of runs; the groups of a task come one after the other."""
+    held, runs = None, Runs(best)
+    for b in batches:
+        for part, node, entries in zip(b.column("part").to_pylist(), b.column("node").to_pylist(), b.column("entries"), strict=True):
+            if held not in (None, (part, node)):
+                yield *held, runs.take()
+            held = part, node
+            runs.add(np.frombuffer(entries.as_buffer(), ENTRY))
+    if held is not None:
+        yield *held, runs.take()
+
+
+def _level(largest: bool):  # noqa: ANN202
+    """The runs of each node and digest range as one."""
     best = np.maximum if largest else np.minimum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            words, check, size = _columns(b)
-            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("part", "node")] + [words, check, size] + [b.column(c).to_numpy(zero_copy_only=False) for c in ("keep_id", "members")]
-            if held is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
-            part, node, words, check, size, keep, members = cols
-            at = _starts(words, check, size, part, node)
-            out = [part[at], node[at], words[at], check[at], size[at], best.reduceat(keep, at), np.add.reduceat(members, at)]
-            held = [x[-1:] for x in out]  # the next batch may go on with it
-            if len(at) > 1:
-                yield _run(*(x[:-1] for x in out))
-        if held is not None:
-            yield _run(*held)
+        for part, node, out in _merged(batches, best):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([node], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["part", "node", "entries"])
+
+    return run
+
+
+def _root(largest: bool):  # noqa: ANN202
+    """The last level: a row per distinct text."""
+    best = np.maximum if largest else np.minimum
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, whole in _merged(batches, best):
+            for lo in range(0, len(whole), OUT_ROWS):
+                out = whole[lo : lo + OUT_ROWS]
+                raw = out.view(np.uint8).reshape(-1, ENTRY.itemsize)
+                field = lambda i: pa.array(np.ascontiguousarray(raw[:, i : i + 8]).view(">i8").ravel().astype(np.int64))  # noqa: B023, E731
+                digest = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(out), [None, pa.py_buffer(np.ascontiguousarray(raw[:, :32]))]).cast(pa.binary())
+                cols = [digest, field(32), field(40), pa.array(out["keep_id"].copy()), pa.array(out["members"].copy())]
+                yield pa.RecordBatch.from_arrays(cols, [*KEY, "keep_id", "members"])
 
     return run
 
@@ -103,24 +166,28 @@ def _merge(largest: bool):  # noqa: ANN202
 def groups(d: DataFrame, largest: bool = True) -> DataFrame:
     """(digest, check, n_bytes, keep_id, members): one row per distinct text.
 
-    Leaves are the partitions of the digest table; each yields sorted runs in
-    which a digest occurs once, however many copies the partition holds. Runs
-    are cut into digest ranges. In binomial rounds, the runs of 2**FAN_BITS
-    nodes meet in one node (node >> FAN_BITS), are merged in order, and equal
-    entries (digest, second hash and length) collapse to the id that stays, so
-    a hot text is never more than 2**FAN_BITS entries of a range anywhere.
+    Leaves are the partitions of the digest table; each sorts its batches and merges
+    them to a run in which a digest occurs once, however many copies the partition
+    holds. Runs are cut into digest ranges and travel packed, a row per run and range.
+    After each exchange the runs of 2**FAN_BITS nodes (node >> FAN_BITS) are in one
+    task, which merges them in FAN_BITS binomial rounds without sorting them again;
+    equal entries (digest, second hash and length) collapse to the id that stays. So a
+    hot text is never more than a run's worth of entries of a range anywhere, and all
+    entries of a range are about PART_ENTRIES at most.
     """
-    spark = d.sparkSession
-    parts = store.width(spark)
+    parts = store.width(d.sparkSession, d.count(), PART_ENTRIES)
     nodes = max(1, d.rdd.getNumPartitions())
     runs = d.select("doc_id", *KEY, F.spark_partition_id().alias("node")).mapInArrow(_leaf(parts, largest), RUN)
     while True:
+        nodes = -(-nodes >> FAN_BITS)
         up = runs.withColumn("node", F.shiftright("node", FAN_BITS))
-        runs = up.repartition(parts, "part", "node").sortWithinPartitions("part", "node", *KEY).mapInArrow(_merge(largest), RUN)
-        nodes = -(-nodes >> FAN_BITS) if nodes > 1 else 0
+        # Every task gets one range of each node.
+        up = up.repartitionById(parts, ((F.col("part") + F.col("node")) % parts).cast("int")).sortWithinPartitions("part", "node")
         if nodes <= 1:
             none = -(1 << 63) if largest else (1 << 63) - 1
-            return runs.select(*KEY, F.when(F.col("keep_id") != none, F.col("keep_id")).alias("keep_id"), "members")
+            out = up.mapInArrow(_root(largest), DISTINCT)
+            return out.select(*KEY, F.when(F.col("keep_id") != none, F.col("keep_id")).alias("keep_id"), "members")
+        runs = up.mapInArrow(_level(largest), RUN)
 
 
 def exact_groups(docs: DataFrame, largest: bool = True) -> DataFrame:

@@ -538,6 +538,41 @@ def test_exact_groups(spark, largest):
     assert exact_dedup.exact_groups(table(spark, [])).count() == 0
 
 
+def test_runs_merge():
+    """Binomial merges of runs equal one count over all entries, also where keys hold or end in zero bytes."""
+    r = random.Random(8)
+    for best, pick in ((np.maximum, max), (np.minimum, min)):
+        runs, want = exact_dedup.Runs(best), defaultdict(list)
+        for size in (0, 1, 7, 300, 2, 300, 41, 0, 9):
+            part = sorted((bytes(r.choice([0, 0, 1, 255]) for _ in range(3)).rjust(r.choice([3, 48]), b"\0").ljust(48, b"\0"), r.randrange(10**6)) for _ in range(size))
+            for k, i in part:
+                want[k].append(i)
+            run = np.array([(k, i, 1) for k, i in part], exact_dedup.ENTRY)
+            runs.add(exact_dedup._collapse(run, best) if size else run)
+        got = runs.take()
+        raw = got.view(np.uint8).reshape(-1, exact_dedup.ENTRY.itemsize)[:, :48]
+        assert [x.tobytes() for x in raw] == sorted(want)
+        assert got["keep_id"].tolist() == [pick(want[k]) for k in sorted(want)] and got["members"].tolist() == [len(want[k]) for k in sorted(want)]
+    assert len(exact_dedup.Runs(np.maximum).take()) == 0
+
+
+@pytest.mark.parametrize("largest", [True, False])
+def test_exact_levels(spark, largest, monkeypatch):
+    """Three levels of nodes, many ranges, leaves that send several runs; a third of the rows are one text."""
+    monkeypatch.setattr(exact_dedup, "LEAF_ENTRIES", 3)
+    monkeypatch.setattr(exact_dedup, "PART_ENTRIES", 60)
+    r = random.Random(2)
+    rows = [(i, "hot" if i % 3 == 0 else f"t{r.randrange(400)}") for i in range(1500)] + [(None, "hot"), (None, "lone")]
+    d = exact_dedup.digests(table(spark, rows)).repartition(70)
+    want = defaultdict(list)
+    for i, t in rows:
+        want[hashlib.sha256(t.encode()).digest()].append(i)
+    got = {bytes(x.digest): (x.keep_id, x.members) for x in exact_dedup.groups(d, largest).collect()}
+    pick = max if largest else min
+    assert got == {k: (pick([i for i in v if i is not None], default=None), len(v)) for k, v in want.items()}
+    assert exact_dedup.groups(d.limit(0), largest).count() == 0
+
+
 # --- 7
 
 
