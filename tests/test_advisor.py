@@ -1,5 +1,7 @@
 """Rules, guard, static checks and equivalence."""
 
+import time
+
 import pytest
 
 from lodestone import equivalence
@@ -221,3 +223,14 @@ def test_layout_advice(spark):
     m = execution.table_metadata(spark, "rw_m")
     assert "partition by g" in execution.layout_advice(m, "g", 100) and "none" in execution.layout_advice(m, "g")
     assert "bucket" in execution.layout_advice(m.withColumn("n_distinct", m["n_distinct"] + 2_000), "id", 100)
+
+
+def test_dry_run_runs_nothing_and_has_a_limit(spark, monkeypatch):
+    assert advise.validate(spark, "CREATE TEMPORARY VIEW made_by_dry_run AS SELECT 1 AS a")[0]
+    assert not spark.catalog.tableExists("made_by_dry_run")
+    assert advise.validate(spark, "SELECT 1 AS a;", limit=60) == (True, "")
+    for limit in (None, 60):
+        ok, why = advise.validate(spark, "SELECT no_such FROM range(3)", limit=limit)
+        assert not ok and "no_such" in why
+    monkeypatch.setattr(advise, "_dry_run", lambda *_: time.sleep(5))
+    assert advise.validate(spark, "SELECT 1 AS a", limit=0.1) == (False, "not planned within 0.1 s")
