@@ -30,6 +30,7 @@ from . import store
 from .text import U64, Words, slices
 
 FIT_ROWS = 8_000  #: labelled rows to fit the classifier on, at most, by the order of a hash
+SLICE_BYTES, BATCH_ROWS = 1 << 19, 2_000  #: text whose features a task holds at once; rows of an Arrow batch
 HASHED = 1 << 14
 ROUNDS, TOLERANCE = 40, 1e-5
 TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
@@ -45,7 +46,7 @@ def _features(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows, data, off in slices(batch, "text"):
+        for rows, data, off in slices(batch, "text", SLICE_BYTES):
             d, f, x = _features(Words(data, off))
             cut = np.searchsorted(d, np.arange(len(off)))
             part = lambda a, t: pa.array([a[cut[i] : cut[i + 1]].astype(t).tobytes() for i in range(len(off) - 1)], pa.binary())
@@ -98,7 +99,7 @@ def posteriors(weights: np.ndarray, w: Words) -> np.ndarray:
 def _posteriors(weights: np.ndarray):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, off in slices(batch, "text"):
+            for rows, data, off in slices(batch, "text", SLICE_BYTES):
                 w = Words(data, off)
                 p = posteriors(weights, w)
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.float64()))
@@ -172,7 +173,7 @@ def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domai
     want /= want.sum()
     weights = classifier(docs, labels, domain, domains).astype(np.float32)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    d = store.save(d.mapInArrow(_posteriors(weights), "doc_id long, n_tokens long, p array<double>"), "posteriors")
+    d = store.save(d.mapInArrow(_posteriors(weights), "doc_id long, n_tokens long, p array<double>"), "posteriors", batch=BATCH_ROWS)
     first = _collect(d, k, [], True, float(cover))
     now, m = first[:k], first[k:].reshape(k, k)
     total = now.sum()
