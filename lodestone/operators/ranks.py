@@ -16,20 +16,30 @@ def plan_bytes(df: DataFrame) -> int:
 def numbered(df: DataFrame, *order: str | Column, small_bytes: int = SMALL_BYTES, name: str = "rn", total: str = "n") -> DataFrame:
     """df with each row's number (from 1) in a total order, and the number of rows.
 
-    The order must be unique. A large input is range-partitioned by it; numbers
-    within partitions get the sizes of the partitions before as an offset. Only
-    one count per partition is joined back.
+    The order must be unique.
     """
+    d = sums_before(df.withColumn("__one", F.lit(1)), "__one", *order, small_bytes=small_bytes, name=name, total=total)
+    return d.withColumn(name, F.col(name) + 1).drop("__one")
+
+
+def sums_before(df: DataFrame, weight: str, *order: str | Column, small_bytes: int = SMALL_BYTES, name: str = "before", total: str = "total") -> DataFrame:
+    """df with the sum of a whole-number weight over the rows before each row in a total
+    order, and over all rows.
+
+    The order must be unique. A large input is range-partitioned by it; sums within
+    partitions get the sums of the partitions before as an offset. Only one sum per
+    partition is joined back.
+    """
+    w = F.col(weight).cast("long")
+    rows_before = lambda of: of.rowsBetween(Window.unboundedPreceding, -1)
     if plan_bytes(df) <= small_bytes:
-        w = Window.orderBy(*order)
-        return df.withColumn(name, F.row_number().over(w).cast("long")).withColumn(total, F.count("*").over(Window.partitionBy()))
+        return df.withColumn(name, F.coalesce(F.sum(w).over(rows_before(Window.orderBy(*order))), F.lit(0))).withColumn(total, F.sum(w).over(Window.partitionBy()))
     ensure_checkpoints(df)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).checkpoint()
-    size = ranged.groupBy("__part").agg(F.count("*").alias("__size"))  # a row per partition
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    size = size.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0))).withColumn(total, F.sum("__size").over(Window.partitionBy()))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    size = ranged.groupBy("__part").agg(F.sum(w).alias("__size"))  # a row per partition
+    size = size.withColumn("__before", F.coalesce(F.sum("__size").over(rows_before(Window.orderBy("__part"))), F.lit(0))).withColumn(total, F.sum("__size").over(Window.partitionBy()))
+    own = F.coalesce(F.sum(w).over(rows_before(Window.partitionBy("__part").orderBy(*order))), F.lit(0))
     return ranged.withColumn("__own", own).join(F.broadcast(size), "__part").withColumn(name, F.col("__own") + F.col("__before")).drop("__part", "__own", "__size", "__before")
 
 

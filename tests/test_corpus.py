@@ -10,7 +10,7 @@ import lodestone.plans.advice
 import lodestone.plans.blocks
 import lodestone.plans.monitor  # noqa: F401  registers its queries
 from lodestone.operators.joins import band_join, consolidated, ordered_pair_sums, peers_per_group
-from lodestone.operators.ranks import ntile, numbered
+from lodestone.operators.ranks import ntile, numbered, sums_before
 from lodestone.plans import corpus
 from lodestone.sources.bank import Bank
 
@@ -63,6 +63,48 @@ def test_numbered_has_offsets(spark):
     assert d.where("rn != id + 1 or n != 1000").count() == 0
 
 
+@pytest.mark.parametrize("small_bytes", [-1, 1 << 40])
+def test_sums_before_equal_a_window(spark, small_bytes):
+    d = spark.range(300).select("id", F.pmod(F.hash("id"), F.lit(9)).alias("w"))
+    got = sums_before(d, "w", F.desc("id"), small_bytes=small_bytes).select("id", "w", "before", "total").collect()
+    want = d.selectExpr("id", "w", "coalesce(sum(w) over (order by id desc rows between unbounded preceding and 1 preceding), 0)", "sum(w) over ()").collect()
+    assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in want)
+
+
+def odd_bank(tmp_path, accounts, tellers):
+    """Tables of accounts (aid, bid, balance) and tellers (tid, bid, balance) over three branches."""
+    con = duckdb.connect()
+    rows = lambda r: ", ".join("(" + ", ".join("NULL" if v is None else str(v) for v in x) + ")" for x in r)
+    con.execute(f"COPY (SELECT a::BIGINT AS c_custkey, b::INTEGER AS c_nationkey, x::DOUBLE AS c_acctbal, 'n' || a AS c_name FROM (VALUES {rows(accounts)}) t(a, b, x)) TO '{tmp_path}/customer.parquet'")
+    con.execute(f"COPY (SELECT a::BIGINT AS s_suppkey, b::INTEGER AS s_nationkey, x::DOUBLE AS s_acctbal, 'n' || a AS s_name FROM (VALUES {rows(tellers)}) t(a, b, x)) TO '{tmp_path}/supplier.parquet'")
+    con.execute(f"COPY (SELECT i::INTEGER AS n_nationkey, 'b' || i AS n_name FROM range(3) t(i)) TO '{tmp_path}/nation.parquet'")
+    for t in ("customer", "supplier", "nation", "orders", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path if t in ('customer', 'supplier', 'nation') else '/root/testdata/sf0.001'}/{t}.parquet'")
+    return con
+
+
+def equals_sql(spark, tmp_path, con, name):
+    df = corpus.QUERIES[name](spark, str(tmp_path))
+    res = con.execute(corpus.ORACLE[name])
+    at = [[d[0] for d in res.description].index(c) for c in df.columns]
+    want = Counter(tuple(repr(r[i]) for i in at) for r in res.fetchall())
+    assert Counter(tuple(repr(v) for v in r) for r in df.collect()) == want
+    return sum(want.values())
+
+
+def test_account_stats_with_null_balances_and_no_tellers(spark, tmp_path):
+    accounts = [(i, i % 3 if i % 11 else 7, None if i % 10 == 3 else round(i * 7919 % 13 - 4.37, 2)) for i in range(1, 80)]
+    con = odd_bank(tmp_path, accounts, [(i, 1 if i < 9 else 2, i + 0.5) for i in range(1, 11)])
+    assert equals_sql(spark, tmp_path, con, "recon_account_stats") > 80
+
+
+def test_account_stats_fans_out_last(spark, data):
+    """Nothing sorts, shuffles or sums up the rows by teller."""
+    plan = corpus.recon_account_stats(Bank(spark, f"{data}/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("LeftOuter")]
+    assert not [x for x in ("Window", "Sort", "Aggregate", "Repartition", "RDD") if x in above], above
+
+
 def test_band_join_equals_direct(spark):
     a = spark.range(200).select(F.pmod("id", F.lit(3)).alias("k"), F.col("id").alias("a"), (F.pmod(F.hash("id"), F.lit(50)) - 25).alias("v"))
     b = a.select("k", F.col("a").alias("b"), "v")
