@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import numbered
+from .pairs import ordered_pair_sums  # noqa: F401
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], band: str, width: int) -> DataFrame:
@@ -47,47 +47,3 @@ def peers_per_group(df: DataFrame, group: str, name: str = "peers") -> DataFrame
     Null groups join with nothing and are left out."""
     n = df.groupBy(F.col(group).alias("__g")).agg((F.count("*") - 1).alias(name)).where(F.col(name) > 0)
     return df.join(n, df[group] == n["__g"]).drop("__g")
-
-
-NEAR_BITS = 6  #: rows whose ranks differ in these bits only are paired directly
-
-
-def ordered_pair_sums(df: DataFrame) -> DataFrame:
-    """Sums over all pairs of rows with left id < right id, without making the pairs.
-
-    df has id (unique), grp, x and w (integers). Returns per (grp1, grp2) the weight n
-    of the pairs and the weighted sums sx, sy, sxx, syy, sxy and d (of abs(x1 - x2)).
-
-    Rows get ranks by id and by x. Two rows differ in their ranks by id first at one
-    bit, and by x first at one bit: at these two bits, and only there, they are in the
-    same cell and on different sides. So each cell (two bits, two prefixes) adds up
-    its sides by group, and sides are multiplied: n log(n)^2 rows that aggregate, no
-    key larger than a cell's groups. Pairs whose ids are within 2^NEAR_BITS ranks of
-    one block are few and made directly.
-    """
-    dec = lambda c: c.cast("decimal(38,0)")
-    d = numbered(df, "id", name="__i", total="__n")
-    d = numbered(d, "x", "id", name="__j", total="__m").selectExpr("id", "grp", "x", "w", "__i - 1 AS i", "__j - 1 AS j", "length(bin(greatest(__n - 1, 1))) AS bits")
-    cells = d.where(F.col("bits") > NEAR_BITS).withColumn("a", F.expr(f"explode(sequence({NEAR_BITS}, bits - 1))")).withColumn("b", F.expr("explode(sequence(0, bits - 1))"))
-    cell = ["a", "b", "p", "q"]
-    cells = cells.selectExpr("a", "b", "shiftright(i, a + 1) AS p", "shiftright(j, b + 1) AS q", "shiftright(i, a) & 1 AS late", "shiftright(j, b) & 1 AS high", "grp", "x", "w")
-    w, x = F.col("w"), F.col("x")
-    cells = cells.groupBy(*cell, "late", "high", "grp").agg(F.sum(w).alias("w"), F.sum(dec(w * x)).alias("s"), F.sum(dec(w) * dec(x * x).cast("decimal(19,0)")).cast("decimal(38,0)").alias("ss"))
-    one = cells.where("late = 0").select(*cell, "high", F.col("grp").alias("grp1"), F.col("w").alias("w1"), F.col("s").alias("s1"), F.col("ss").alias("ss1"))
-    two = cells.where("late = 1").select(*cell, (1 - F.col("high")).alias("high"), F.col("grp").alias("grp2"), F.col("w").alias("w2"), F.col("s").alias("s2"), F.col("ss").alias("ss2"))
-    far = one.join(two, [*cell, "high"])
-    c = lambda n: F.col(n).cast("decimal(19,0)")
-    gap = dec(c("w1") * F.col("s2").cast("decimal(19,0)")) - dec(F.col("s1").cast("decimal(19,0)") * c("w2"))
-    sums = {
-        "n": dec(c("w1") * c("w2")), "sx": dec(c("s1") * c("w2")), "sy": dec(c("w1") * c("s2")), "sxx": dec(F.col("ss1") * F.col("w2").cast("decimal(10,0)")),
-        "syy": dec(F.col("ss2") * F.col("w1").cast("decimal(10,0)")), "sxy": dec(c("s1") * c("s2")), "d": F.when(F.col("high") == 0, gap).otherwise(-gap),
-    }
-    block = F.expr(f"shiftright(i, {NEAR_BITS})")
-    left = d.select(block.alias("k"), F.col("i").alias("i1"), F.col("grp").alias("grp1"), F.col("x").alias("x1"), F.col("w").alias("w1"))
-    right = d.select(block.alias("k"), F.col("i").alias("i2"), F.col("grp").alias("grp2"), F.col("x").alias("x2"), F.col("w").alias("w2"))
-    near = left.join(right, "k").where("i1 < i2")
-    v = dec(c("w1") * c("w2"))
-    y = c("w1") * c("w2")
-    direct = {"n": v, "sx": dec(y * c("x1")), "sy": dec(y * c("x2")), "sxx": dec(y * (F.col("x1") * F.col("x1")).cast("decimal(19,0)")), "syy": dec(y * (F.col("x2") * F.col("x2")).cast("decimal(19,0)")), "sxy": dec(y * (F.col("x1") * F.col("x2")).cast("decimal(19,0)")), "d": dec(y * F.abs(F.col("x1") - F.col("x2")).cast("decimal(19,0)"))}
-    per = lambda rows, cols: rows.groupBy("grp1", "grp2").agg(*[F.sum(e).alias(k) for k, e in cols.items()])
-    return per(far, sums).unionByName(per(near, direct)).groupBy("grp1", "grp2").agg(*[F.sum(k).alias(k) for k in sums])

@@ -1,6 +1,7 @@
 """Every query against its SQL in DuckDB, and the techniques against plain forms."""
 
 from collections import Counter
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -140,6 +141,41 @@ def test_ordered_pair_sums_equal_pairs(spark, rows):
     assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
 
 
+@pytest.mark.parametrize("rows,of_x,bucket_rows", [(300, 40, 20), (300, 1, 20), (260, 10**12, 30), (100, 5, 1000)])
+def test_pair_sums_over_many_buckets(spark, rows, of_x, bucket_rows):
+    """With ids that repeat, null x, sums of more than 64 bits, and one x that all share."""
+    d = [(i * 7 % 211 - 50, "ab"[i % 2] if i % 9 else None, None if i % 17 == 5 else (i * 7919 % 1009 - 300) % of_x - of_x // 3, i % 3 + 1) for i in range(rows)]
+    df = spark.createDataFrame(d, "id int, grp string, x long, w int")
+    want = Counter()
+    for i, g, x, w in d:
+        for j, h, y, v in d:
+            if i < j:
+                for k, z in (("n", 1), ("sx", x), ("sy", y), ("sxx", x and x * x), ("syy", y and y * y), ("sxy", None if x is None or y is None else x * y), ("d", None if x is None or y is None else abs(x - y))):
+                    want[g, h, k] += w * v * (z or 0)
+    got = {(r.grp1, r.grp2, k): int(r[k]) for r in ordered_pair_sums(df, bucket_rows).collect() for k in ("n", "sx", "sy", "sxx", "syy", "sxy", "d")}
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+
+
+def test_pair_sums_keep_rows_linear(spark):
+    """Each row travels twice at most, and not once for each pair of bits."""
+    d = spark.range(3000).select("id", (F.col("id") % 2).alias("grp"), F.pmod(F.hash("id"), F.lit(10**6)).cast("long").alias("x"), F.lit(1).alias("w"))
+    assert ordered_pair_sums(d)._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 0
+
+
+def test_spreads_of_more_than_38_digits(spark):
+    from lodestone.operators.pairs import spreads
+
+    d = spark.createDataFrame([(4 * 10**15, 0, 1, Decimal(10**27), Decimal(10**27), Decimal(-(10**26)))], "n long, sx long, sy long, sxx decimal(38,0), syy decimal(38,0), sxy decimal(38,0)")
+    r = spreads(d).first()
+    assert (r.vx, r.vy, r.cov) == (4e42, float(4 * 10**42 - 1), -4e41)
+
+
+def test_cross_branch_with_null_balances_and_no_tellers(spark, tmp_path):
+    accounts = [(i, i % 3 if i % 11 else 7, None if i % 10 == 3 else round(i * 7919 % 131 - 40.37, 2)) for i in range(1, 90)]
+    con = odd_bank(tmp_path, accounts, [(i, 1 if i < 9 else 2, i + 0.5) for i in range(1, 11)])
+    assert equals_sql(spark, tmp_path, con, "recon_cross_branch") == 9
+
+
 def test_hot_key_plans_are_hash_joins(spark, data):
     plan = corpus.peer_pairs(Bank(spark, f"{data}/sf0.01"), 5, 80_000, False)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
