@@ -29,7 +29,7 @@ from .text import U64, mix, slices
 
 ORDER, LOW = 5, 1
 KAPPA = 2.0  #: weight of the shorter context
-FIT_URLS = 20_000  #: different URLs of each label that the models learn from, about, by the order of a hash
+TABLE_WEIGHT = 20_000  #: different URLs of a label weigh together as much as this many at most, beside the composed ones
 COMPOSED = 60  #: composed URLs for each word of the lists
 FALSE_ALARMS = 0.002  #: of accepted URLs in the calibration fold that may be blocked, at most
 
@@ -148,30 +148,37 @@ def _keys(x: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
 
 def _bytes(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [u.encode() for u in urls]
-    return np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(b) for b in raw]))
+    return np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(b) for b in raw], dtype=np.int64))
+
+
+def counted(data: np.ndarray, off: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of contexts, and of contexts with the next byte, with their counts in
+    accepted and in rejected URLs; the keys of one order stand together, each once."""
+    side = np.repeat(bad, np.diff(off))
+    key, n = [np.zeros(0, U64)], [np.zeros((0, 2), np.int64)]
+    for pair in _keys(*_codes(data, off)):
+        for k in pair:
+            k, own = np.unique(k, return_inverse=True)
+            key.append(k)
+            n.append(np.stack([np.bincount(own, weights=side == y, minlength=len(k)) for y in (False, True)], axis=1).astype(np.int64))
+    return np.concatenate(key), np.concatenate(n)
 
 
 class Models:
     """The counts of contexts, and of contexts with the next byte, of both labels: exact,
-    by 64-bit keys in order."""
-
-    def __init__(self, urls: list[str], bad: list[bool]) -> None:
-        data, off = _bytes(urls)
-        side = np.repeat(np.array(bad, bool), np.diff(off))
-        key, n = [np.zeros(0, U64)], [np.zeros((0, 2), np.int64)]
-        for pair in _keys(*_codes(data, off)):
-            for k in pair:
-                k, own = np.unique(k, return_inverse=True)
-                key.append(k)
-                n.append(np.stack([np.bincount(own, weights=side == y, minlength=len(k)) for y in (False, True)], axis=1).astype(np.int64))
-        order = np.argsort(np.concatenate(key))
-        self.key, self.n = np.concatenate(key)[order], np.concatenate(n)[order].astype(np.float32)
+    by 64-bit keys in order. To those of the URLs come weighted counts made before."""
+
+    def __init__(self, urls: list[str], bad: list[bool], more: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        own = counted(*_bytes(urls), np.array(bad, bool))
+        key, n = (np.concatenate(x) for x in zip(own, more, strict=True)) if more else own
+        self.key, at = np.unique(key, return_inverse=True)
+        self.n = np.stack([np.bincount(at, weights=n[:, y], minlength=len(self.key)) for y in (0, 1)], axis=1)
 
     def _counts(self, k: np.ndarray) -> np.ndarray:
         if not len(self.key):
             return np.zeros((len(k), 2))
         at = np.searchsorted(self.key, k).clip(0, len(self.key) - 1)
-        return np.where((self.key[at] == k)[:, None], self.n[at], 0.0).astype(np.float64)
+        return np.where((self.key[at] == k)[:, None], self.n[at], 0.0)
 
     def ratios(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """For each URL, log P(accepted model) - log P(rejected model), over its length."""
@@ -186,18 +193,29 @@ class Models:
         return np.bincount(np.repeat(np.arange(len(n)), n), weights=np.log(p[:, 0] / p[:, 1]), minlength=len(n)) / np.maximum(n, 1)
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts by key; with a null key, of URLs."""
+    for batch in batches:
+        for rows, data, off in slices(batch, "text", 1 << 21):
+            bad = np.asarray(rows.column("rejected")).astype(bool)
+            key, n = counted(data, off, bad)
+            keys = pa.array(np.append(key, U64(0)).view(np.int64), mask=np.arange(len(key) + 1) == len(key))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.append(n[:, 0], (~bad).sum())), pa.array(np.append(n[:, 1], bad.sum()))], ["key", "good", "bad"])
+
+
 def trained(d: DataFrame, terms: list[str] = REJECT_TERMS) -> Models:
-    """The models of the rows of d (text, rejected) and of composed URLs."""
-    urls, labels = composed(terms)
-    sizes = {r["rejected"]: r["n"] for r in d.where("rejected is not null").groupBy("rejected").agg(F.approx_count_distinct("text", 0.02).alias("n")).collect()}
-    for bad, n in sorted(sizes.items()):
-        some = d.where((F.col("rejected") == bad) & F.col("text").isNotNull())
-        if n > FIT_URLS:
-            some = some.where(F.shiftrightunsigned(F.xxhash64("text"), 1) < int(2**63 * FIT_URLS / n))
-        own = [r[0] for r in some.select("text").distinct().sort("text").toLocalIterator()]
-        urls += own
-        labels += [bad] * len(own)
-    return Models(urls, labels)
+    """The models of all different URLs of d (text, rejected) that have a label, counted
+    where they lie and added up by key, and of composed URLs.
+
+    Of a label with more than TABLE_WEIGHT URLs, each counts for less than one, so that
+    contexts that only composed URLs have are judged alike beside tables of any size.
+    """
+    some = d.where("rejected is not null and text is not null").select("text", "rejected").distinct()
+    tally = some.mapInArrow(_tally, "key long, good long, bad long").groupBy("key").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()
+    urls, known = tally.filter(tally.column("key").is_null()), tally.filter(tally.column("key").is_valid())
+    weight = [min(1.0, TABLE_WEIGHT / max(1, sum(urls.column(c).to_pylist()))) for c in ("good", "bad")]
+    key, good, bad = (np.array(known.column(c), np.int64) for c in ("key", "good", "bad"))
+    return Models(*composed(terms), (key.view(U64), np.stack([good, bad], axis=1) * weight))
 
 
 def unseen(terms: list[str] = REJECT_TERMS, folds: int = 3) -> list[tuple[float, bool]]:

@@ -488,6 +488,18 @@ def test_terms_in_no_list_are_blocked(spark, data):
     assert sum(false) / len(false) <= 0.25, [r.host for (i, _), r in got.items() if i >= 2 * 10**6 and r.verdict == "block"]
 
 
+@pytest.mark.parametrize("good", [3_000, 25_000])
+def test_models_count_every_url(spark, good):
+    """However many there are; repeated ones once, those without a label not."""
+    d = spark.range(good + 50).selectExpr(f"if(id < {good}, concat('http://a', id, '.org/', hex(id * 7919)), concat('http://casino.b/', id)) as text", f"id >= {good} as rejected")
+    rows = [(r.text, r.rejected) for r in d.collect()]
+    d = d.union(d.limit(1000)).union(spark.createDataFrame([("http://none.c/", None), (None, False)], "text string, rejected boolean"))
+    got = url_filter.trained(d.repartition(5, "text"))
+    key, n = url_filter.counted(*url_filter._bytes([u for u, _ in rows]), np.array([y for _, y in rows]))
+    want = url_filter.Models(*url_filter.composed(), (key, n * [min(1, url_filter.TABLE_WEIGHT / good), 1]))
+    assert (got.key == want.key).all() and np.allclose(got.n, want.n, rtol=1e-12)
+
+
 def test_ratios_equal_brute_force():
     urls, bad = ["http://ab.c/1", "http://ba.c/22", "https://x.y/", "", "http://ab.c/1"], [False, True, True, False, True]
     clean = lambda u: re.sub("[0-9]", "0", u.lower())
